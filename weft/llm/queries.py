@@ -6,7 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, line_dedup, simhash
+from . import ann, chat, decontaminate, line_dedup, packing, simhash, toxicity
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies on the driver; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", toxicity.is_held_out().alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("__toxic").alias("by_language"),
+    )
+
+
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048).drop("row_key")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +62,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold_events(events)))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op7_line_dedup, op10_chat_formatting)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ann_posting_lists, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_toxicity_cnn, op7_line_dedup,
+        op8_sum_of_squares_packing, op10_chat_formatting,
+    )
+}
 
 _BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
