@@ -4,8 +4,8 @@ Texts are tokenised in Arrow batches, one end id is added, and only documents
 longer than a sequence are cut. The pieces, a few numbers each, are dealt by a
 hash into groups of about `group_pieces`, whatever the size of the corpus; each
 group packs its pieces, longest first, always where the sum over all fills of
-(open bins with that fill) squared becomes smallest, ties to the fullest bin.
-A group loses at most its few bins that stay open.
+(open bins with that fill) squared becomes smallest, ties to the fullest bin; a
+new bin is opened only where no open one has room. A group loses at most its few bins that stay open.
 
 Edge cases: null and empty texts are the end id alone; repeated rows are packed
 as documents of their own; a null id is kept; an empty table gives an empty
@@ -115,22 +115,17 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     open_at: list[list[int]] = [[] for _ in range(capacity)]
     fill: list[int] = []
     bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    levels = np.arange(capacity)
     for i, s in enumerate(sizes.tolist()):
-        best, at = 0, 0
-        if s < capacity:
-            top = capacity - s
-            cost = 2 * (n[s : s + top + 1] - n[: top + 1]) + 2  # fills 0 (a new bin) to top (then full)
-            cost[top] -= 1
-            cost[0] = 2 * n[s] + 1
-            usable = n[: top + 1] > 0
-            usable[0] = True
+        top, best = capacity - s, 0
+        usable = n[1 : top + 1] > 0
+        if usable.any():
+            cost = 2 * (n[s + 1 : capacity + 1] - n[1 : top + 1]) + 2  # fills 1 to top; the last becomes full
+            cost[-1] -= 1
             cost[~usable] = np.iinfo(np.int64).max
             best = int(top - cost[::-1].argmin())
-            at = levels[best] if best else 0
         if best:
-            b = open_at[at].pop()
-            n[at] -= 1
+            b = open_at[best].pop()
+            n[best] -= 1
         else:
             b = len(fill)
             fill.append(0)
