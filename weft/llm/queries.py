@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, chat, decontaminate, line_dedup, packing, simhash, toxicity
+from . import ann, chat, decontaminate, fm_index, line_dedup, packing, simhash, suffix_buckets, toxicity
 
 
 def tokenizer_path() -> str:
@@ -43,6 +43,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_fm_index_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fm_index.drop_repeated_words(table(spark, sf_dir, "documents"), words=35)
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_buckets.drop_repeated_bytes(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -65,8 +75,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ann_posting_lists, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_toxicity_cnn, op7_line_dedup,
-        op8_sum_of_squares_packing, op10_chat_formatting,
+        op1_ann_posting_lists, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_toxicity_cnn,
+        op5_fm_index_substring_dedup, op6_suffix_array_dedup, op7_line_dedup, op8_sum_of_squares_packing, op10_chat_formatting,
     )
 }
 
