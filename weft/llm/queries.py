@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, chat, decontaminate, fm_index, line_dedup, packing, simhash, suffix_buckets, toxicity
+from . import ann, chat, decontaminate, fm_index, line_dedup, packing, pii, simhash, suffix_buckets, toxicity
 
 
 def tokenizer_path() -> str:
@@ -58,6 +58,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("__spans")
+    base = F.filter(spans, lambda s: s["kind"] != "term")
+    of = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 #: Conversation -1 of the contract: control strings inside both texts.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -76,7 +84,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ann_posting_lists, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_toxicity_cnn,
-        op5_fm_index_substring_dedup, op6_suffix_array_dedup, op7_line_dedup, op8_sum_of_squares_packing, op10_chat_formatting,
+        op5_fm_index_substring_dedup, op6_suffix_array_dedup, op7_line_dedup, op8_sum_of_squares_packing, op9_information_theoretic_pii,
+        op10_chat_formatting,
     )
 }
 
