@@ -1,14 +1,68 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators.
+
+documents -> toxicity -> line dedup -> SimHash near-dedup -> benchmark
+decontamination -> best-fit packing. Every stage takes what its predecessor
+kept, written as Parquet in the shared folder; all but the last return the
+columns of documents.
+
+Rows keep their place whatever their id: near-duplicates and contaminated
+documents are found by id where ids are unique; rows of one id share its fate.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weft.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from weft.llm.queries import tokenizer_path
 from weft.session import cut, table
 
-STAGES: list = []
 
-#: A trained model, near-duplicate components and packing have no SQL form.
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns) if "n_chars" in columns else docs.select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that reach their language's threshold go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(~F.col("__toxic")).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in 10 documents or more go; the documents stay."""
+    return _counted(line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1), docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word fingerprints, the one with the smallest id stays."""
+    found = simhash.near_duplicates(docs, words=5, max_bits=3)
+    gone = found.where(F.col("id") > F.col("component")).select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    gone = cut(found.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path(), 2048).drop("row_key")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+
+#: A trained model, components of near-duplicates and packing have no SQL form.
 ORACLE_SQL = None
 
 
@@ -16,4 +70,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
