@@ -1 +1,4 @@
+"""Query plans over whole tables; importing this registers them."""
 
+from . import graph_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
