@@ -15,10 +15,13 @@ def _files(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("unit"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), "text", "lang")
 
 
-@query(f"""WITH {_LINES}, r AS (SELECT * FROM (VALUES (1, 'the', 'article'), (2, 'of', 'preposition'), (3, 'and', 'conjunction')) r(ord, keyword, kind)),
-hit AS (SELECT doc_id, line_no, ord, kind, regexp_extract(line, '(?:^|[^\\p{{L}}\\p{{N}}_$])' || keyword || '\\s+([\\p{{L}}_$][\\p{{L}}\\p{{N}}_$]*)', 1) AS name FROM lines JOIN documents USING (doc_id), r WHERE lang = 'en'),
-best AS (SELECT doc_id, line_no, arg_min(kind, ord) AS kind, arg_min(name, ord) AS name FROM hit WHERE name <> '' GROUP BY doc_id, line_no)
-SELECT kind, count(*) AS declarations, count(DISTINCT name) AS names FROM best GROUP BY kind""")
+def _after(word: str) -> str:
+    return rf"regexp_extract(line, '(?:^|[^\p{{L}}\p{{N}}_$]){word}\s+([\p{{L}}_$][\p{{L}}\p{{N}}_$]*)', 1)"
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT {_after('the')} AS a, {_after('of')} AS b, {_after('and')} AS c FROM lines JOIN documents USING (doc_id) WHERE lang = 'en'),
+best AS (SELECT CASE WHEN a <> '' THEN 'article' WHEN b <> '' THEN 'preposition' WHEN c <> '' THEN 'conjunction' END AS kind, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END AS name FROM n)
+SELECT kind, count(*) AS declarations, count(DISTINCT name) AS names FROM best WHERE kind IS NOT NULL GROUP BY kind""")
 def line_explode_declarations(spark, d):
     rules = [("en", "the", "article"), ("en", "of", "preposition"), ("en", "and", "conjunction")]
     found = text.declarations(text.lines(_files(spark, d).withColumnRenamed("lang", "language"), keep=("unit", "rel_path", "language")), rules)
