@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, keyed
+from .common import BLANKS, ascii_lower, keyed, plain
 
 
 def drop_frequent_lines(
@@ -45,4 +45,4 @@ def drop_frequent_lines(
         "__n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
     )
     out = out.withColumn(text_col, F.when(F.col("__drop").isNull(), F.col("__t")).otherwise(text))
-    return out.select(*docs.columns, "__n_lines", "__n_dropped")
+    return out.select(*plain(docs), "__n_lines", "__n_dropped")

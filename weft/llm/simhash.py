@@ -131,7 +131,7 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_rows: int = 4096) -> DataFra
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root: every node of (a, b) with the smallest node reachable.
+    """node, root: every node of (a, b) but the roots, with the smallest node reachable.
 
     Alternating large and small stars; each round's table is written to the shared folder."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())

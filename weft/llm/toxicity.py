@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import plain
+
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
 WIDTHS = (1, 2, 3)
@@ -260,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """docs with __score, and __toxic: whether it reaches its language's threshold (0.3 where none was calibrated)."""
     spark = docs.sparkSession
+    docs = docs.select(*plain(docs))
     sent = spark.sparkContext.broadcast(model)  # its size is fixed by buckets x dim
     at = docs.columns.index(text_col)
 
