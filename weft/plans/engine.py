@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import capsule, export, extract, graph, link, merge, scoring, technology
+from ..operators import capsule, export, extract, graph, link, merge, scoring, semantics, technology
 from ..session import cut
 from ..sources import files as src
 
@@ -63,9 +63,12 @@ def scan(files: DataFrame, registry: Registry | None = None, units: DataFrame |
     comps = merge.overlay(parts, ["unit", "id"], "seq").drop("seq")
     fallback = merge.fallback_files(placed.where("is_text"), comps).where(~F.col("too_large") & (F.col("language") != "Unknown"))
     rest = fallback.select("unit", F.concat(F.lit("file:"), F.col("rel_path")).alias("id"), "name", F.lit("file").alias("kind"), "language", F.col("rel_path").alias("file"), F.lit(0).alias("line_no"))
-    comps = cut(comps.unionByName(rest))
-    entries = cut(extract.entrypoints(placed, found))
-    deps = cut(extract.import_edges(placed, extract.imports(placed)))
+    comps = cut(semantics.classified(comps.unionByName(rest), placed, found))
+    laravel = semantics.laravel_commands(placed).join(found.where("actionable AND name = 'Laravel'").select("unit"), "unit", "left_semi")
+    commands = laravel.select("unit", F.concat_ws(":", F.lit("laravel"), "kind", "file").alias("id"), "name", "kind", F.lit("Laravel").alias("framework"), "file", F.lit(80).alias("confidence"))
+    entries = cut(extract.entrypoints(placed, found).unionByName(commands))
+    deps = extract.import_edges(placed, extract.imports(placed)).unionByName(semantics.java_edges(placed)).unionByName(semantics.php_edges(placed))
+    deps = cut(deps.distinct())
     return Scan(
         placed, found, technology.technologies(placed, found), comps, entries, deps, extract.http_calls(placed), technology.diagnostics(placed, found, entries),
         technology.runtime_requirements(placed), technology.unit_summary(placed, found, comps, deps, entries),
