@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_counted
 
 
 def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
@@ -27,8 +27,8 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, r
         depth += 1
         visited = reduce(DataFrame.unionByName, seen)
         fresh = frontier.join(links, "node").select(F.col("next").alias("node")).distinct()
-        frontier = cut(fresh.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier, found = cut_counted(fresh.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if not found:
             break
         seen.append(frontier)
     return reduce(DataFrame.unionByName, seen)
@@ -99,24 +99,25 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     rest = cut(edges.select("source", "target").where("source <> target").distinct())
     out = []
     while True:
-        rest = _trimmed(rest)
-        if rest.isEmpty():
+        rest, left = _trimmed(rest)
+        if not left:
             break
         nodes = rest.select(F.explode(F.array("source", "target")).alias("node")).distinct()
         colour = cut(nodes.withColumn("colour", F.col("node")))
         while True:
             pushed = rest.join(colour.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), "colour")
-            new = cut(colour.unionByName(pushed).groupBy("node").agg(F.max("colour").alias("colour")))
-            changed = new.join(colour.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty()
-            colour = new
-            if changed:
+            grown = colour.withColumn("old", F.col("colour")).unionByName(pushed.withColumn("old", F.lit(None).cast("string")))
+            grown = grown.groupBy("node").agg(F.max("colour").alias("colour"), F.max("old").alias("old"))
+            steps = Observation()
+            colour = cut(grown.observe(steps, F.count_if(F.col("colour") != F.col("old")).alias("n"))).select("node", "colour")
+            if not steps.get["n"]:
                 break
         a, b = colour.toDF("source", "cs"), colour.toDF("target", "ct")
         inside = rest.join(a, "source").join(b, "target").where("cs = ct").select("source", "target")
         roots = colour.where("node = colour").select("node")
         back = closure(inside, roots, reverse=True).select("node")
         found = cut(back.join(colour, "node").select("node", F.col("colour").alias("scc")))
-        out.append(found.where(F.lit(True)))
+        out.append(found)
         rest = cut(rest.join(found.select(F.col("node").alias("source")), "source", "left_anti").join(found.select(F.col("node").alias("target")), "target", "left_anti"))
     if not out:
         return edges.select(F.col("source").alias("node"), F.col("source").alias("scc")).limit(0)
@@ -125,13 +126,13 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return every.join(big, "scc", "left_semi").select("node", "scc")
 
 
-def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Edges whose source has an edge in and whose target has an edge out; the others lie on no cycle."""
+def _trimmed(edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, int]:
+    """Edges (and how many) whose source has an edge in and whose target has an edge out; the others lie on no cycle."""
     for _ in range(rounds):
         edges = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
             edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
         )
-    return cut(edges.select("source", "target"))
+    return cut_counted(edges.select("source", "target"))
 
 
 def cycles(edges: DataFrame, length: int) -> DataFrame:
@@ -139,7 +140,7 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     e = edges.select("source", "target").where("source <> target").distinct()
     path = e.where("target > source").toDF("n1", "n2")
     for i in range(3, length + 1):
-        step = e.toDF(f"n{i - 1}", f"n{i}").where(F.lit(True))
+        step = e.toDF(f"n{i - 1}", f"n{i}")
         path = path.join(step, f"n{i - 1}").where(F.col(f"n{i}") > F.col("n1"))
         path = path.where(reduce(lambda a, b: a & b, [F.col(f"n{i}") != F.col(f"n{j}") for j in range(2, i)], F.lit(True)))
     close = e.toDF(f"n{length}", "n1")
