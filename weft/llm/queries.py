@@ -106,4 +106,23 @@ marked AS (SELECT keyed.*, freq.k IS NOT NULL AS gone FROM keyed LEFT JOIN freq
 SELECT doc_id, count(*)::BIGINT AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op5_fm_index_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM rep)),
+marked AS (SELECT pos.doc_id, pos.j, word, max(starts.i) OVER (PARTITION BY pos.doc_id ORDER BY pos.j) AS last FROM pos LEFT JOIN starts ON pos.doc_id = starts.doc_id AND pos.j = starts.i),
+gone AS (SELECT doc_id, j, word, last IS NOT NULL AND j - last < 35 AS g FROM marked)
+SELECT documents.doc_id, count(gone.j) AS n_words, count(CASE WHEN g THEN 1 END) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT g), '')) AS kept_sha256
+FROM documents LEFT JOIN gone ON documents.doc_id = gone.doc_id GROUP BY documents.doc_id""",
+    "op10_chat_formatting": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + {len(chat.START) + len(chat.END) + 2})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
 }
