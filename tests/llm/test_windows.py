@@ -36,7 +36,7 @@ def corpus(seed):
     vocabulary = ["a", "bé", "cat", "do", "el", "fi", "gö", "hut"]
     make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     passages = [make(rng.randint(5, 40)) for _ in range(6)]
-    texts = [None, "", " ", "x", "a " * 200, "ab" * 300]
+    texts = [None, "", " ", "x", "a " * 200, "ab" * 300, "only here " * 40, "xyz" * 90]
     for _ in range(60):
         parts = []
         for _ in range(rng.randint(1, 5)):

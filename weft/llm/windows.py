@@ -3,7 +3,7 @@
 For exact substring dedup, a window is `length` units (words or bytes) of one
 document. Every window belongs to the k-gram with the smallest hash inside it
 (winnowing), so equal windows belong to equal k-grams. Runs of windows that
-belong to one k-gram occurrence are a region. Regions whose k-gram occurs once
+belong to equal k-grams are a region. Regions whose k-gram occurs once
 cannot hold a repeated window and are dropped; the others are dealt by k-gram to
 shards, equal regions once with their number of occurrences, and an index per
 shard decides exactly. A k-gram with over `hot` occurrences is not given to one
@@ -35,6 +35,8 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _NEXT_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _SPACES = bytes(32 if b else i for i, b in enumerate(_BLANK))
 BLOCK = 1 << 20
+#: A region is packed as (first window start * RUN + windows) * 2 + whether its k-gram recurs in it; a block holds fewer windows than that.
+RUN = 1 << 22
 _P, _PINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -114,7 +116,7 @@ def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def owned_runs(units: np.ndarray, counts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(hash of the k-gram, document's place, first window start, windows) of each region."""
+    """(hash of the k-gram, document's place, first window start, windows, whether the k-gram occurs in it again) of each region."""
     n = len(units)
     begin = np.concatenate(([0], np.cumsum(counts)))
     out = []
@@ -131,12 +133,15 @@ def owned_runs(units: np.ndarray, counts: np.ndarray, length: int, k: int) -> tu
         ok = np.flatnonzero(s + length <= begin[doc + 1])
         if not len(ok):
             continue
-        own, s, doc = least[ok], s[ok], doc[ok]
+        place, s, doc = least[ok], s[ok], doc[ok]
+        own = h[place]
         new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1) | (doc[1:] != doc[:-1]))))
         sizes = np.diff(np.concatenate((new, [len(s)])))
-        out.append((h[own[new]], doc[new], s[new] - begin[doc[new]], sizes))
+        moved = np.concatenate(([0], place[1:] != place[:-1])).astype(np.int64)
+        again = np.add.reduceat(moved, new) > moved[new]
+        out.append((own[new], doc[new], s[new] - begin[doc[new]], sizes, again))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -177,7 +182,7 @@ def _groups(values: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, kind: Kind, shard_mb: float = 6, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, kind: Kind, shard_mb: float = 4, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, spans (of removed units), kept (bytes)."""
     length, k = kind.length, kind.k
@@ -188,11 +193,11 @@ def remove_repeats(
         for b in batches:
             keys, texts = b.column(0).to_numpy(), [_bytes(t) for t in b.column(1).to_pylist()]
             for a, z in _groups(texts):
-                h, doc, start, size = owned_runs(*kind.units(texts[a:z]), length, k)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[a:z][doc]), pa.array(start * 4096 + size)], ["h", "key", "at"])
+                h, doc, start, size, again = owned_runs(*kind.units(texts[a:z]), length, k)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[a:z][doc]), pa.array((start * RUN + size) * 2 + again)], ["h", "key", "at"])
 
     grams = rows.select("key", "t").mapInArrow(scan, "h long, key long, at long")
-    often = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = grams.groupBy("h").agg(F.sum(1 + F.col("at") % 2).alias("n")).where("n > 1")
     mine = grams.join(often, "h").select("key", F.struct("h", "at", (F.col("n") > hot).alias("hot")).alias("r"))
     mine = mine.groupBy("key").agg(F.collect_set("r").alias("regions"))  # bounded by the document's own length
 
@@ -212,7 +217,7 @@ def remove_repeats(
                 units = kind.split(z.decompress(data.as_py()))
                 key = key.as_py()
                 for r in regions.as_py():
-                    a, size = divmod(r["at"], 4096)
+                    a, size = divmod(r["at"] // 2, RUN)
                     if a + size + length - 1 > len(units):
                         continue  # another row's region under the same 64-bit key
                     content = kind.join(units[a : a + size + length - 1])
