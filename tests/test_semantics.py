@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from weft.operators import extract, semantics
+from weft.operators import extract, link, merge, semantics
 from weft.sources import files as src
 
 
@@ -46,3 +46,30 @@ def test_kinds_and_packages(spark):
     assert {(r["name"], r["kind"]) for r in comps.where("unit = 'app'").collect()} == {("a.controller.ts", "module"), ("AController", "controller")}
     got = {(r["source_unit"], r["target_unit"], r["confidence"]) for r in semantics.package_edges(f).collect()}
     assert got == {("app", "lib", 100), ("rs2", "rs", 90)}
+
+
+def test_controllers_and_tables(spark):
+    f = prepared(
+        spark, ("u", "a/Post.php", "<?php\nnamespace App\\Http;\nclass PostController {}"), ("u", "b/Post.php", "<?php\nnamespace App\\Old;\nclass PostController {}"),
+        ("u", "m/BlogEntry.php", "<?php\nnamespace App;\nclass BlogEntry {}"), ("u", "m/News.php", "<?php\nclass News {}"),
+        ("u", "database/migrations/1.php", "<?php Schema::create('posts', function ($t) { $t->foreignId('blog_entry_id')->constrained(); $t->foreignId('n')->constrained('news'); $t->foreignId('user_id')->constrained(); });"),
+    )
+    types = semantics.php_types(f)
+    names = ["\\App\\Old\\PostController", "app\\old\\postcontroller", "postcontroller", "Http\\PostController", "http\\PostController", "News", "Missing"]
+    refs = spark.createDataFrame([("u", n) for n in names] + [("other", "News"), ("u", None)], "unit string, ref string")
+    assert {(r["unit"], r["ref"], r["file"]) for r in semantics.resolve_controllers(refs, types).collect()} == {
+        ("u", names[0], "b/Post.php"), ("u", names[1], "b/Post.php"), ("u", names[2], "a/Post.php"), ("u", names[3], "a/Post.php"), ("u", names[5], "m/News.php"),
+    }
+    got = pairs(semantics.table_owners(semantics.laravel_tables(f), types))
+    assert got == {("database/migrations/1.php", t, "migration-foreign-key") for t in ("m/BlogEntry.php", "m/News.php")}
+
+
+def test_evidence_and_endpoint_links(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "source string, target string")
+    meta = spark.createDataFrame([("a", "b", 2, "late", 50), ("a", "b", 1, "early", 70)], "source string, target string, seq int, evidence string, confidence int")
+    got = sorted((r["source"], r["evidence"], r["confidence"]) for r in merge.with_evidence(edges, meta, ["source", "target"], "seq").collect())
+    assert got == [("a", "early", 70), ("a", "early", 70), ("b", "Resolved internal dependency", 85)]
+    cross = spark.createDataFrame([("web", "c1", "api", "e1", "x", 100), ("web", "c1", "api", "gone", "x", 90), ("web", "c2", "api", "e1", "y", 90)], "source_unit string, source string, target_unit string, entrypoint string, evidence string, confidence int")
+    calls = spark.createDataFrame([("web", "c1", "x", "b.ts", "get"), ("web", "c1", "x", "a.ts", "get"), ("web", "c2", "other", "c.ts", "get")], "unit string, component string, evidence string, file string, method string")
+    ends = spark.createDataFrame([("api", "e1", "GET /users/{id}", "u.php")], "unit string, id string, name string, file string")
+    assert [(r["source"], r["consumer_file"], r["method"], r["path"], r["provider_file"], r["confidence"]) for r in link.endpoint_links(cross, calls, ends).collect()] == [("c1", "a.ts", "GET", "/users/{id}", "u.php", 100)]

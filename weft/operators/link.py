@@ -101,3 +101,13 @@ def cross_edges(http_edges: DataFrame, package_edges: DataFrame) -> DataFrame:
     keys = ["source_unit", "source", "target_unit", "target", "kind"]
     both = http_edges.withColumn("__seq", F.lit(0)).unionByName(package_edges.withColumn("__seq", F.lit(1)))
     return keep_first(both, keys, [F.asc("__seq"), F.desc("confidence"), F.asc_nulls_first("evidence")]).drop("__seq")
+
+
+def endpoint_links(cross: DataFrame, calls: DataFrame, entrypoints: DataFrame) -> DataFrame:
+    """cross(source_unit, source, target_unit, entrypoint, evidence, confidence) with the first of calls(unit, component,
+    evidence, file, method) behind it and the entrypoint(unit, id, name, file) it reaches; edges without either are left out."""
+    consumer = keep_first(calls, ["unit", "component", "evidence"], [F.asc("file"), F.asc("method")])
+    consumer = consumer.select(F.col("unit").alias("source_unit"), F.col("component").alias("source"), "evidence", F.col("file").alias("consumer_file"), F.upper("method").alias("method"))
+    provider = entrypoints.select(F.col("unit").alias("target_unit"), F.col("id").alias("entrypoint"), F.regexp_replace("name", "^[^ ]* ", "").alias("path"), F.col("file").alias("provider_file"))
+    linked = cross.join(consumer, ["source_unit", "source", "evidence"]).join(provider, ["target_unit", "entrypoint"])
+    return linked.select("source_unit", "source", "consumer_file", "method", "path", "target_unit", "entrypoint", "provider_file", "confidence")

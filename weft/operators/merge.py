@@ -32,6 +32,13 @@ def with_defaults(rows: DataFrame, metadata: DataFrame, keys: list[str], confide
     return metadata.select(*keys, "confidence", "evidence").unionByName(rest.withColumn("confidence", F.lit(confidence)).withColumn("evidence", F.lit(evidence)))
 
 
+def with_evidence(edges: DataFrame, metadata: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """edges, repeats kept, each with evidence and confidence of the first metadata row of its keys, or the defaults."""
+    first = metadata.groupBy(*keys).agg(F.min_by(F.struct("evidence", "confidence"), order).alias("__m"))
+    out = edges.join(first, keys, "left").withColumn("evidence", F.coalesce("__m.evidence", F.lit("Resolved internal dependency")))
+    return out.withColumn("confidence", F.coalesce("__m.confidence", F.lit(DEFAULTS["dependency"]))).drop("__m")
+
+
 def fallback_files(files: DataFrame, components: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
     """Text files that no component names; too_large marks those over the size limit, which get a diagnostic instead."""
     rest = files.join(components.select("unit", F.col("file").alias("rel_path")).distinct(), ["unit", "rel_path"], "left_anti")

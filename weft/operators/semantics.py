@@ -51,16 +51,29 @@ def java_edges(files: DataFrame) -> DataFrame:
 _NAME = r"\\?[A-Za-z_][\w\\]*"
 
 
+def _php_files(files: DataFrame) -> DataFrame:
+    php = files.where((F.col("language") == "PHP") & F.col("masked").isNotNull())
+    spaces = extract.namespaces(php).withColumnRenamed("rel_path", "file")
+    return php.select("unit", F.col("rel_path").alias("file"), "masked").join(spaces, ["unit", "file"], "left").withColumn("namespace", F.coalesce("namespace", F.lit("")))
+
+
+def _qualified(namespace: Column, name: Column) -> Column:
+    return F.when(namespace == "", name).otherwise(F.concat(namespace, F.lit("\\"), name))
+
+
+def php_types(files: DataFrame) -> DataFrame:
+    """unit, file, name, qualified: the first type of each PHP file."""
+    own = rf"\b(?:class|interface|trait|enum)\s+({_NAME})"
+    types = _php_files(files).withColumn("name", F.regexp_extract("masked", own, 1)).where("name <> ''")
+    return types.select("unit", "file", "name", _qualified(F.col("namespace"), F.col("name")).alias("qualified"))
+
+
 def php_edges(files: DataFrame) -> DataFrame:
     """unit, source, target, kind: extends, implements, uses-trait, injects and eloquent-relation, by name without regard to case.
 
     A name is absolute, an alias of a use, or relative to the file's namespace."""
-    php = files.where((F.col("language") == "PHP") & F.col("masked").isNotNull())
-    spaces = extract.namespaces(php).withColumnRenamed("rel_path", "file")
-    base = php.select("unit", F.col("rel_path").alias("file"), "masked").join(spaces, ["unit", "file"], "left").withColumn("namespace", F.coalesce("namespace", F.lit("")))
-    full = lambda ns, n: F.lower(F.when(ns == "", n).otherwise(F.concat(ns, F.lit("\\"), n)))
-    own = rf"\b(?:class|interface|trait|enum)\s+({_NAME})"
-    types = base.select("unit", "file", full(F.col("namespace"), F.regexp_extract("masked", own, 1)).alias("fq")).where(~F.col("fq").rlike(r"(^|\\)$"))
+    base = _php_files(files)
+    types = php_types(files).select("unit", "file", F.lower("qualified").alias("fq"))
     uses = base.select("unit", "file", F.explode(F.regexp_extract_all("masked", F.lit(rf"(?m)^\s*use\s+({_NAME}(?:\s+as\s+\w+)?)\s*;"), F.lit(1))).alias("u"))
     uses = uses.select("unit", "file", F.regexp_replace(F.regexp_extract("u", f"^({_NAME})", 1), r"^\\", "").alias("path"), F.regexp_extract("u", r"\bas\s+(\w+)$", 1).alias("as"))
     uses = uses.select("unit", "file", F.lower(F.when(F.col("as") != "", F.col("as")).otherwise(F.substring_index("path", "\\", -1))).alias("alias"), F.lower("path").alias("alias_fq")).distinct()
@@ -78,7 +91,7 @@ def php_edges(files: DataFrame) -> DataFrame:
     absolute = F.col("r").startswith("\\")
     found = found.withColumn("alias", F.lower(F.substring_index("r", "\\", 1))).join(uses, ["unit", "file", "alias"], "left")
     tail = F.lower(F.regexp_replace("r", r"^[^\\]*", ""))
-    fq = F.when(absolute, F.lower(F.expr("substring(r, 2)"))).when(F.col("alias_fq").isNotNull(), F.concat("alias_fq", tail)).otherwise(full(F.col("namespace"), F.col("r")))
+    fq = F.when(absolute, F.lower(F.expr("substring(r, 2)"))).when(F.col("alias_fq").isNotNull(), F.concat("alias_fq", tail)).otherwise(F.lower(_qualified(F.col("namespace"), F.col("r"))))
     target = _unique(types, ["unit", "fq"], "file").withColumnRenamed("file", "target")
     return found.withColumn("fq", fq).join(target, ["unit", "fq"]).select("unit", F.col("file").alias("source"), "target", "kind").where("source <> target").distinct()
 
@@ -93,6 +106,36 @@ def laravel_tables(files: DataFrame) -> DataFrame:
     return rows.where("table <> ''").select("unit", "file", "table", ref.alias("references"))
 
 
+def conventional_table(name: Column) -> Column:
+    """The table a model's name stands for: words by underscores, in the plural."""
+    snake = F.concat(F.lower(F.substring(name, 1, 1)), F.lower(F.regexp_replace(F.substring(name, 2, 1 << 20), "([A-Z])", "_$1")))
+    return F.when(snake.endswith("s"), snake).otherwise(F.concat(snake, F.lit("s")))
+
+
+def table_owners(tables: DataFrame, types: DataFrame) -> DataFrame:
+    """tables(unit, file, references) with types(unit, name, file): unit, source, target, kind, confidence of each foreign key
+    whose table is named after a type; the type in the first file, where several are."""
+    owners = types.groupBy("unit", conventional_table(F.col("name")).alias("references")).agg(F.min("file").alias("target"))
+    edges = tables.where("references IS NOT NULL").select("unit", F.col("file").alias("source"), "references").distinct().join(owners, ["unit", "references"])
+    return edges.select("unit", "source", "target", F.lit("migration-foreign-key").alias("kind"), F.lit(80).alias("confidence")).distinct()
+
+
+def resolve_controllers(refs: DataFrame, types: DataFrame) -> DataFrame:
+    """refs(unit, ref) with types(unit, name, qualified, file): unit, ref, file of the type a route's controller names.
+
+    The whole qualified name comes first, without regard to case; then the type in the first file whose name is
+    the reference or whose qualified name ends with it. All three are one equi join on tagged keys."""
+    tagged = lambda tag, c: F.struct(F.lit(tag).alias("tag"), c.alias("key"))
+    parts = F.split("qualified", r"\\")
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: tagged(2, F.array_join(F.slice(parts, i, F.size(parts)), "\\")))
+    tails = F.when(F.size(parts) > 1, tails).otherwise(F.array().cast("array<struct<tag:int,key:string>>"))
+    known = types.select("unit", "file", F.explode(F.concat(F.array(tagged(0, F.lower("qualified")), tagged(1, F.lower("name"))), tails)).alias("k")).select("unit", "file", "k.tag", "k.key")
+    clean = F.btrim("ref", F.lit("\\"))
+    asked = refs.select("unit", "ref").distinct().select("unit", "ref", F.explode(F.array(tagged(0, F.lower(clean)), tagged(1, F.lower(clean)), tagged(2, clean))).alias("k")).select("unit", "ref", "k.tag", "k.key")
+    hits = asked.join(known, ["unit", "tag", "key"])
+    return hits.groupBy("unit", "ref").agg(F.min_by("file", F.struct(F.col("tag") > 0, "file")).alias("file"))
+
+
 def laravel_commands(files: DataFrame) -> DataFrame:
     """unit, file, name, kind: console commands as cli and listeners with a handle method as event entrypoints."""
     php = files.where((F.col("language") == "PHP") & F.col("masked").isNotNull())
