@@ -64,11 +64,13 @@ def scan(files: DataFrame, registry: Registry | None = None, units: DataFrame |
     fallback = merge.fallback_files(placed.where("is_text"), comps).where(~F.col("too_large") & (F.col("language") != "Unknown"))
     rest = fallback.select("unit", F.concat(F.lit("file:"), F.col("rel_path")).alias("id"), "name", F.lit("file").alias("kind"), "language", F.col("rel_path").alias("file"), F.lit(0).alias("line_no"))
     comps = cut(semantics.classified(comps.unionByName(rest), placed, found))
-    laravel = semantics.laravel_commands(placed).join(found.where("actionable AND name = 'Laravel'").select("unit"), "unit", "left_semi")
+    in_laravel = found.where("actionable AND name = 'Laravel'").select("unit")
+    laravel = semantics.laravel_commands(placed).join(in_laravel, "unit", "left_semi")
     commands = laravel.select("unit", F.concat_ws(":", F.lit("laravel"), "kind", "file").alias("id"), "name", "kind", F.lit("Laravel").alias("framework"), "file", F.lit(80).alias("confidence"))
     entries = cut(extract.entrypoints(placed, found).unionByName(commands))
     deps = extract.import_edges(placed, extract.imports(placed)).unionByName(semantics.java_edges(placed)).unionByName(semantics.php_edges(placed))
-    deps = cut(deps.distinct())
+    tables = semantics.laravel_tables(placed).join(in_laravel, "unit", "left_semi")
+    deps = cut(deps.unionByName(semantics.table_owners(tables, semantics.php_types(placed)).drop("confidence")).distinct())
     return Scan(
         placed, found, technology.technologies(placed, found), comps, entries, deps, extract.http_calls(placed), technology.diagnostics(placed, found, entries),
         technology.runtime_requirements(placed), technology.unit_summary(placed, found, comps, deps, entries),
@@ -101,6 +103,8 @@ class Engine:
     cycles = staticmethod(graph.cycles)
     link_http = staticmethod(link.http_links)
     link_packages = staticmethod(link.package_links)
+    link_endpoints = staticmethod(link.endpoint_links)
+    resolve_controllers = staticmethod(semantics.resolve_controllers)
     export_mermaid = staticmethod(export.mermaid_lines)
     export_graphml = staticmethod(export.graphml_edges)
     capsule_files = staticmethod(capsule.capsule_files)
