@@ -283,6 +283,19 @@ def test_pii(spark):
     assert all("and more" in r["text"] for r in out if r["doc_id"] is not None and 300 <= r["doc_id"])
 
 
+def test_pii_terms_of_the_whole_document(spark):
+    far = "common words of all " * 30
+    rows = [(i, f"Quixotic s@ex.org 77 Quixotic {far} zephyr, 12 34 Quixotic {i} ü quixotic") for i in range(4)] + [(100 + i, far) for i in range(60)]
+    rows += [(200, "4111 1111 1111 1111, 12 34 gnome"), (201, "4111 1111 1111 1111, 12 34 gnome x")]
+    for r in pii.sanitise(docs_of(spark, rows)).collect():
+        left = r["text"].lower()
+        assert "quixotic" not in left and "zephyr" not in left and "gnome" not in left
+        assert r["doc_id"] >= 200 or "common words of all" in left
+        for s in r["__spans"]:
+            text = dict(rows)[r["doc_id"]][s["start"] : s["end"]]
+            assert s["kind"] != "term" or text.lower() in ("quixotic", "zephyr", "gnome"), text
+
+
 @given(st.text(st.sampled_from("<|\\>ims_endstar\n x"), max_size=40), st.text(st.sampled_from("<|\\\nan"), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_chat_escape_is_reversible(text, role):

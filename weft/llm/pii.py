@@ -1,17 +1,20 @@
 """Information-theoretic sanitisation of personal data, in Spark expressions only.
 
 Patterns with checks find protected entities: mail addresses, IPv4 addresses,
-payment cards (Luhn) and phone numbers. Terms near an entity may give it away as
-well. Over the whole corpus, how much a term t tells of an entity e is the share
+payment cards (Luhn) and phone numbers. Terms in the same document may give an
+entity away as well. Over the whole corpus, how much a term t tells of an entity e is the share
 of e's information content that t carries:
 
     disclosure(e, t) = log(N n(e, t) / (n(e) n(t))) / log(N / n(e))
 
 with N documents, n(e) documents that hold e, n(t) that hold t, n(e, t) that hold
-t within `reach` code points of e. Terms over `generalise_at` become [TERM],
-terms over `remove_at` are removed, wherever they stand near that entity; pairs
-seen in fewer than `support` documents say nothing and are left alone. n(t) is
-counted with partial aggregation over all words of all texts.
+both, however far apart. Terms over `generalise_at` become [TERM], terms over
+`remove_at` are removed, wherever they stand in a document that holds the entity;
+pairs seen in fewer than `support` documents say nothing and are left alone. Words
+inside an entity are no terms. n(t) and n(e, t) are counted with partial
+aggregation over all words of all texts, so that a frequent entity or term meets
+one reducer as sums; an entity in fewer than `support` documents can have no pair
+and is left out before its words are listed.
 
 Patterns that could run in quadratic time start only at the left end of a run of
 their characters or where the match before ended, which finds the same matches;
@@ -28,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import keyed, plain
 
 #: Kinds in the order in which ties are listed, with Java patterns that match what
@@ -66,22 +70,17 @@ def passes(kind: Column, value: Column) -> Column:
     )
 
 
-def entities(d: DataFrame, reach: int = 60) -> DataFrame:
-    """From keyed documents: __k, kind, start, end, value, and the text on either side up to the next match, at most reach code points."""
+def entities(d: DataFrame) -> DataFrame:
+    """From keyed documents: __k, kind, start, end, value."""
     found = []
     for kind, pattern in KINDS.items():
         hinted = F.col("__t").rlike(HINTS[kind])
         rows = d.where(hinted).select(
             "__k", F.split("__t", pattern, -1).alias("parts"), F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)).alias("hits")
         )
-        rows = rows.where(F.size("hits") > 0).select("__k", F.posexplode(F.arrays_zip("hits", "parts", F.slice("parts", 2, F.size("hits")).alias("after"))).alias("i", "x"))
+        rows = rows.where(F.size("hits") > 0).select("__k", F.posexplode(F.arrays_zip("hits", "parts")).alias("i", "x"))
         rows = rows.where(F.col("x.hits").isNotNull())  # parts are one more than matches
-        found.append(
-            rows.select(
-                "__k", F.lit(kind).alias("kind"), "i", F.col("x.hits").alias("value"), F.char_length("x.parts").alias("gap"),
-                F.right("x.parts", F.lit(reach)).alias("before"), F.left("x.after", F.lit(reach)).alias("after"),
-            )
-        )
+        found.append(rows.select("__k", F.lit(kind).alias("kind"), "i", F.col("x.hits").alias("value"), F.char_length("x.parts").alias("gap")))
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
@@ -90,48 +89,61 @@ def entities(d: DataFrame, reach: int = 60) -> DataFrame:
     so_far = Window.partitionBy("__k", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.char_length("value")).over(so_far))
     rows = rows.where(passes(F.col("kind"), F.col("value")))
-    return rows.select("__k", "kind", (F.col("end") - F.char_length("value")).alias("start"), "end", "value", "before", "after")
+    return rows.select("__k", "kind", (F.col("end") - F.char_length("value")).alias("start"), "end", "value")
+
+
+def _outside(text: Column, places: Column) -> Column:
+    """text with a blank for every code point of the ordered places; all else keeps its place."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
 
+    def step(acc: Column, p: Column) -> Column:
+        first = F.greatest(acc["at"], p["start"])
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (first - acc["at"]).cast("int"))
+        blanks = F.repeat(F.lit(" "), F.greatest(p["end"] - first, F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], p["end"]).alias("at"), F.concat(acc["out"], F.array(gap, blanks)).alias("out"))
 
-def _terms(text: Column, first: Column) -> Column:
-    """array<struct<term, start, end>> of a short text that begins at place first."""
-    gaps, hits = F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    zero = F.struct(first.cast("long").alias("at"), F.expr("CAST(array() AS array<struct<term:string,start:long,end:long>>)").alias("out"))
+    return F.aggregate(places, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["gaps"])
-        e = s + F.char_length(x["hits"])
-        span = F.struct(F.lower(x["hits"]).alias("term"), s.cast("long").alias("start"), e.cast("long").alias("end"))
-        return F.struct(e.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    zipped = F.filter(F.arrays_zip(gaps.alias("gaps"), hits.alias("hits")), lambda x: x["hits"].isNotNull())
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+def _words(text: Column) -> Column:
+    """Distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def disclosing_terms(
     d: DataFrame, found: DataFrame, support: int = 2, generalise_at: float = 0.6, remove_at: float = 0.9
 ) -> DataFrame:
-    """__k, start, end, remove: terms near an entity that tell too much of it."""
-    near = found.select("__k", F.xxhash64("kind", F.lower("value"), F.lit("a")).alias("e"), F.xxhash64("value", "kind").alias("e2"), F.explode(F.concat(
-        _terms(F.col("before"), F.col("start") - F.char_length("before")), _terms(F.col("after"), F.col("end"))
-    )).alias("x")).select("__k", "e", "e2", "x.term", "x.start", "x.end")
-    pairs = near.select("__k", "e", "e2", "term").distinct().groupBy("e", "e2", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    of_entity = found.select("__k", F.xxhash64("kind", F.lower("value"), F.lit("a")).alias("e"), F.xxhash64("value", "kind").alias("e2")).distinct().groupBy("e", "e2").agg(F.count(F.lit(1)).alias("n_e"))
-    docs = d.select("__k", "__t")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__t"), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    """__k, start, end, remove: terms of a document that tell too much of an entity it holds."""
+    ent = found.select("__k", F.xxhash64("kind", F.lower("value"), F.lit("a")).alias("e"), F.xxhash64("value", "kind").alias("e2")).distinct()
+    places = found.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("places"))
+    once = d.select("__k", "__t").dropDuplicates(["__k"])
+    docs = cut(once.join(places, "__k", "left").select("__k", F.when(F.col("places").isNull(), F.col("__t")).otherwise(_outside(F.col("__t"), F.col("places"))).alias("__t")))
+    of_entity = ent.groupBy("e", "e2").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    ent = ent.join(of_entity, ["e", "e2"])
+    held = ent.groupBy("__k").agg(F.collect_list(F.struct("e", "e2", "n_e")).alias("held"))
+    near = docs.join(held, "__k").select("held", F.explode(_words(F.col("__t"))).alias("term")).select(F.explode("held").alias("x"), "term").select("x.*", "term")
+    pairs = near.groupBy("e", "e2", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    of_term = docs.select(F.explode(_words(F.col("__t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    told = pairs.join(of_entity, ["e", "e2"]).join(of_term, "term").crossJoin(F.broadcast(total))
+    told = pairs.join(of_term, "term").crossJoin(F.broadcast(total))
     n, ne, nt, net = (F.col(c).cast("double") for c in ("n", "n_e", "n_t", "n_et"))
     told = told.where(ne < n).withColumn("share", F.log(n * net / (ne * nt)) / F.log(n / ne)).where(F.col("share") >= generalise_at)
     told = told.select("e", "e2", "term", (F.col("share") >= remove_at).alias("remove"))
-    return near.join(told, ["e", "e2", "term"]).groupBy("__k", "start", "end").agg(F.max("remove").alias("remove"))
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, **thresholds) -> DataFrame:
+    marks = cut(ent.join(told, ["e", "e2"]).groupBy("__k", "term").agg(F.max("remove").alias("remove")))
+    # every occurrence: gaps and terms add up to places
+    at = docs.join(marks.select("__k").distinct(), "__k", "left_semi").select("__k", F.posexplode(F.arrays_zip(
+        F.split("__t", TERM, -1).alias("gap"), F.regexp_extract_all("__t", F.lit(TERM), F.lit(0)).alias("hit")
+    )).alias("i", "x")).where(F.col("x.hit").isNotNull())
+    at = at.select("__k", "i", F.lower("x.hit").alias("term"), F.char_length("x.hit").cast("long").alias("n"), F.char_length("x.gap").alias("gap"))
+    so_far = Window.partitionBy("__k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(so_far))
+    return at.join(marks, ["__k", "term"]).select("__k", (F.col("end") - F.col("n")).alias("start"), "end", "remove")
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """docs with text_col rewritten, and with __spans: array<struct<start, rank, end, kind, remove>> in order."""
     d = keyed(docs, id_col, text_col)
-    found = entities(d, reach)
+    found = cut(entities(d))
     ranks = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     base = found.select("__k", F.col("start").cast("long").alias("start"), F.element_at(ranks, F.col("kind")).alias("rank"), F.col("end").cast("long").alias("end"), "kind", F.lit(False).alias("remove"))
     terms = disclosing_terms(d, found, **thresholds).select("__k", "start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), "remove")
