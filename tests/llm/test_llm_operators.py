@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weft.llm import ann, chat, decontaminate, line_dedup, packing, pii, simhash, toxicity
+from weft.llm import ann, chat, decontaminate, line_dedup, packing, pii, queries, simhash, toxicity
 from weft.llm.queries import tokenizer_path
 
 #: Extra columns that bear names which operators might use inside.
@@ -323,3 +323,11 @@ def test_chat_fold_and_digest(spark):
     unknown = spark.createDataFrame([(1, 1, "a", "wink", "user", "x")], "conv long, seq long, msg string, kind string, role string, text string")
     with pytest.raises(Exception, match="unknown event"):
         chat.fold_events(unknown).collect()
+
+
+def test_op10_keeps_equal_rows(spark, tmp_path):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "ok"), (1, 1, "assistant", "ok"), (1, 1, None, ""), (1, 1, "", None), (None, 0, "assistant", "a"), (None, 0, "assistant", "a")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in queries.op10_chat_formatting(spark, str(tmp_path)).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (5, 4, hashlib.sha256(b"okok").hexdigest())
+    assert (got[None]["n_turns"], got[None]["turns_sha256"]) == (2, hashlib.sha256(b"assistant\na\n" * 2).hexdigest())

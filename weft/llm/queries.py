@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -74,8 +74,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.sql(f"SELECT -1L conv_id, 0L turn, 'user' role, '{HOSTILE}' text UNION ALL SELECT -1L, 1L, 'assistant', '{HOSTILE}'")
     rows = rows.unionByName(extra)
-    # rows that share conversation and turn are messages of their own, told apart by what they say
-    said = F.concat_ws("\n", F.col("turn").cast("string"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    # rows that share conversation and turn are messages of their own, told apart by what they say; equal rows are numbered
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn", role, text).orderBy(F.lit(0)))
+    rows = rows.withColumn("nth", nth)
+    said = F.concat_ws("\n", F.col("turn").cast("string"), role, text, F.col("nth").cast("string"))
     events = rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.sha2(said, 256).alias("msg"), F.lit("delta").alias("kind"), "role", "text")
     return chat.read_back(chat.render(chat.fold_events(events)))
 
