@@ -185,6 +185,20 @@ def test_toxicity_learns_and_takes_odd_rows(spark):
     assert [r["__score"] for r in out if r["doc_id"] == 9002][0] >= 0.3
 
 
+def test_toxicity_thresholds_cover_rows_outside_the_sample(spark):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(800):
+        w = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(30)] + ["vilword", "nastyish"] * (i % 4 == 0)
+        rows.append((i, " ".join(w), "de" if i % 8 < 2 or i % 8 == 4 else "en"))
+        marks.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows + [(9, rows[9][1], None)], "doc_id long, text string, lang string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), sample_rows=200)
+    assert set(model.thresholds) == {"de"}  # English has no positives; the sample's fifth holds some 10 of German
+    out = toxicity.score(docs, model).select("doc_id", "__toxic").collect()
+    assert sum(r["__toxic"] == (r["doc_id"] % 4 == 0) for r in out) / len(out) >= 0.9
+
+
 def test_scorer_equals_direct_convolution():
     model = toxicity.train(["a bad word here", "fine text", "bad", "good"] * 10, np.array([1, 0, 1, 0] * 10), epochs=2)
     for text in ("a bad word", "", "x", "one two three four " * 40):

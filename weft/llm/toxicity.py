@@ -3,11 +3,13 @@
 A word is the sum of hashed embeddings of itself and its prefixes. Filters of
 several widths slide over the word vectors of the whole text; their maxima over
 the text feed one logistic unit. The score is shifted so that 0.3 is the best
-threshold on held-back training rows, and thresholds by language are calibrated
-on the same rows (languages with too few of them share the common one). Only
-text enters the score.
+threshold on labelled rows that the fit has not learned from, and thresholds by
+language are calibrated on the same rows (languages with under 20 positives among
+them share the common one). Only text enters the score.
 
-Training reads at most `sample_rows` labelled rows, a documented bound; scoring
+Training reads at most `sample_rows` labelled rows, a documented bound. Thresholds
+cover all other labelled rows that are not held out, and the fifth of the sample
+that is held back: Spark scores them and counts by language and score bin. Scoring
 runs over whole texts in Arrow batches. For scoring, each word's products with
 all filters are computed once and looked up, which equals the convolution.
 
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import cut
 from .common import plain
 
 WORD = re.compile(r"\w+")
@@ -128,18 +131,29 @@ class Scorer:
                 col += w * n
         return np.maximum(best + self.model.bias, 0)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def logits(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        z = self.model.logits(np.stack([self.pooled(t) for t in texts])).astype(np.float64)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return np.clip(self.model.logits(np.stack([self.pooled(t) for t in texts])).astype(np.float64), -40, 40)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        return _sigmoid(self.logits(texts))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def held_back(n: int) -> np.ndarray:
+    """Which rows of a sample the fit does not learn from: every fifth."""
+    return np.arange(n) % 5 == 4
 
 
 def train(
-    texts: list[str | None], labels: np.ndarray, langs: list[str | None] | None = None, *,
+    texts: list[str | None], labels: np.ndarray, *,
     buckets: int = 1 << 15, dim: int = 16, n_filters: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7,
 ) -> Model:
-    """Adam on the logistic loss; every fifth row is held back for the thresholds."""
+    """Adam on the logistic loss; held-back rows are left to the thresholds."""
     rng = np.random.default_rng(seed)
     model = Model(
         rng.normal(0, 0.1, (buckets, dim)).astype(np.float32),
@@ -151,7 +165,7 @@ def train(
     if len(y) == 0 or y.min() == y.max():
         model.out[:], model.out_bias = 0, -40.0
         return model
-    back = np.arange(len(y)) % 5 == 4
+    back = held_back(len(y))
     vocab: dict[str, int] = {}
     docs = []
     for t in texts:
@@ -218,29 +232,46 @@ def train(
             bias_m += 0.1 * (d - bias_m)
             bias_v += 0.001 * (d * d - bias_v)
             model.out_bias -= rate * (bias_m / (1 - 0.9**step)) / (bias_v / (1 - 0.999**step)) ** 0.5 if bias_v else 0
-    held = np.flatnonzero(back)
-    if len(held) < 20 or y[held].max() == 0:
-        return model
-    scores = Scorer(model).score([texts[i] for i in held])
-    best = _best(scores, y[held])
-    model.out_bias += float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(best / (1 - best)))
-    shifted = 1 / (1 + np.exp(-(np.log(scores / (1 - scores)) + np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(best / (1 - best)))))
-    for lang in {x for x in (langs or []) if x is not None}:
-        own = np.array([langs[i] == lang for i in held])
-        if y[held][own].sum() >= 20:
-            model.thresholds[lang] = _best(shifted[own], y[held][own])
     return model
 
 
-def _best(scores: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the scores between which F1 is largest."""
-    order = np.argsort(-scores)
-    s, t = scores[order], y[order]
-    hits = np.cumsum(t)
-    f1 = 2 * hits / (np.arange(1, len(t) + 1) + t.sum())
+def _best(bins: list) -> float:
+    """The middle of the scores between which F1 is largest. Rows of bins: lo and hi (the ends of its logits), pos, n."""
+    bins = sorted(bins, key=lambda b: -b["lo"])
+    hits = np.cumsum([b["pos"] for b in bins])
+    f1 = 2 * hits / (np.cumsum([b["n"] for b in bins]) + hits[-1])
     i = int(f1.argmax())
-    low = s[i + 1] if i + 1 < len(s) else 0.0
-    return float(np.clip((s[i] + low) / 2, 1e-6, 1 - 1e-6))
+    low = _sigmoid(bins[i + 1]["hi"]) if i + 1 < len(bins) else 0.0
+    return float(np.clip((_sigmoid(bins[i]["lo"]) + low) / 2, 1e-6, 1 - 1e-6))
+
+
+def calibrate(model: Model, rows: DataFrame, bin_width: float = 0.02, min_positives: int = 20) -> None:
+    """Shift the score and set thresholds by language from all of rows (t, lang, __toxic).
+
+    What comes to the driver is a histogram: at most 80 / bin_width bins, and as many for each calibrated language."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scorer.logits(b.column(0).to_pylist()), pa.float64()), b.column(2)], ["lang", "z", "y"])
+
+    scored = rows.select("t", "lang", (F.col("__toxic") > 0).cast("long").alias("y")).mapInArrow(run, "lang string, z double, y long")
+    sums = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pos").alias("pos"), F.sum("n").alias("n")]
+    one = scored.select("lang", F.floor(F.col("z") / bin_width).alias("bin"), F.col("z").alias("lo"), F.col("z").alias("hi"), F.col("y").alias("pos"), F.lit(1).cast("long").alias("n"))
+    hist = cut(one.groupBy("lang", "bin").agg(*sums))
+    common = hist.groupBy("bin").agg(*sums).collect()
+    if sum(b["n"] for b in common) < 20 or not sum(b["pos"] for b in common):
+        return
+    best = _best(common)
+    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(best / (1 - best)))
+    model.out_bias += shift
+    enough = hist.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("pos").alias("__all")).where(F.col("__all") >= min_positives).select("lang")
+    by: dict[str, list] = {}
+    for r in hist.join(enough, "lang").collect():
+        by.setdefault(r["lang"], []).append({"lo": r["lo"] + shift, "hi": r["hi"] + shift, "pos": r["pos"], "n": r["n"]})
+    model.thresholds = {lang: _best(bins) for lang, bins in by.items()}
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -248,15 +279,24 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Model:
-    """Train on at most sample_rows labelled documents that are not held out, chosen by a hash of the id.
+    """Train on at most sample_rows labelled documents that are not held out, chosen by a hash of the id,
+    and calibrate on all the others that are not held out.
 
     The ids of the sample (bounded) are broadcast; its texts come to the driver."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
-    marks = marks.groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    known = marks.groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").alias("__toxic"))
+    marks = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), lang.alias("lang")).join(F.broadcast(marks), "__id")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), lang.alias("lang"))
+    rows = texts.join(F.broadcast(marks), "__id")
     got = sorted(rows.select("__id", "t", "lang", "__toxic").limit(2 * sample_rows).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
-    return train([r[1] for r in got], np.array([int(r[3] > 0) for r in got]), [r[2] for r in got])
+    y = np.array([int(r[3] > 0) for r in got])
+    model = train([r[1] for r in got], y)
+    if len(y) and y.min() < y.max():
+        learned = sorted({(r[0],) for r, back in zip(got, held_back(len(got))) if not back})
+        learned = docs.sparkSession.createDataFrame(learned, StructType([known.schema["__id"]]))
+        calibrate(model, texts.join(known.join(F.broadcast(learned), "__id", "left_anti"), "__id"))
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
