@@ -5,8 +5,9 @@ decontamination -> best-fit packing. Every stage takes what its predecessor
 kept, written as Parquet in the shared folder; all but the last return the
 columns of documents.
 
-Rows keep their place whatever their id: near-duplicates and contaminated
-documents are found by id where ids are unique; rows of one id share its fate.
+Near-duplicates and contaminated documents are found and dropped by a 64-bit hash
+of id and text, so null and repeated ids each have a fate of their own. Of rows
+that repeat id and text the near-dedup stage keeps one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from weft.llm.common import keyed
 from weft.llm.queries import tokenizer_path
 from weft.session import cut, table
 
@@ -24,6 +26,11 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns) if "n_chars" in columns else docs.select(*columns)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """docs with __row, which rows share only if they repeat id and text."""
+    return keyed(docs, "doc_id", "text").withColumn("__row", F.xxhash64("__k"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach their language's threshold go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -36,17 +43,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word fingerprints, the one with the smallest id stays."""
-    found = simhash.near_duplicates(docs, words=5, max_bits=3)
-    gone = found.where(F.col("id") > F.col("component")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    """Of documents linked by five-word fingerprints, one row with the smallest id stays; a null id comes last."""
+    rows = _with_row(docs)
+    found = simhash.near_duplicates(rows, words=5, max_bits=3, id_col="__row")
+    ids = rows.select(F.col("__row").alias("id"), "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "id")
+    kept = found.select("id", "component").distinct().join(ids, "id").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = cut(found.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    rows = _with_row(docs)
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
+    gone = cut(found.select(F.col("doc_id").alias("__row")).distinct())
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

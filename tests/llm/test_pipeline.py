@@ -77,3 +77,19 @@ def test_stages(spark, tables):
         assert after.columns == names
         before = after
     assert corpus_pipeline.run(spark, d).where(F.col("doc_id") == 3).count() == 1
+
+
+def test_stages_take_null_and_repeated_ids(spark, tables):
+    d, _, item = tables
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("bcdfgkmuv") for _ in range(6)) for _ in range(50))
+    same, clean, other, lone = text(), text(), text(), text()
+    rows = [(None, same), (7, same), (None, same), (8, other), (8, other), (8, clean), (None, f"{lone} {item}"), (9, f"{text()} {item}"), (9, lone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lambda df: sorted(((r[0], r[1]) for r in df.collect()), key=str)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs.where("text not like '%" + item + "'"), d)
+    assert got(left) == sorted([(7, same), (8, other), (8, clean), (9, lone)], key=str)
+    nulls = spark.createDataFrame([(None, same), (None, same), (None, other)], "doc_id long, text string")
+    assert got(corpus_pipeline.drop_near_duplicates(spark, nulls, d)) == sorted([(None, same), (None, other)], key=str)
+    left = corpus_pipeline.drop_contaminated(spark, docs, d)
+    assert got(left) == sorted([r for r in rows if item not in r[1]], key=str)
