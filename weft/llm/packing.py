@@ -14,8 +14,10 @@ table.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -34,71 +36,120 @@ _LATIN = regex.compile(r"[\p{ASCII}À-ÖØ-öø-ÿ]+").fullmatch
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, equal to the tokenizer's own.
+    """Ids of texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
     The vocabulary's pieces never cross a blank, so ids are looked up by chunk
-    between spaces and line ends; chunk and part tables are emptied when full."""
+    between spaces and line ends, and texts are encoded in groups that learn their
+    new chunks at once. Chunks and parts are kept in two generations: when the
+    young one is full it becomes the old one, and what is met again moves back, so
+    memory is bounded and frequent chunks are learned once."""
 
-    def __init__(self, path: str, entries: int = 300_000):
+    def __init__(self, vocabulary: bytes, entries: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.entries = Tokenizer.from_str(vocabulary.decode()), entries
+        self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of chunks not seen yet; all parts among them that are new go through the tokenizer at once."""
+    def _learn(self, new: set[str]) -> None:
+        """Ids of chunks not seen yet; all parts among them that are new go through the tokenizer in a few calls."""
         parts, split = self.parts, {}
         for c in new:
             if "<|" in c or not (c.isascii() or _LATIN(c)):
                 self.chunks[c] = self._encode(c)
             else:
                 split[c] = _PARTS(c.lower())
-        missing = list({p for ps in split.values() for p in ps}.difference(parts))
-        if missing:
-            e = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
+        missing = {p for ps in split.values() for p in ps}.difference(parts)
+        parts.update({p: self.old_parts[p] for p in missing & self.old_parts.keys()})
+        left = list(missing.difference(parts))
+        for first in range(0, len(left), 5000):
+            some = left[first : first + 5000]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(missing)), side="right").tolist()
+            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(some)), side="right").tolist()
             at = 0
-            for p, z in zip(missing, ends):
+            for p, z in zip(some, ends):
                 parts[p] = ids[4 * at : 4 * z]
                 at = z
         for c, ps in split.items():
             self.chunks[c] = b"".join([parts[p] for p in ps])
 
+    def _ready(self, words: list[list[str]]) -> None:
+        """All chunks of words are in the young generation."""
+        if len(self.chunks) > self.entries:
+            self.chunks, self.old_chunks = {}, self.chunks
+        if len(self.parts) > self.entries:
+            self.parts, self.old_parts = {}, self.parts
+        new = set().union(*words).difference(self.chunks)
+        kept = new & self.old_chunks.keys()
+        self.chunks.update({w: self.old_chunks[w] for w in kept})
+        self._learn(new - kept)
+
+    def encode_all(self, texts: list[str | None], group: int = 1 << 20) -> Iterator[bytes]:
+        """Ids of each text. Short texts go together, long ones in blocks that end at a blank."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to] or "") <= group):
+                size += len(texts[to] or "")
+                to += 1
+            if size > 2 * group:
+                yield b"".join(i for block in _blocks(texts[at], group) for i in self.encode_all([block], len(block)))
+            else:
+                words = [(t or "").replace("\n", " ").split(" ") for t in texts[at:to]]
+                self._ready(words)
+                for ws in words:
+                    yield b"".join(map(self.chunks.__getitem__, ws))
+            at = to
+
     def encode(self, text: str | None) -> bytes:
-        chunks = self.chunks
-        words = (text or "").replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in chunks]
-        if new:
-            if len(self.chunks) > self.entries:
-                self.chunks = {"": b""}
-                new = list(set(words) - {""})
-            if len(self.parts) > self.entries:
-                self.parts = {}
-            self._learn(new)
-        chunks = self.chunks
-        return b"".join([chunks[w] for w in words])
+        return next(self.encode_all([text]))
+
+
+def _blocks(text: str, size: int) -> Iterator[str]:
+    """text in blocks of about size that each end before a space; a chunk longer than that stays whole."""
+    at = 0
+    while at < len(text):
+        to = text.find(" ", at + size)
+        to = len(text) if to < 0 else to
+        yield text[at:to]
+        at = to + 1
+
+
+#: One encoder for each vocabulary in a worker process: what it has learned serves all of the process's tasks.
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def encoder(vocabulary: bytes) -> Encoder:
+    key = hashlib.sha256(vocabulary).digest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocabulary)
+    return _ENCODERS[key]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key, piece, start, length, ids_crc32 and, if asked for, ids (bytes).
 
-    row_key tells rows of one id apart only by their text; equal rows have equal pieces."""
+    row_key tells rows of one id apart only by their text; equal rows have equal pieces. The vocabulary's file is read
+    on the driver and sent to the tasks, a few MB whatever the corpus."""
     schema = StructType([StructField(n, LongType()) for n in ("doc_id", "row_key", "piece", "start", "length", "ids_crc32")])
     if with_ids:
         schema = schema.add("ids", BinaryType())
     end = np.array([end_id], "<u4").tobytes()
+    sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encode_all = encoder(sent.value).encode_all
         for b in batches:
             rows = []
-            for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids = encoder.encode(text) + end
+            for doc, key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encode_all(b.column(2).to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     rows.append((doc, key, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
