@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -71,7 +72,7 @@ def brute_fp(text, k):
     return sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 3])
+@pytest.mark.parametrize("bucket_rows", [4096, 16])
 def test_simhash(spark, bucket_rows, monkeypatch):
     monkeypatch.setattr(simhash.links, "__defaults__", (3, bucket_rows))
     rows = odd_rows()
@@ -110,7 +111,7 @@ def test_links_find_all_near_pairs(spark):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for bucket in (4096, 2):
+    for bucket in (4096, 16):
         roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, bucket)).collect()}
         for a, x in zip(fps, signed):
             for b, y in zip(fps, signed):
@@ -118,6 +119,28 @@ def test_links_find_all_near_pairs(spark):
                     assert roots.get(x, x) == roots.get(y, y)
 
 
+def test_hot_buckets_are_split_below_the_bound(spark):
+    rng = np.random.default_rng(5)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 11, 1500) << 32, rng.integers(0, 1 << 31, 7500) << 32]).astype(np.uint64) | np.uint64(0x1234567))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    buckets = df.select(F.lit(7).cast("long").alias("g"), F.lit((1 << 32) - 1).alias("used"), "fp")
+    for g in simhash.bounded_groups(buckets, 3, 500):
+        assert g.groupBy("g").count().where("count > 500").count() == 0
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, 500)).collect()}
+    root = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in simhash.forest(fps, 3):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -216,15 +239,25 @@ ODD_TEXTS = ["", " ", "a <|endoftext|> b", "x<|startoftext|>y", "Σας ΟΔΟΣ
 
 
 def test_encoder_equals_the_tokenizer():
-    e = packing.Encoder(tokenizer_path(), entries=50)
+    e = packing.Encoder(Path(tokenizer_path()).read_bytes(), entries=50)
     for t in ODD_TEXTS + [x or "" for _, x in odd_rows()]:
         assert e.encode(t) == e._encode(t), t
 
 
+def test_encoder_equals_the_tokenizer_in_groups_and_blocks():
+    rng = random.Random(4)
+    letters = "abAB é É ü ß 1² '’-_.,;!?&#$<|>\n\t\r\x0b\x1c\x85\xa0\u3000日本İǅΣςe\u0301ﬁ０"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 5, 40, 400)))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(("don't", "we'll", "café", "naïve", "<|endoftext|>", "x1y2", "")) for _ in range(9)) for _ in range(300)]
+    for entries, group in ((40, 300), (100_000, 1 << 20)):  # small tables change generations all the time, small groups cut texts
+        e = packing.Encoder(Path(tokenizer_path()).read_bytes(), entries=entries)
+        assert list(e.encode_all(texts, group)) == [e._encode(t) for t in texts]
+
+
 def test_packing(spark):
     rows = odd_rows() + [(500 + i, t) for i, t in enumerate(ODD_TEXTS)]
     got = packing.pack_documents(docs_of(spark, rows), tokenizer_path(), length=64, with_ids=True).toPandas()
-    e = packing.Encoder(tokenizer_path())
+    e = packing.Encoder(Path(tokenizer_path()).read_bytes())
     want = Counter()
     for i, t in rows:
         ids = e._encode(t or "") + bytes(4)
