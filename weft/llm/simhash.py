@@ -9,10 +9,14 @@ and each candidate is verified on all 64 bits.
 
 Documents are first reduced to distinct fingerprints, so copies cost nothing
 after that. Inside a bucket only a spanning forest of the verified links is
-emitted, never all pairs; buckets over `bucket_rows` are split again by the
-bits of the other segments, which keeps every link (by the same pigeonhole).
-Components follow by rounds of alternating min-label stars with a table
-written to the shared folder in between.
+emitted, never all pairs. A bucket over `bucket_rows` is split: the bits that its
+members need not share are cut into max_bits + 1 slices, of which every linked
+pair shares one, and the bucket is dealt by each slice. What is still too large
+is dealt again by the bits left over, until no group is over the bound; since
+fingerprints are distinct, that takes few rounds. Components follow by rounds of
+alternating min-label stars with a table written to the shared folder in between;
+their number grows with the logarithm of the longest chain, and a run that has not
+settled after `max_rounds` ends with an error, never with wrong components.
 
 Edge cases: null and empty texts have fingerprint zero and link to one another;
 texts with fewer words than a shingle are one shingle; repeated rows keep one
@@ -23,6 +27,7 @@ last in the choice of a component's smallest id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_counted
 
 SEED = 42
 #: A-Z to a-z; and the six blanks to a space, so that words can be split fast.
@@ -77,6 +82,10 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, z - a) for a, z in zip(edges, edges[1:])]
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _variants(max_bits: int) -> F.Column:
     """array<struct<seg, rest>>: each segment whole, and with each bit left out."""
     out = []
@@ -84,8 +93,7 @@ def _variants(max_bits: int) -> F.Column:
         part = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col("fp")
         out.append(F.struct(F.lit(s * 65).alias("seg"), part.alias("rest"), F.lit(0).alias("bit")))
         for j in range(width):
-            mask = ~(1 << j) & ((1 << 64) - 1)
-            mask -= (1 << 64) if mask >= 1 << 63 else 0
+            mask = _signed(~(1 << j) & ((1 << 64) - 1))
             bit = F.shiftrightunsigned("fp", at + j).bitwiseAND(F.lit(1)).cast("int")
             out.append(F.struct(F.lit(s * 65 + 1 + j).alias("seg"), part.bitwiseAND(F.lit(mask)).alias("rest"), bit.alias("bit")))
     return F.array(*out)
@@ -107,27 +115,63 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _deal(groups: DataFrame, max_bits: int) -> DataFrame:
+    """groups(g, used, fp), used being the bits that a group's members share or ignore: dealt by each slice of the other bits."""
+    slices: dict[int, list[int]] = {}
+
+    def masks(used: int) -> list[int]:
+        if used not in slices:
+            free = [1 << i for i in range(64) if not used >> i & 1]
+            edges = [len(free) * i // (max_bits + 1) for i in range(max_bits + 2)]
+            slices[used] = [sum(free[a:z]) for a, z in zip(edges, edges[1:])]
+        return slices[used]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, used, fp = (b.column(i).to_numpy() for i in range(3))
+            for u in np.unique(used):
+                mine = used == u
+                for i, mask in enumerate(masks(int(u) & ((1 << 64) - 1))):
+                    m = np.uint64(mask)
+                    part = (fp[mine].view(np.uint64) & m).view(np.int64)
+                    taken = np.full(len(part), (u.view(np.uint64) | m).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(g[mine]), pa.array(np.full(len(part), i, np.int32)), pa.array(part), pa.array(taken), pa.array(fp[mine])], ["g", "i", "part", "used", "fp"])
+
+    dealt = groups.select("g", "used", "fp").mapInArrow(run, "g long, i int, part long, used long, fp long")
+    return dealt.select(F.xxhash64("g", "i", "part").alias("g"), "used", "fp")
+
+
+def bounded_groups(groups: DataFrame, max_bits: int, bucket_rows: int) -> list[DataFrame]:
+    """groups(g, used, fp) of distinct fingerprints as tables (g, fp) in which no group is over bucket_rows, no linked pair being parted.
+
+    Only groups with at most max_bits free bits, which are at most 2 ** (max_bits + 1) fingerprints, are not dealt again."""
+    out = []
+    free = F.lit(64) - F.bit_count("used")
+    while True:
+        large = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("g")
+        left, n = cut_counted(groups.join(large, "g", "left_semi").where(free > max_bits).select("g", "used", "fp"))
+        if not n:
+            return [*out, groups.select("g", "fp")]
+        out.append(groups.join(left.select("g").distinct(), "g", "left_anti").select("g", "fp"))
+        groups = cut(_deal(left, max_bits))
+
+
 def links(fps: DataFrame, max_bits: int = 3, bucket_rows: int = 4096) -> DataFrame:
     """A spanning set (a, b) of all links between distinct fingerprints `fp`."""
     keys = fps.select("fp", F.explode(_variants(max_bits)).alias("v")).select("v.seg", "v.rest", "v.bit", "fp")
     sizes = keys.groupBy("seg", "rest").agg(F.count(F.lit(1)).alias("n"), F.min("bit").alias("lo"), F.max("bit").alias("hi"))
     # a wildcard bucket with one value of the left-out bit only repeats its whole segment's bucket
     sizes = sizes.where((F.col("n") > 1) & ((F.col("seg") % 65 == 0) | (F.col("lo") < F.col("hi"))))
-    full = keys.join(sizes.select("seg", "rest", "n"), ["seg", "rest"])
-    # large buckets: k differing bits leave one of k + 1 slices of the word equal, so splitting by each slice loses no link
-    slices = []
-    for i in range(max_bits + 1):
-        a, z = 64 * i // (max_bits + 1), 64 * (i + 1) // (max_bits + 1)
-        slices.append(F.struct(F.lit(i + 1).alias("i"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("part")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("part")))
-    dealt = full.select("seg", "rest", "fp", F.explode(F.when(F.col("n") <= bucket_rows, one).otherwise(F.array(*slices))).alias("s"))
+    own = F.array(*[F.lit(_signed(((1 << width) - 1) << at)) for at, width in segments(max_bits)])
+    used = F.element_at(own, (F.floor(F.col("seg") / 65) + 1).cast("int"))
+    buckets = cut(keys.join(sizes.select("seg", "rest"), ["seg", "rest"]).select(F.xxhash64("seg", "rest").alias("g"), used.alias("used"), "fp"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         e = forest(np.unique(pdf["fp"].to_numpy().view(np.uint64)), max_bits)
         return pd.DataFrame(np.array(e, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
-    dealt = dealt.select(F.xxhash64("seg", "rest", "s.i", "s.part").alias("g"), "fp")
-    return dealt.groupBy("g").applyInPandas(solve, "a long, b long").distinct()
+    found = [x.groupBy("g").applyInPandas(solve, "a long, b long") for x in bounded_groups(buckets, max_bits, bucket_rows)]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -156,6 +200,9 @@ def near_duplicates(
     """id, fp, component (smallest id of all that is linked, directly or not)."""
     fps = cut(fingerprints(docs, words, id_col, text_col))
     distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    # dealt by number, since small partitions would be joined to few before each row becomes many signatures
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.repartition(parts, "fp")
     roots = components(links(distinct.select("fp"), max_bits))
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component"))
