@@ -63,7 +63,7 @@ def op9_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame
     spans = F.col("__spans")
     base = F.filter(spans, lambda s: s["kind"] != "term")
     of = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+    return out.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 #: Conversation -1 of the contract: control strings inside both texts.
