@@ -154,7 +154,7 @@ def test_scan(spark):
     tech = {(r["unit"], r["name"]) for r in s.technologies.collect()}
     assert {("shop", "PostgreSQL"), ("shop", "SQL"), ("shop", "React"), ("express", "Express")} <= tech and ("react-manifest-only", "React") not in tech
     assert [(r["call_unit"], r["target_unit"]) for r in http_edges(s).collect()] == [("shop", "express")]
-    assert {r["kind"] for r in s.dependencies.where("unit = 'spring'").collect()} == {"imports", "references"}
+    assert {r["kind"] for r in s.dependencies.where("unit = 'spring'").collect()} == {"imports", "references", "requires"}
 
 
 def test_registry_and_refresh(spark, tmp_path):

@@ -27,15 +27,14 @@ HASH_ENDINGS = ("py", "rb", "ex", "exs")
 
 
 def masked(files: DataFrame) -> DataFrame:
-    """files with masked: text in which comments are blanks; line ends stay, so do strings."""
+    """files with masked: text in which comments are blanks; line ends stay, so do strings. Only text and ending leave the JVM."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def without_comments(code: pd.Series, ext: pd.Series) -> pd.Series:
         blank = lambda m: m[1] or re.sub(r"[^\n]", " ", m[2])
-        for b in batches:
-            b["masked"] = [None if t is None else (_HASH if e in HASH_ENDINGS else _C_STYLE).sub(blank, t) for t, e in zip(b["text"], b["ext"])]
-            yield b
+        return pd.Series([None if t is None else (_HASH if e in HASH_ENDINGS else _C_STYLE).sub(blank, t) for t, e in zip(code, ext)], dtype=object)
 
-    return files.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", masked string")
+    return files.withColumn("masked", without_comments("text", "ext"))
 
 
 # ---------------------------------------------------------------- declarations and imports
@@ -87,7 +86,39 @@ def _by_language(rules: list[tuple[str, str]], column: str = "line") -> Column:
 
 def imports(files: DataFrame) -> DataFrame:
     """unit, rel_path, language, line_no, specifier."""
-    return _code_lines(files).withColumn("specifier", _by_language(IMPORTS)).where("specifier IS NOT NULL").drop("line")
+    lines = _code_lines(files).withColumn("specifier", _by_language(IMPORTS)).where("specifier IS NOT NULL")
+    # Python names several modules after one import
+    listed = F.transform(F.split(F.regexp_extract("line", r"^\s*import\s+([^#;]+)", 1), ","), lambda x: F.regexp_extract(x, r"^\s*([\w.]+)", 1))
+    several = F.when((F.col("language") == "Python") & F.col("line").rlike(r"^\s*import\s"), F.filter(listed, lambda x: x != "")).otherwise(F.array("specifier"))
+    return lines.withColumn("specifier", F.explode(several)).drop("line")
+
+
+def ts_aliases(files: DataFrame) -> DataFrame:
+    """unit, folder, pattern, head, tail, target: paths of tsconfig.json (else jsconfig.json), with what stands before and after the
+    pattern's star, and baseUrl alone as the pattern "*". Targets are seen from the unit's root."""
+    known = files.where(F.col("name").isin("tsconfig.json", "jsconfig.json") & F.col("masked").isNotNull())
+    known = known.withColumn("folder", F.regexp_replace("rel_path", "/?[^/]*$", ""))
+    best = known.groupBy("unit", "folder").agg(F.min_by("masked", F.col("name") != "tsconfig.json").alias("t"))  # tsconfig comes first
+    config = F.from_json(F.regexp_replace("t", r",(\s*[}\]])", "$1"), "compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>")
+    o = best.select("unit", "folder", config["compilerOptions"].alias("o")).where("o IS NOT NULL")
+    base = F.coalesce("o.baseUrl", F.lit("."))
+    plain = o.where("o.baseUrl IS NOT NULL").select("unit", "folder", F.lit("*").alias("pattern"), base.alias("base"), F.lit("*").alias("to"))
+    named = o.select("unit", "folder", base.alias("base"), F.explode("o.paths").alias("pattern", "tos")).select("unit", "folder", "pattern", "base", F.explode("tos").alias("to"))
+    star = lambda c: F.substring_index(c, "*", 1)
+    tail = F.when(F.col("pattern").contains("*"), F.substring_index("pattern", "*", -1)).otherwise("")
+    both = plain.unionByName(named)
+    return both.select("unit", "folder", "pattern", star(F.col("pattern")).alias("head"), tail.alias("tail"), joined_path(joined_path(F.col("folder"), F.col("base")), F.col("to")).alias("target"))
+
+
+def aliased(found: DataFrame, aliases: DataFrame) -> DataFrame:
+    """imports with the specifiers that their unit's aliases stand for, beside the specifiers themselves; a folder's aliases serve what lies below it."""
+    js = found.where(F.col("language").isin("TypeScript", "JavaScript", "Vue", "Svelte", "Astro") & ~F.col("specifier").startswith("."))
+    hit = js.join(aliases, "unit").where(
+        ((F.col("folder") == "") | F.col("rel_path").startswith(F.concat("folder", F.lit("/"))))
+        & F.when(F.col("pattern").contains("*"), F.col("specifier").startswith(F.col("head")) & F.col("specifier").endswith(F.col("tail"))).otherwise(F.col("specifier") == F.col("pattern"))
+    )  # an equi join on the unit, whose configuration names few aliases
+    inner = F.expr("substring(specifier, length(head) + 1, length(specifier) - length(head) - length(tail))")
+    return found.unionByName(hit.withColumn("specifier", F.concat(F.lit("/"), F.replace(F.col("target"), F.lit("*"), inner))).select(*found.columns))
 
 
 def namespaces(files: DataFrame) -> DataFrame:
@@ -108,7 +139,7 @@ def import_candidates(found: DataFrame) -> DataFrame:
     base = F.regexp_replace("rel_path", "/?[^/]*$", "")
     relative = F.col("specifier").startswith(".")
     dotted = F.regexp_replace(F.regexp_replace("specifier", r"\.\*$", ""), r"[.\\]", "/")
-    stem = F.when(relative & F.col("specifier").contains("/"), joined_path(base, F.col("specifier"))).when(F.col("language").isin("Ruby", "Rust"), joined_path(base, F.col("specifier"))).otherwise(F.when(F.col("specifier").contains("/"), F.col("specifier")).otherwise(dotted))
+    stem = F.when(relative & F.col("specifier").contains("/"), joined_path(base, F.col("specifier"))).when(F.col("language").isin("Ruby", "Rust"), joined_path(base, F.col("specifier"))).otherwise(F.when(F.col("specifier").contains("/"), F.regexp_replace("specifier", "^/", "")).otherwise(dotted))
     ends = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ".vue", ".svelte", ".py", "/__init__.py", ".rb", ".rs", "/mod.rs", ".java", ".kt", ".php", ".ex"]
     tries = F.array(*[F.concat(stem, F.lit(e)) for e in ends])
     return found.select("unit", "rel_path", "specifier", F.posexplode(tries).alias("ord", "path"))
@@ -130,22 +161,36 @@ def import_edges(files: DataFrame, found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- HTTP calls
 
 _LITERAL = r"""[`'"]([^`'"]*)[`'"]"""
+#: A call's first argument: literals, other characters and brackets up to two deep, no further than 60 pieces.
+_ARGUMENT = r"""((?:"[^"\n]*"|'[^'\n]*'|`[^`]*`|[^(),"'`{}\[\]]++|[({\[](?:"[^"\n]*"|'[^'\n]*'|`[^`]*`|[^(){}\[\]"'`]++|[({\[][^(){}\[\]]*+[)}\]]){0,60}+[)}\]]){0,60}+)"""
+_VERB = rf"""\b((?:this\.)?#?[\w$]+)\.(get|post|put|patch|delete)\s*(?:<[^>(]*>)?\(\s*{_ARGUMENT}"""
+_FETCH = rf"\bfetch\s*\(\s*{_ARGUMENT}[^;]{{0,320}}"
+#: What in a file names a client: a parameter or field of Angular's type, its injection, an instance of axios.
+_CLIENTS = r"([\w$]+)\s*[:?]{1,2}\s*HttpClient\b|([\w$]+)\s*=\s*(?:inject\(\s*HttpClient\s*\)|axios\.create\()"
+
+
+def called_url(argument: Column) -> Column:
+    """The joined literals of an argument; null if it holds none."""
+    pieces = F.regexp_extract_all(argument, F.lit(r""""([^"\n]*)"|'([^'\n]*)'|`([^`]*)`"""), F.lit(0))
+    bare = F.transform(pieces, lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))
+    return F.when(F.size(pieces) > 0, F.array_join(bare, ""))
 
 
 def http_calls(files: DataFrame) -> DataFrame:
-    """unit, file, method, path, origin: calls of common clients; an argument that is no literal gives dynamic://unresolved."""
+    """unit, file, method, path, origin: calls of axios, Angular's HttpClient under any name, and fetch; an argument without an
+    absolute path gives dynamic://unresolved."""
     src = files.where(F.col("ext").isin("ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "svelte", "astro") & F.col("masked").isNotNull())
-    receivers = r"(?:axios|this\.(?:http|httpClient)|http|httpClient)"
-    verb = rf"\b{receivers}\.(get|post|put|patch|delete)\s*(?:<[^>(]*>)?\(\s*(?:{_LITERAL})?"
-    fetch = rf"\bfetch\s*\(\s*(?:{_LITERAL})?[^;]{{0,320}}"
-    a = src.select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(verb), F.lit(0))).alias("m"))
-    a = a.select("unit", "file", F.upper(F.regexp_extract("m", verb, 1)).alias("method"), F.regexp_extract("m", verb, 2).alias("url"))
-    b = src.select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(fetch), F.lit(0))).alias("m"))
+    named = F.transform(F.regexp_extract_all("masked", F.lit(_CLIENTS), F.lit(0)), lambda x: F.regexp_extract(x, r"^([\w$]+)", 1))
+    clients = F.concat(F.array(*map(F.lit, ("axios", "http", "httpClient"))), named)
+    a = src.select("unit", F.col("rel_path").alias("file"), clients.alias("clients"), F.explode(F.regexp_extract_all("masked", F.lit(_VERB), F.lit(0))).alias("m"))
+    a = a.where(F.array_contains("clients", F.regexp_replace(F.regexp_extract("m", _VERB, 1), r"^(this\.)?#?", "")))
+    a = a.select("unit", "file", F.upper(F.regexp_extract("m", _VERB, 2)).alias("method"), called_url(F.regexp_extract("m", _VERB, 3)).alias("url"))
+    b = src.select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(_FETCH), F.lit(0))).alias("m"))
     said = F.upper(F.regexp_extract("m", r"""method\s*:\s*['"`](\w+)['"`]""", 1))
-    b = b.select("unit", "file", F.when(said != "", said).otherwise("GET").alias("method"), F.regexp_extract("m", fetch, 1).alias("url"))
+    b = b.select("unit", "file", F.when(said != "", said).otherwise("GET").alias("method"), called_url(F.regexp_extract("m", _FETCH, 1)).alias("url"))
     both = a.unionByName(b)
     origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    known = (F.col("url") != "") & F.col("url").rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*://)")
+    known = F.coalesce(F.col("url").rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*://)"), F.lit(False))
     path = F.when(~known, "dynamic://unresolved").otherwise(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""))
     return both.select("unit", "file", "method", path.alias("path"), F.when(~known, "dynamic://unresolved").when(origin != "", origin).alias("origin")).distinct()
 
@@ -221,7 +266,9 @@ _Q = r"""['"`]([^'"`]*)['"`]"""
 
 @dataclass(frozen=True)
 class Route:
-    """In files of a framework: each match of pattern is an entrypoint. method: a group's number or a constant."""
+    """In files of a framework: each match of pattern is an entrypoint for each method that the group's text names.
+
+    method: a group's number or a constant. Where inside is given, a match is searched by its two patterns for method and path."""
 
     framework: str
     files: str
@@ -231,6 +278,12 @@ class Route:
     confidence: int
     prefix: str = ""  # group 1 of its first match in the file goes before
     when: str = ""  # the file must match
+    receiver: int = 0  # this group must be one of RECEIVERS or be assigned as `assigned` says
+    assigned: str = ""
+    inside: tuple[str, str] | None = None
+
+
+RECEIVERS = ("app", "router", "server", "api")
 
 
 ROUTES: list[Route] = [
@@ -238,24 +291,23 @@ ROUTES: list[Route] = [
     Route("React", r"\.(jsx|tsx|js|ts)$", rf"\bpath\s*[=:]\s*\{{?\s*{_Q}", "ROUTE", 1, 88, when="react-router|<Route|createBrowserRouter"),
     Route("Vue", r"\.(ts|js|vue)$", rf"\bpath\s*:\s*{_Q}", "ROUTE", 1, 92, when="createRouter|vue-router"),
     Route("NestJS", r"\.ts$", rf"@(Get|Post|Put|Patch|Delete|Options|Head)\(\s*(?:{_Q})?\s*\)", 1, 2, 98, prefix=rf"@Controller\(\s*{_Q}"),
-    Route("Express", r"\.(js|ts|mjs|cjs)$", rf"\b(?:app|router|server|api)\.(get|post|put|patch|delete|options|all)\(\s*{_Q}", 1, 2, 94),
+    Route("Express", r"\.(js|ts|mjs|cjs)$", rf"\b([\w$]+)\.(get|post|put|patch|delete|options|all)\(\s*{_Q}", 2, 3, 94, receiver=1, assigned=r"([\w$]+)\s*=\s*(?:express\s*\(|(?:express\.)?Router\s*\()"),
     Route("Fastify", r"\.(js|ts|mjs|cjs)$", rf"\.(get|post|put|patch|delete|options|head|all)\(\s*{_Q}", 1, 2, 95),
+    Route("Fastify", r"\.(js|ts|mjs|cjs)$", r"\.route\(\s*\{[^}]*\}", 1, 1, 95, inside=(r"""\bmethod\s*:\s*(\[[^\]]*\]|['"`]\w+['"`])""", rf"\b(?:url|path)\s*:\s*{_Q}")),
     Route("Hono", r"\.(js|ts|tsx|mjs)$", rf"\.(get|post|put|patch|delete|options|all)\(\s*{_Q}", 1, 2, 96, prefix=rf"\.basePath\(\s*{_Q}"),
     Route("FastAPI", r"\.py$", rf"@\w+\.(get|post|put|patch|delete|options|head)\(\s*{_Q}", 1, 2, 98),
     Route("Flask", r"\.py$", rf"@\w+\.(get|post|put|patch|delete)\(\s*{_Q}", 1, 2, 98),
-    Route("Flask", r"\.py$", rf"@\w+\.route\(\s*{_Q}(?:\s*,\s*methods\s*=\s*\[\s*['\"](\w+)['\"])?", 2, 1, 94),
+    Route("Flask", r"\.py$", rf"@\w+\.route\(\s*{_Q}(?:[^)]*?\bmethods\s*=\s*[\[({{]([^\])}}]*))?", 2, 1, 94),
     Route("ASP.NET", r"\.cs$", rf"\.Map(Get|Post|Put|Patch|Delete)\(\s*{_Q}", 1, 2, 96),
     Route("ASP.NET", r"\.cs$", rf"\[Http(Get|Post|Put|Patch|Delete)(?:\(\s*{_Q}\s*\))?\]", 1, 2, 98, prefix=rf"\[Route\(\s*{_Q}"),
     Route("Blazor", r"\.razor$", rf"@page\s+{_Q}", "ROUTE", 1, 99),
-    Route("Symfony", r"\.php$", rf"#\[Route\(\s*{_Q}(?:[^\]]*methods\s*:\s*\[\s*['\"](\w+)['\"])?", 2, 1, 98),
+    Route("Symfony", r"\.php$", rf"#\[Route\(\s*(?:path\s*:\s*)?{_Q}(?:[^\]]*?\bmethods\s*:\s*(\[[^\]]*\]|['\"]\w+['\"]))?", 2, 1, 98),
     Route("Rails", r"(^|/)config/routes\.rb$", rf"(?m)^\s*(get|post|put|patch|delete)\s+{_Q}", 1, 2, 92),
     Route("Go web", r"\.go$", rf"\.HandleFunc\(\s*{_Q}", "ANY", 1, 90), Route("Go web", r"\.go$", rf"\.(GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete)\(\s*{_Q}", 1, 2, 90),
     Route("Rust web", r"\.rs$", rf"#\[(get|post|put|patch|delete)\(\s*{_Q}", 1, 2, 96), Route("Rust web", r"\.rs$", rf"\.route\(\s*{_Q}\s*,\s*(?:\w+::)*(get|post|put|patch|delete|any)\(", 2, 1, 90),
     Route("Quarkus", r"\.(java|kt)$", rf"@(GET|POST|PUT|PATCH|DELETE)\s+(?:@(?!Path)\w+(?:\([^)]*\))?\s+)*@Path\(\s*{_Q}\s*\)", 1, 2, 96, prefix=rf"@Path\(\s*{_Q}"),
     Route("Quarkus", r"\.(java|kt)$", r"@(GET|POST|PUT|PATCH|DELETE)()\s+(?!@Path)(?:@\w+(?:\([^)]*\))?\s+)*(?=public|fun|[A-Z])", 1, 2, 96, prefix=rf"@Path\(\s*{_Q}"),
     Route("Micronaut", r"\.(java|kt)$", rf"@(Get|Post|Put|Patch|Delete)(?:\(\s*{_Q}\s*\))?", 1, 2, 96, prefix=rf"@Controller\(\s*{_Q}"),
-    Route("Spring Boot", r"\.(java|kt)$", rf"@(Get|Post|Put|Patch|Delete)Mapping(?:\(\s*(?:(?:value|path)\s*=\s*)?\{{?\s*(?:{_Q})?[^)]*\))?", 1, 2, 95, prefix=rf"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{{?\s*{_Q}[^)]*\)[^;]*?\b(?:class|interface)\b"),
-    Route("Spring Boot", r"\.(java|kt)$", rf"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?{_Q}[^)]*RequestMethod\.(\w+)[^)]*\)", 2, 1, 95, prefix=rf"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{{?\s*{_Q}[^)]*\)[^;]*?\b(?:class|interface)\b"),
 ]
 
 #: Resources as REST routes: method, what follows the collection's path ({s}: a member).
@@ -269,6 +321,63 @@ def route_path(prefix: Column, path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(shown, "/"))
 
 
+def _methods(said: Column, default: str) -> Column:
+    """The verbs that a text names, in capitals; ALL is ANY."""
+    verbs = F.array_distinct(F.transform(F.regexp_extract_all(said, F.lit("[A-Za-z]+"), F.lit(0)), lambda v: F.when(F.upper(v) == "ALL", "ANY").otherwise(F.upper(v))))
+    return F.when(F.size(verbs) > 0, verbs).otherwise(F.array(F.lit(default)))
+
+
+def _of_receivers(hits: Column, names: Column, r: Route) -> Column:
+    return F.filter(hits, lambda m: F.array_contains(names, F.regexp_extract(m, r.pattern, r.receiver)))
+
+
+#: An annotation's arguments, with brackets one deep.
+_ARGS = r"""\(((?:"[^"\n]*"|[^()"]++|\((?:"[^"\n]*"|[^()"]++){0,40}+\)){0,60}+)\)"""
+
+
+def _annotated(args: Column) -> Column:
+    """The paths among an annotation's arguments: all literals that belong to no other name than path or value."""
+    own = F.regexp_replace(args, r"""\b(?!path\b|value\b)\w+\s*=\s*(?:\{[^}]*\}|"[^"]*")""", " ")
+    found = F.regexp_extract_all(own, F.lit(r'"([^"\n]*)"'), F.lit(1))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+
+def spring_routes(files: DataFrame) -> DataFrame:
+    """Each base path of the class with each path and method of its methods. A @RequestMapping of a method counts if it names methods."""
+    src = files.where(F.col("rel_path").rlike(r"\.(java|kt)$") & F.col("masked").rlike("@[A-Za-z]*Mapping"))
+    # annotations before the first type are the class's own
+    head = F.regexp_extract("masked", r"(?s)^(.*?)\b(?:class|interface|object)\s", 1)
+    base = F.regexp_extract(head, rf"(?s)@RequestMapping\s*{_ARGS}", 1)
+    body = F.expr("substring(masked, length(head) + 1)")
+    src = src.withColumn("head", head).select("unit", F.col("rel_path").alias("file"), _annotated(base).alias("bases"), body.alias("body"))
+    verb = rf"@(Get|Post|Put|Patch|Delete)Mapping\b(?:\s*{_ARGS})?"
+    a = src.select("unit", "file", "bases", F.explode(F.regexp_extract_all("body", F.lit(verb), F.lit(0))).alias("m"))
+    a = a.select("unit", "file", "bases", F.array(F.upper(F.regexp_extract("m", verb, 1))).alias("methods"), _annotated(F.regexp_extract("m", verb, 2)).alias("paths"))
+    mapped = rf"@RequestMapping\s*{_ARGS}"
+    b = src.select("unit", "file", "bases", F.explode(F.regexp_extract_all("body", F.lit(mapped), F.lit(1))).alias("m"))
+    b = b.select("unit", "file", "bases", F.regexp_extract_all("m", F.lit(r"\b(?:RequestMethod\.)(\w+)"), F.lit(1)).alias("methods"), _annotated(F.col("m")).alias("paths")).where(F.size("methods") > 0)
+    rows = a.unionByName(b).select("unit", "file", "bases", F.explode("methods").alias("method"), "paths").select("unit", "file", "bases", "method", F.explode("paths").alias("p")).select("unit", "file", F.explode("bases").alias("base"), "method", "p")
+    return rows.select(F.lit("Spring Boot").alias("framework"), "unit", "file", "method", route_path(F.col("base"), F.col("p")).alias("path"), F.lit(95).alias("confidence"))
+
+
+def nested_routes(files: DataFrame, depth: int = 4) -> DataFrame:
+    """Axum: routes of a function under the prefixes at which the same file nests its router, up to depth nestings."""
+    src = files.where((F.col("ext") == "rs") & F.col("masked").contains(".nest("))
+    each = src.select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(r"(?s)\bfn\s+\w+(?:(?!\bfn\s).)*+"), F.lit(0))).alias("f"))
+    each = each.select("unit", "file", F.regexp_extract("f", r"^fn\s+(\w+)", 1).alias("fn"), "f")
+    nest = rf"\.nest\(\s*{_Q}\s*,\s*(?:\w+::)*(\w+)\("
+    nests = each.select("unit", "file", F.col("fn").alias("outer"), F.explode(F.regexp_extract_all("f", F.lit(nest), F.lit(0))).alias("m"))
+    nests = nests.select("unit", "file", "outer", F.regexp_extract("m", nest, 1).alias("prefix"), F.regexp_extract("m", nest, 2).alias("fn"))
+    route = rf"\.route\(\s*{_Q}\s*,\s*(?:\w+::)*(get|post|put|patch|delete|any)\("
+    rows = each.select("unit", "file", "fn", F.explode(F.regexp_extract_all("f", F.lit(route), F.lit(0))).alias("m"))
+    rows = rows.select("unit", "file", "fn", F.upper(F.regexp_extract("m", route, 2)).alias("method"), F.regexp_extract("m", route, 1).alias("path"))
+    out = None
+    for _ in range(depth):
+        rows = rows.join(nests, ["unit", "file", "fn"]).select("unit", "file", F.col("outer").alias("fn"), "method", F.concat_ws("/", "prefix", "path").alias("path"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select(F.lit("Rust web").alias("framework"), "unit", "file", "method", route_path(F.lit(""), F.col("path")).alias("path"), F.lit(90).alias("confidence"))
+
+
 def pattern_routes(files: DataFrame) -> DataFrame:
     """framework, unit, file, method, path, confidence of all rules."""
     out = []
@@ -277,13 +386,18 @@ def pattern_routes(files: DataFrame) -> DataFrame:
         if r.when:
             on = on & F.col("masked").rlike(r.when)
         hits = F.regexp_extract_all("masked", F.lit(r.pattern), F.lit(0))
-        method = F.upper(F.regexp_extract("m", r.pattern, r.method)) if isinstance(r.method, int) else F.lit(r.method)
-        method = F.when(method == "ALL", "ANY").when(method == "", F.lit("GET" if r.framework == "Flask" else "ANY")).otherwise(method)
+        if r.receiver:
+            names = F.concat(F.array(*map(F.lit, RECEIVERS)), F.regexp_extract_all("masked", F.lit(r.assigned), F.lit(1)))
+            hits = _of_receivers(hits, names, r)
+        of = lambda group, i, r=r: F.regexp_extract("m", r.inside[i] if r.inside else r.pattern, group)
         prefix = F.regexp_extract("masked", f"(?s){r.prefix}", 1) if r.prefix else F.lit("")
         if r.framework == "ASP.NET" and r.prefix:
             prefix = F.replace(prefix, F.lit("[controller]"), F.regexp_replace("name", r"(Controller)?\.cs$", ""))
         rows = files.where(on & F.col("masked").isNotNull()).select("unit", F.col("rel_path").alias("file"), prefix.alias("prefix"), F.explode(hits).alias("m"))
-        rows = rows.select(F.lit(r.framework).alias("framework"), "unit", "file", method.alias("method"), route_path(F.col("prefix"), F.regexp_extract("m", r.pattern, r.path)).alias("path"), F.lit(r.confidence).alias("confidence"))
+        default = "GET" if r.framework == "Flask" else "ANY"
+        methods = _methods(of(r.method, 0), default) if isinstance(r.method, int) else F.array(F.lit(r.method))
+        rows = rows.where(of(r.path, 1) != "") if r.inside else rows
+        rows = rows.select(F.lit(r.framework).alias("framework"), "unit", "file", F.explode(methods).alias("method"), route_path(F.col("prefix"), of(r.path, 1)).alias("path"), F.lit(r.confidence).alias("confidence"))
         out.append(rows)
     resources = files.where(F.col("rel_path").rlike(r"(^|/)config/routes\.rb$") & F.col("masked").isNotNull()).select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(r"(?m)^\s*resources\s+:(\w+)"), F.lit(1))).alias("r"))
     out.append(rest_routes(resources, "Rails"))
@@ -416,7 +530,7 @@ def django_routes(files: DataFrame) -> DataFrame:
 
 def entrypoints(files: DataFrame, found: DataFrame) -> DataFrame:
     """unit, id, name, kind, framework, file, confidence of frameworks that are actionable in their unit."""
-    rows = pattern_routes(files).unionByName(file_routes(files)).unionByName(scoped_routes(files)).unionByName(django_routes(files))
+    rows = pattern_routes(files).unionByName(file_routes(files)).unionByName(scoped_routes(files)).unionByName(django_routes(files)).unionByName(spring_routes(files)).unionByName(nested_routes(files))
     live = found.where("actionable").select("unit", F.col("name").alias("framework"))
     rows = rows.join(live, ["unit", "framework"], "left_semi")
     rows = rows.groupBy("unit", "framework", "file", "method", "path").agg(F.max("confidence").alias("confidence"))

@@ -69,10 +69,6 @@ def workspace_slice(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, Dat
     return nodes, keep_first(kept, ["source", "target", "kind"], [F.desc_nulls_last("confidence"), F.asc_nulls_first("evidence")])
 
 
-def workspace_impact(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return impact_slice(edges, starts)
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; the rank limit is applied before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -181,8 +177,17 @@ def workspace_integrity(units: DataFrame, components: DataFrame, entrypoints: Da
 
 
 def resolve_targets(targets: DataFrame, components: DataFrame, entrypoints: DataFrame) -> DataFrame:
-    """target, component: an entrypoint's component, else the component with or without the prefix "component:"."""
-    e = entrypoints.select(F.col("entrypoint").alias("target"), F.col("entry_component").alias("by_entry"))
-    c = components.select(F.col("component").alias("bare"), F.col("component").alias("by_id")).distinct()
+    """targets with component: an entrypoint's component, else the component with or without the prefix "component:".
+
+    targets(target), components(component), entrypoints(entrypoint, entry_component); where all three bear a unit, names are
+    looked up in their unit, and "project-unit:" with a unit gives all of its components. Of repeated names the smallest counts."""
+    by = ["unit"] if all("unit" in t.columns for t in (targets, components, entrypoints)) else []
+    e = entrypoints.groupBy(*by, F.col("entrypoint").alias("target")).agg(F.min("entry_component").alias("by_entry"))
+    c = components.select(*by, F.col("component").alias("bare"), F.col("component").alias("by_id")).distinct()
     t = targets.withColumn("bare", F.regexp_replace("target", "^component:", ""))
-    return t.join(e, "target", "left").join(c, "bare", "left").select("target", F.coalesce("by_entry", "by_id").alias("component"))
+    one = t.join(e, [*by, "target"], "left").join(c, [*by, "bare"], "left").select(*by, "target", F.coalesce("by_entry", "by_id").alias("component"))
+    if not by:
+        return one
+    whole = F.col("target").startswith("project-unit:")
+    asked = targets.where(whole).select(F.regexp_replace("target", "^project-unit:", "").alias("unit"), "target")
+    return one.where(~whole).unionByName(asked.join(components.select("unit", "component").distinct(), "unit").select("unit", "target", "component"))

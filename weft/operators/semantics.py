@@ -68,6 +68,16 @@ def php_types(files: DataFrame) -> DataFrame:
     return types.select("unit", "file", "name", _qualified(F.col("namespace"), F.col("name")).alias("qualified"))
 
 
+def php_methods(files: DataFrame) -> DataFrame:
+    """unit, file, name, visibility, static: functions declared inside PHP types; public unless said otherwise."""
+    own = r"(?m)^\s*((?:(?:public|private|protected|static|final|abstract)\s+)*)function\s+&?([A-Za-z_]\w*)\s*\("
+    rows = _php_files(files).where(F.col("masked").rlike(r"\b(?:class|interface|trait|enum)\s+\w"))
+    rows = rows.select("unit", "file", F.explode(F.regexp_extract_all("masked", F.lit(own), F.lit(0))).alias("m"))
+    words = F.regexp_extract("m", own, 1)
+    said = F.regexp_extract(words, r"(public|private|protected)", 1)
+    return rows.select("unit", "file", F.regexp_extract("m", own, 2).alias("name"), F.when(said == "", "public").otherwise(said).alias("visibility"), words.rlike(r"\bstatic\b").alias("static"))
+
+
 def php_edges(files: DataFrame) -> DataFrame:
     """unit, source, target, kind: extends, implements, uses-trait, injects and eloquent-relation, by name without regard to case.
 
@@ -203,8 +213,13 @@ def declared_packages(files: DataFrame) -> DataFrame:
 
 def imported_packages(files: DataFrame) -> DataFrame:
     """unit, name: packages that imports name, with all their path prefixes."""
+    return importing_files(files).select("unit", "name").distinct()
+
+
+def importing_files(files: DataFrame) -> DataFrame:
+    """unit, name, file: which files import a package."""
     found = extract.imports(files).where(~F.col("specifier").startswith("."))
-    return found.select("unit", F.explode(F.transform(link.prefixes(F.col("specifier"), "/"), lambda p: p["prefix"])).alias("name")).distinct()
+    return found.select("unit", F.col("rel_path").alias("file"), F.explode(F.transform(link.prefixes(F.col("specifier"), "/"), lambda p: p["prefix"])).alias("name")).distinct()
 
 
 def package_edges(files: DataFrame) -> DataFrame:

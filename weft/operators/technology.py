@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scoring
@@ -37,6 +37,56 @@ def databases(files: DataFrame) -> DataFrame:
     return out.unionByName(sql.select("unit", F.lit("Query Language").alias("category"), F.lit("SQL").alias("name"), F.lit(90).alias("confidence"), F.lit("DIRECT").alias("detection_kind")))
 
 
+#: Marker in lower-case text, what it stands for. Fixed values.
+MAPPERS = [("Hibernate", r"hibernate"), ("JPA", r"spring-data-jpa|javax\.persistence|jakarta\.persistence"), ("Prisma", r"prisma"), ("TypeORM", r"typeorm"), ("Sequelize", r"sequelize")]
+
+
+def mappers(files: DataFrame) -> DataFrame:
+    """Object-relational mappers that any file names."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    hits = F.array_compact(F.array(*[F.when(low.rlike(p), n) for n, p in MAPPERS]))
+    return files.select("unit", F.explode(hits).alias("name")).distinct().select("unit", F.lit("ORM").alias("category"), "name", F.lit(80).alias("confidence"), F.lit("DIRECT").alias("detection_kind"))
+
+
+#: Category and names without ".", "-", "_" and blanks, their class; the last of a category is for all other names. Fixed values.
+CLASSES = [
+    ("language", ("sql", "graphql"), "Query Language"), ("language", ("html", "xml"), "Markup Language"), ("language", ("css", "scss"), "Style Language"), ("language", (), "Programming Language"),
+    ("framework", ("angular", "vue", "nuxt", "svelte", "sveltekit", "nextjs"), "Frontend Framework"), ("framework", (), "Backend Framework"), ("library", ("react",), "UI Library"),
+    ("data", ("hibernate", "prisma", "typeorm", "sequelize", "jpa"), "ORM"), ("data", (), "Database"), ("build", ("npm", "pnpm", "yarn", "composer"), "Package Manager"), ("build", ("webpack",), "Bundler"), ("build", (), "Build Tool"),
+    ("runtime", (), "Runtime"), ("infrastructure", ("docker",), "Containerization"),
+]
+#: Names without ".", "-", "_" and blanks, what they are called. Fixed values.
+CANONICAL = [
+    (("postgres", "postgresql", "orgpostgresql"), "PostgreSQL"), (("spring", "springboot", "orgspringframeworkboot"), "Spring Boot"), (("node", "nodejs"), "Node.js"), (("typescript",), "TypeScript"),
+    (("javascript",), "JavaScript"), (("dotnet", "aspnet", "aspnetcore"), "ASP.NET Core"), (("reactjs",), "React"),
+]
+
+
+def _bare(name: Column) -> Column:
+    return F.translate(F.lower(name), ".-_ ", "")
+
+
+def classification(category: Column, name: Column) -> Column:
+    out = F.lit("Tool")
+    for c, names, kind in reversed(CLASSES):
+        on = F.lower(category) == c
+        out = F.when(on & _bare(name).isin(*names) if names else on, kind).otherwise(out)
+    return out
+
+
+def canonical_name(name: Column) -> Column:
+    out = name
+    for names, called in CANONICAL:
+        out = F.when(_bare(name).isin(*names), called).otherwise(out)
+    return out
+
+
+def with_evidence(technologies: DataFrame, detections: DataFrame) -> DataFrame:
+    """technologies(unit, name, ...) with the evidence of the detection of the same name, without regard to case; of several the surest."""
+    d = keep_first(detections.withColumn("key", F.lower("name")), ["unit", "key"], [F.desc("confidence"), F.asc("name")]).select("unit", "key", "evidence")
+    return technologies.withColumn("key", F.lower("name")).join(d, ["unit", "key"], "left").drop("key")
+
+
 def build_tools(files: DataFrame) -> DataFrame:
     """unit, name, executable, line, ord of tools found."""
     hits = [F.when(F.col("name").rlike(p), F.struct(F.lit(n).alias("name"), F.lit(c).alias("line"), F.lit(x).alias("executable"), F.lit(i).alias("ord"), F.lit(conf).alias("confidence"))) for i, (n, c, p, x, conf) in enumerate(BUILD_TOOLS)]
@@ -50,7 +100,7 @@ def technologies(files: DataFrame, detections: DataFrame) -> DataFrame:
     tools = build_tools(files).select("unit", F.lit("Build Tool").alias("category"), "name", "confidence", F.lit("DIRECT").alias("detection_kind"))
     inferred = ~F.exists("evidence", lambda e: e["kind"].isin(*scoring.DIRECT))
     frameworks = detections.where("actionable").select("unit", F.lit("Framework").alias("category"), "name", "confidence", F.when(inferred, "INFERRED").otherwise("DIRECT").alias("detection_kind"))
-    return keep_first(languages(files).unionByName(databases(files)).unionByName(tools).unionByName(frameworks), ["unit", "category", "name"], [F.desc("confidence"), F.asc("detection_kind")])
+    return keep_first(languages(files).unionByName(databases(files)).unionByName(mappers(files)).unionByName(tools).unionByName(frameworks), ["unit", "category", "name"], [F.desc("confidence"), F.asc("detection_kind")])
 
 
 def runtime_requirements(files: DataFrame) -> DataFrame:

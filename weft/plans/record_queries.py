@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import capsule, merge, scoring, text
+from ..operators import capsule, export, merge, records, scoring, technology, text
+from ..sources import files as src
 from ..session import table
 from .registry import query
 
@@ -52,13 +53,18 @@ def secret_lines(spark, d):
 
 @query(f"WITH {_SECRET} SELECT source, count(DISTINCT doc_id) AS sensitive FROM hit JOIN documents USING (doc_id) GROUP BY source")
 def sensitive_documents(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return docs.join(_secrets(spark, d).select("doc_id").distinct(), "doc_id", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("sensitive"))
+    docs = table(spark, d, "documents")
+    pair = r'([A-Za-z][A-Za-z0-9_.-]*)\s*=\s*"([^"]*)"'
+    of = lambda part: F.concat(F.regexp_extract(part, pair, 1), F.lit("="), F.regexp_extract(part, pair, 2))
+    secret = F.exists(F.split("text", r"\*\*\*|###|%%%|&&&|\$\$\$|\n|\. ", -1), lambda part: (F.regexp_extract(part, pair, 1) != "") & text.is_secret_line(of(part)))
+    hit = docs.where(text.is_sensitive(F.lit("conf/app.properties"), F.lit(""), secret))
+    return hit.groupBy("source").agg(F.count_distinct("doc_id").alias("sensitive"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def content_sha256(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    found = capsule.file_digests(table(spark, d, "documents").select(F.lit("docs").alias("unit"), F.col("doc_id").alias("rel_path"), "text"))
+    return found.select(F.col("rel_path").alias("doc_id"), "sha256")
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
@@ -67,19 +73,38 @@ def duplicate_content(spark, d):
     return h.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-LANGUAGES = [("en", "English"), ("de", "German"), ("fr", "French")]
+_ENDINGS = ("java", "tsx", "py", "rs", "cs", "exs", "yml", "zzz", "")
 
 
-@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE 'Unknown' END AS language FROM documents")
+@query(f"""SELECT doc_id, CASE ext WHEN 'java' THEN 'Java' WHEN 'tsx' THEN 'TypeScript' WHEN 'py' THEN 'Python' WHEN 'rs' THEN 'Rust' WHEN 'cs' THEN 'C#' WHEN 'exs' THEN 'Elixir' WHEN 'yml' THEN 'YAML' ELSE 'Unknown' END AS language
+FROM (SELECT doc_id, {list(_ENDINGS)}[(doc_id % {len(_ENDINGS)}) + 1] AS ext FROM documents)""")
 def language_of_source(spark, d):
-    names = F.broadcast(spark.createDataFrame(LANGUAGES, "lang string, language string"))
-    return table(spark, d, "documents").join(names, "lang", "left").select("doc_id", F.coalesce("language", F.lit("Unknown")).alias("language"))
+    ext = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", src.language_of(ext).alias("language"))
+
 
+_TECH = [("Language", "GraphQL"), ("language", "S.C.S.S"), ("language", "Java"), ("Framework", "Next.js"), ("framework", "spring-boot"), ("library", "React"), ("data", "type orm"), ("data", "postgres"), ("build", "pnpm"), ("BUILD", "Webpack"), ("build", "Maven"), ("runtime", "node_js"), ("infrastructure", "Docker"), ("other", "x")]
 
-@query("SELECT p_type AS name, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'Runtime' WHEN p_type = 'PROMO' THEN 'Tool' ELSE 'Library' END AS classification, count(*) AS parts FROM part GROUP BY p_type")
+
+@query(f"""WITH t(i, category, name) AS (VALUES {", ".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(_TECH))}),
+b AS (SELECT p_partkey, category, name, lower(category) AS c, regexp_replace(lower(name), '[-._ ]', '', 'g') AS n FROM part JOIN t ON p_partkey % {len(_TECH)} = i)
+SELECT p_partkey, CASE WHEN c = 'language' AND n IN ('sql', 'graphql') THEN 'Query Language' WHEN c = 'language' AND n IN ('css', 'scss') THEN 'Style Language' WHEN c = 'language' THEN 'Programming Language' WHEN c = 'framework' AND n = 'nextjs' THEN 'Frontend Framework'
+  WHEN c = 'framework' THEN 'Backend Framework' WHEN c = 'library' AND n = 'react' THEN 'UI Library' WHEN c = 'data' AND n = 'typeorm' THEN 'ORM' WHEN c = 'data' THEN 'Database' WHEN c = 'build' AND n = 'pnpm' THEN 'Package Manager' WHEN c = 'build' AND n = 'webpack' THEN 'Bundler'
+  WHEN c = 'build' THEN 'Build Tool' WHEN c = 'runtime' THEN 'Runtime' WHEN c = 'infrastructure' AND n = 'docker' THEN 'Containerization' ELSE 'Tool' END AS classification,
+  CASE n WHEN 'postgres' THEN 'PostgreSQL' WHEN 'springboot' THEN 'Spring Boot' WHEN 'nodejs' THEN 'Node.js' ELSE name END AS canonical FROM b""")
 def technology_classification(spark, d):
-    kinds = table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.count(F.lit(1)).alias("parts"))
-    return kinds.withColumn("classification", F.when(F.col("name").isin("ECONOMY", "STANDARD"), "Runtime").when(F.col("name") == "PROMO", "Tool").otherwise("Library"))
+    known = F.broadcast(spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(_TECH)], "i long, category string, name string"))  # fixed rows
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_TECH)).alias("i")).join(known, "i")
+    return rows.select("p_partkey", technology.classification(F.col("category"), F.col("name")).alias("classification"), technology.canonical_name(F.col("name")).alias("canonical"))
+
+
+@query("""WITH t AS (SELECT s_nationkey AS unit, s_name AS name FROM supplier), e AS (SELECT c_nationkey AS unit, replace(upper(c_name), 'CUSTOMER', 'SUPPLIER') AS name, max(c_acctbal) AS best FROM customer GROUP BY ALL)
+SELECT t.unit, t.name, e.best AS evidence FROM t LEFT JOIN e ON t.unit = e.unit AND lower(t.name) = lower(e.name)""")
+def technology_evidence(spark, d):
+    tech = table(spark, d, "supplier").select(F.col("s_nationkey").alias("unit"), F.col("s_name").alias("name"))
+    name = F.replace(F.upper("c_name"), F.lit("CUSTOMER"), F.lit("SUPPLIER"))
+    found = table(spark, d, "customer").select(F.col("c_nationkey").alias("unit"), name.alias("name"), F.col("c_acctbal").alias("confidence"), F.col("c_acctbal").alias("evidence"))
+    return technology.with_evidence(tech, found)
 
 
 #: signal, pattern, weight, kind, strength of evidence for toxic documents.
@@ -146,12 +171,12 @@ def evidence_top3(spark, d):
 
 @query("SELECT p_type AS kind, count(*) AS components FROM part GROUP BY p_type ORDER BY components DESC, kind LIMIT 4")
 def kinds_top4(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("components")).orderBy(F.desc("components"), "kind").limit(4)
+    return records.top_kinds(table(spark, d, "part"), "p_type", 4)
 
 
 @query("SELECT p_name AS name, max(p_size)::INTEGER AS confidence, count(DISTINCT p_brand) AS evidence FROM part GROUP BY p_name")
 def technology_unique_max_conf(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.max("p_size").alias("confidence"), F.count_distinct("p_brand").alias("evidence"))
+    return records.unique_technologies(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("confidence"), F.col("p_brand").alias("source")))
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -187,13 +212,15 @@ _AUDIT = """a AS (SELECT n_regionkey AS repository, count(DISTINCT c_custkey) AS
 
 
 def _audit(spark, d):
+    """Customers stand for units: a row each, rolled up by region."""
     n, c, o = (table(spark, d, t) for t in ("nation", "customer", "orders"))
-    j = c.join(F.broadcast(n.select("n_nationkey", "n_regionkey")), c.c_nationkey == n.n_nationkey).join(o, c.c_custkey == o.o_custkey, "left")
+    j = c.join(F.broadcast(n.select("n_nationkey", "n_regionkey")), c.c_nationkey == n.n_nationkey).join(o, c.c_custkey == o.o_custkey, "left")  # a nation table is 25 rows
     big = F.col("o_totalprice") > 499000
-    return j.groupBy(F.col("n_regionkey").alias("repository")).agg(
-        F.count_distinct("c_custkey").alias("components"), F.count("o_orderkey").alias("dependencies"), F.count_if((F.col("o_orderpriority") == "1-URGENT") & big).alias("errors"),
+    units = j.groupBy(F.col("n_regionkey").alias("repository"), "c_custkey").agg(
+        F.lit(1).cast("long").alias("components"), F.count("o_orderkey").alias("dependencies"), F.count_if((F.col("o_orderpriority") == "1-URGENT") & big).alias("errors"),
         F.count_if((F.col("o_orderpriority") == "2-HIGH") & big).alias("warnings"), F.bool_and(F.coalesce("o_totalprice", F.lit(1.0)) > 0).alias("graph_ok"), F.bool_and(F.col("c_acctbal") > -999).alias("clean"),
     )
+    return records.audit_rollup(units)
 
 
 @query(f"WITH {_AUDIT} SELECT * FROM a")
@@ -211,7 +238,7 @@ SELECT repository, count(*) AS edges FROM (SELECT a AS repository FROM e UNION A
 def cross_counts_per_repository(spark, d):
     li, o, c, s = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
-    return j.select(F.explode(F.array_distinct(F.array("s_nationkey", "c_nationkey"))).alias("repository")).groupBy("repository").agg(F.count(F.lit(1)).alias("edges"))
+    return records.cross_counts(j, "s_nationkey", "c_nationkey")
 
 
 @query("SELECT s_suppkey AS unit, n_name AS executable, coalesce(v, 'any') AS version, v IS NOT NULL AS available FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (VALUES ('nation_1', '1.0'), ('nation_7', '7.2'), ('nation_20', '20')) t(k, v) ON lower(n_name) = k")
@@ -224,21 +251,72 @@ def runtime_tool_left_join(spark, d):
 
 @query("SELECT p_partkey, p_name, p_type FROM (SELECT p_partkey, p_name, p_type FROM part ORDER BY p_name, p_partkey LIMIT 80 OFFSET 80)")
 def paginate_components(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_name", "p_type").orderBy("p_name", "p_partkey").offset(80).limit(80)
+    return records.page(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), [F.col("p_name"), F.col("p_partkey")], 2, 80)
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND contains(lower(p_name), 'bolt')")
 def filter_components(spark, d):
-    return table(spark, d, "part").where((F.col("p_type") == "ECONOMY") & F.lower("p_name").contains("bolt")).select("p_partkey", "p_name")
+    return records.search(table(spark, d, "part"), "Bolt", ("p_name",), p_type="ECONOMY").select("p_partkey", "p_name")
 
 
 @query("""WITH c AS (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS links FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
 SELECT c_custkey, c_name, CASE WHEN links IS NULL THEN 'unmatched' ELSE 'matched' END AS state, coalesce(links, '') AS links FROM customer LEFT JOIN c ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
 def endpoint_rows_filter(spark, d):
-    c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    links = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
-    out = c.join(links, "c_custkey", "left")
-    return out.select("c_custkey", "c_name", F.when(F.col("l").isNull(), "unmatched").otherwise("matched").alias("state"), F.coalesce(F.array_join("l", ","), F.lit("")).alias("links"))
+    ends = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
+    links = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return records.endpoint_rows(ends, links, "c_custkey", "o_orderkey")
+
+
+@query("""SELECT c_custkey AS unit, o_orderkey AS entrypoint, CASE WHEN o_orderkey IS NULL THEN 'unmatched' ELSE 'matched' END AS state FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'""")
+def consumer_rows(spark, d):
+    calls = table(spark, d, "customer").selectExpr("c_custkey AS unit", "c_name AS file", "'get' AS method", "c_mktsegment").withColumn("path", F.concat(F.lit("/x/${id}/"), "c_mktsegment"))
+    links = table(spark, d, "orders").where("o_orderstatus = 'F'").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
+    links = links.selectExpr("c_custkey AS source_unit", "c_name AS consumer_file", "'GET' AS method", "concat('/x/:id/', c_mktsegment) AS path", "o_orderkey AS entrypoint")
+    return records.consumer_rows(calls, links).select("unit", "entrypoint", "state")
+
+
+@query("""SELECT o_orderkey AS repository, o_custkey, coalesce(c_name, CAST(o_orderkey AS VARCHAR)) AS repository_name FROM orders LEFT JOIN (SELECT c_custkey * 4 AS id, c_name FROM customer) ON id = o_orderkey""")
+def audit_names(spark, d):
+    audits = table(spark, d, "orders").select(F.col("o_orderkey").alias("repository"), "o_custkey")
+    return records.audits_with_names(audits, table(spark, d, "customer").select((F.col("c_custkey") * 4).alias("id"), F.col("c_name").alias("name")))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey FROM orders")
+def newest_first(spark, d):
+    rows = records.newest_first(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+    return export.numbered(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")]).select((F.col("i") + 1).alias("place"), "o_orderkey")
+
+
+@query("""WITH a AS (SELECT o_custkey AS w, o_orderkey AS id, o_orderstatus AS said FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_custkey AS w, o_orderkey AS id, CASE WHEN o_orderkey % 31 = 0 THEN 'x' ELSE o_orderstatus END AS found FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT coalesce(a.w, b.w) AS workspace, bool_and(coalesce(said = found, false)) AS valid FROM a FULL JOIN b ON a.w = b.w AND a.id = b.id GROUP BY 1""")
+def cache_validity(spark, d):
+    o = table(spark, d, "orders")
+    registry = o.where("o_orderkey % 7 <> 0").selectExpr("o_custkey AS workspace", "o_orderkey AS id", "o_orderstatus AS path")
+    cache = o.where("o_orderkey % 11 <> 0").selectExpr("o_custkey AS workspace", "o_orderkey AS id", "CASE WHEN o_orderkey % 31 = 0 THEN 'x' ELSE o_orderstatus END AS path")
+    return records.cache_validity(registry, cache)
+
+
+@query("""SELECT c_custkey, id, id <> '' AND NOT contains(id, '/') AND id <> '..' AS safe, CASE WHEN c_custkey % 4 = 0 THEN 'https://github.com/x/r' || c_custkey WHEN c_custkey % 4 = 1 THEN 'ssh://h.org/R' || c_custkey END AS remote
+FROM (SELECT c_custkey, c_name, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'a/' || c_name WHEN 2 THEN '..' ELSE c_name END AS id FROM customer)""")
+def safe_names(spark, d):
+    c = table(spark, d, "customer").selectExpr("c_custkey", "CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat('a/', c_name) WHEN 2 THEN '..' ELSE c_name END AS id",
+        "CASE c_custkey % 4 WHEN 0 THEN concat('https://GitHub.com/X/R', c_custkey, '.git') WHEN 1 THEN concat('git@H.org:R', c_custkey, '/') WHEN 2 THEN concat('https://u:p@h.org/R', c_custkey) ELSE concat('http://h.org/R', c_custkey) END AS url")
+    return c.select("c_custkey", "id", records.is_safe_id(F.col("id")).alias("safe"), records.remote_identity(F.col("url")).alias("remote"))
+
+
+@query("""SELECT o_custkey AS "case", max(CASE WHEN r = 1 THEN d END) AS cold_ms, coalesce(avg(CASE WHEN r > 1 THEN d END), max(CASE WHEN r = 1 THEN d END)) AS warm_average_ms, quantile_disc(d, 0.95) AS p95_ms
+FROM (SELECT o_custkey, (o_orderkey % 100 + 1)::DOUBLE AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) GROUP BY o_custkey""")
+def benchmark_stats(spark, d):
+    runs = table(spark, d, "orders").selectExpr("o_custkey AS case", "CAST(o_orderkey % 100 + 1 AS DOUBLE) AS duration_ms", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run", "100 AS files")
+    return records.benchmark_stats(runs).select("case", "cold_ms", "warm_average_ms", "p95_ms")
+
+
+@query("""WITH u AS (SELECT DISTINCT n_regionkey AS unit FROM nation), c AS (SELECT n_regionkey AS unit, '{"unit":' || n_regionkey || ',"id":"' || n_name || '"}' AS key FROM nation), f AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY key) AS n FROM c)
+SELECT unit, -1 AS section, '' AS key, CASE WHEN unit = (SELECT min(unit) FROM u) THEN '{"units": [' ELSE ',' END || '{"unit": ' || unit AS line FROM u UNION ALL SELECT unit, 0, '', ', "components": [' FROM u
+UNION ALL SELECT unit, 0, key, CASE WHEN n = 1 THEN '' ELSE ',' END || key FROM f UNION ALL SELECT unit, 1, '', ']' FROM u UNION ALL SELECT unit, 2, '', CASE WHEN unit = (SELECT max(unit) FROM u) THEN '}]}' ELSE '}' END FROM u""")
+def json_model_lines(spark, d):
+    n = table(spark, d, "nation").selectExpr("n_regionkey AS unit", "n_name AS id")
+    return export.json_lines(n, {"components": n})
 
 
 _CHECKS = """d AS (SELECT source AS unit, doc_id, sha256(text) AS h FROM documents), c AS (SELECT unit, count(CASE WHEN doc_id % 97 = 0 AND unit <> 'src3' THEN 1 END) AS lost, count(CASE WHEN doc_id % 89 = 0 THEN 1 END) AS drifted, count(*) AS declared FROM d GROUP BY unit),
@@ -281,8 +359,7 @@ def capsule_missing(spark, d):
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.5) AS p50 FROM lineitem GROUP BY l_returnflag")
 def percentile_nearest_rank(spark, d):
-    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY l_extendedprice)")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(at(0.95).alias("p95"), at(0.5).alias("p50"))
+    return records.nearest_rank(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p95": 0.95, "p50": 0.5})
 
 
 @query("""WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')
@@ -304,5 +381,5 @@ def exclude_nested_units(spark, d):
 
 @query("SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT source) AS sources, count(DISTINCT lang) AS languages, sum(n_chars)::BIGINT AS chars FROM documents")
 def workspace_status(spark, d):
-    return table(spark, d, "documents").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("languages"), F.sum("n_chars").alias("chars"))
-
+    docs = table(spark, d, "documents")
+    return records.summary({"documents": (docs, "doc_id"), "sources": (docs, "source"), "languages": (docs, "lang")}, {"chars": (docs, "n_chars")})
