@@ -7,32 +7,13 @@ from pyspark.sql import functions as F
 
 from weft.operators import capsule, extract, records, semantics
 from weft.plans.engine import Engine
+from weft.plans.samples import LINKED, ROUTES
 from weft.sources import files as src
 
-ROUTES = {
-    "flask": ({"requirements.txt": "flask", "m.py": "app = Flask(__name__)\n@app.route('/a', methods=['GET', \"POST\"])\ndef a(): ...\n@app.route('/b', strict_slashes=False, methods=('PUT',))\ndef b(): ...\n@app.route('/c')\ndef c(): ..."}, {"GET /a", "POST /a", "PUT /b", "GET /c"}),
-    "symfony": ({"composer.json": '{"require": {"symfony/framework-bundle": "7"}}', "bin/console": "#", "src/C.php": "<?php\nclass C {\n  #[Route('/x/{id}', name: 'x', methods: ['GET', 'HEAD'])]\n  #[Route(path: '/y', methods: 'POST')]\n  public function a() {}\n}"}, {"GET /x/{id}", "HEAD /x/{id}", "POST /y"}),
-    "fastify": ({"package.json": '{"dependencies": {"fastify": "4"}}', "i.js": "const f = fastify();\nf.route({ method: ['GET', 'PUT'], url: '/o/:id', handler });\nf.route({\n  url: '/p',\n  method: 'POST',\n  handler\n});\nf.get('/g', h);"}, {"GET /o/{id}", "PUT /o/{id}", "POST /p", "GET /g"}),
-    "express": ({"package.json": '{"dependencies": {"express": "4"}}', "i.js": "const express = require('express');\nconst users = express.Router();\nusers.get('/u', h);\ncache.get('/no', h);\nlet shop = express();\nshop.post('/s', h);"}, {"GET /u", "POST /s"}),
-    "spring": ({"pom.xml": "<artifactId>spring-boot-starter-web</artifactId>", "A.java": 'package a;\n@RestController\n@RequestMapping(path = {"/v1", "/v2"}, produces = "application/json")\npublic class A {\n  @GetMapping({"/one", "/{id}"}) String g() { return ""; }\n  @RequestMapping(value = "/m", method = {RequestMethod.PUT, RequestMethod.PATCH})\n  String m() { return ""; }\n  @PostMapping(consumes = "x/y") String p() { return ""; }\n  @RequestMapping("/none") String n() { return ""; }\n}'},
-        {f"{m} /{v}{p}" for v in ("v1", "v2") for m, p in (("GET", "/one"), ("GET", "/{id}"), ("PUT", "/m"), ("PATCH", "/m"), ("POST", ""))}),
-    "axum": ({"Cargo.toml": '[package]\nname = "x"\n[dependencies]\naxum = "0.7"', "src/main.rs": 'use axum::Router;\nfn app() -> Router { Router::new().nest("/api", api()).route("/up", get(h)) }\nfn api() -> Router { Router::new().route("/users", get(h)).nest("/deep", deep()) }\nfn deep() -> Router { Router::new().route("/x", post(h)) }'}, {"GET /up", "GET /users", "POST /x", "GET /api/users", "POST /api/deep/x", "POST /deep/x"}),
-}
-
-
 @pytest.fixture(scope="module")
 def scan(spark):
     rows = [(name, path, text) for name, (files, _) in ROUTES.items() for path, text in files.items()]
-    rows += [
-        ("web", "package.json", '{"name": "web", "dependencies": {"react": "18", "@x/lib": "^1", "@angular/core": "17"}}'),
-        ("web", "tsconfig.json", '{\n  // aliases\n  "compilerOptions": {"baseUrl": "./src", "paths": {"@app/*": ["app/*"], "cfg": ["config.ts"],},},\n}'),
-        ("web", "src/main.ts", "import { A } from '@app/api';\nimport c from 'cfg';\nimport { l } from '@x/lib';\nexport class Main {}"),
-        ("web", "src/app/api.ts", "import { HttpClient } from '@angular/common/http';\nexport class Api {\n  constructor(private readonly client: HttpClient) {}\n  load(id: string) { return this.client.get<User>('/u', { params: f(id) }); }\n  odd() { return other.get('/zzz'); }\n  join() { return axios.post('/s' + '/t', body); }\n  far() { return fetch(`https://h.org/x?y=1`, { method: 'PUT' }); }\n  dyn() { return fetch(url); }\n}"),
-        ("web", "src/config.ts", "export const c = 1;"),
-        ("web", ".env", 'TOKEN="abcdefgh1234"'),
-        ("lib", "package.json", '{"name": "@x/lib", "version": "1.0.0"}'), ("lib", "index.ts", "export function l() {}"),
-        ("py", "requirements.txt", "x"), ("py", "a.py", "import b, c as d\nimport b.e"), ("py", "b.py", "def b(): ..."), ("py", "c.py", "def c(): ..."),
-    ]
+    rows += LINKED
     return Engine().scan(src.from_texts(spark, rows))
 
 

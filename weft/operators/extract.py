@@ -69,7 +69,9 @@ def components(files: DataFrame) -> DataFrame:
     src = files.where(F.col("language").isin(*{r[0] for r in DECLARATIONS}) & F.col("masked").isNotNull())
     lang = F.lower(F.when(F.col("language") == "C#", "csharp").otherwise(F.col("language")))
     modules = src.select("unit", F.concat(lang, F.lit(":module:"), fnv1a64(F.col("rel_path"))).alias("id"), "name", F.lit("module").alias("kind"), "language", F.col("rel_path").alias("file"), F.lit(0).alias("line_no"))
-    decl = text.declarations(_code_lines(src), DECLARATIONS)
+    # literals declare nothing
+    bare = _code_lines(src).withColumn("line", F.regexp_replace("line", r""""[^"\n]*"|'[^'\n]*'""", '""'))
+    decl = text.declarations(bare, DECLARATIONS)
     ident = F.concat(lang, F.lit(":"), F.col("kind"), F.lit(":"), fnv1a64(F.col("rel_path")), F.lit(":"), F.col("name"))
     decl = decl.select("unit", ident.alias("id"), "name", "kind", "language", F.col("rel_path").alias("file"), "line_no")
     first = decl.groupBy("unit", "id").agg(F.min_by(F.struct("name", "kind", "language", "file", "line_no"), "line_no").alias("x")).select("unit", "id", "x.*")
@@ -522,7 +524,7 @@ def django_routes(files: DataFrame) -> DataFrame:
     parts = F.split("rel_path", "/")
     ends = py.select("unit", "rel_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))).alias("tail"))
     prefix = ends.join(includes, ["unit", "tail"]).groupBy("unit", "rel_path").agg(F.min("prefix").alias("prefix"))
-    own = rf"\b(?:re_)?path\(\s*r?{_Q}\s*,\s*(?!include)"
+    own = rf"\b(?:re_)?path\(\s*r?{_Q}\s*,\s*+(?!include)"
     rows = py.where(F.col("masked").contains("urlpatterns")).select("unit", "rel_path", F.explode(F.regexp_extract_all("masked", F.lit(own), F.lit(1))).alias("p"))
     rows = rows.join(prefix, ["unit", "rel_path"], "left")
     return rows.select(F.lit("Django").alias("framework"), "unit", F.col("rel_path").alias("file"), F.lit("ANY").alias("method"), route_path(F.coalesce("prefix", F.lit("")), F.col("p")).alias("path"), F.lit(94).alias("confidence"))
