@@ -329,10 +329,6 @@ def _methods(said: Column, default: str) -> Column:
     return F.when(F.size(verbs) > 0, verbs).otherwise(F.array(F.lit(default)))
 
 
-def _of_receivers(hits: Column, names: Column, r: Route) -> Column:
-    return F.filter(hits, lambda m: F.array_contains(names, F.regexp_extract(m, r.pattern, r.receiver)))
-
-
 #: An annotation's arguments, with brackets one deep.
 _ARGS = r"""\(((?:"[^"\n]*"|[^()"]++|\((?:"[^"\n]*"|[^()"]++){0,40}+\)){0,60}+)\)"""
 
@@ -380,27 +376,36 @@ def nested_routes(files: DataFrame, depth: int = 4) -> DataFrame:
     return out.select(F.lit("Rust web").alias("framework"), "unit", "file", "method", route_path(F.lit(""), F.col("path")).alias("path"), F.lit(90).alias("confidence"))
 
 
+def _rule(r: Route) -> Column:
+    """What a rule finds in a file: array<struct<framework, method, path, confidence>>."""
+    on = F.col("rel_path").rlike(r.files)
+    if r.when:
+        on = on & F.col("masked").rlike(r.when)
+    of = lambda m, group, i: F.regexp_extract(m, r.inside[i] if r.inside else r.pattern, group)
+    hits = F.regexp_extract_all("masked", F.lit(r.pattern), F.lit(0))
+    if r.receiver:
+        names = F.concat(F.array(*map(F.lit, RECEIVERS)), F.regexp_extract_all("masked", F.lit(r.assigned), F.lit(1)))
+        hits = F.filter(hits, lambda m: F.array_contains(names, F.regexp_extract(m, r.pattern, r.receiver)))
+    if r.inside:
+        hits = F.filter(hits, lambda m: of(m, r.path, 1) != "")
+    prefix = F.regexp_extract("masked", f"(?s){r.prefix}", 1) if r.prefix else F.lit("")
+    if r.framework == "ASP.NET" and r.prefix:
+        prefix = F.replace(prefix, F.lit("[controller]"), F.regexp_replace("name", r"(Controller)?\.cs$", ""))
+    default = "GET" if r.framework == "Flask" else "ANY"
+
+    def rows(m: Column) -> Column:
+        methods = _methods(of(m, r.method, 0), default) if isinstance(r.method, int) else F.array(F.lit(r.method))
+        path = route_path(prefix, of(m, r.path, 1))
+        return F.transform(methods, lambda v: F.struct(F.lit(r.framework).alias("framework"), v.alias("method"), path.alias("path"), F.lit(r.confidence).alias("confidence")))
+
+    none = F.expr("CAST(array() AS array<struct<framework:string,method:string,path:string,confidence:int>>)")
+    return F.when(on, F.flatten(F.transform(hits, rows))).otherwise(none)
+
+
 def pattern_routes(files: DataFrame) -> DataFrame:
-    """framework, unit, file, method, path, confidence of all rules."""
-    out = []
-    for r in ROUTES:
-        on = F.col("rel_path").rlike(r.files)
-        if r.when:
-            on = on & F.col("masked").rlike(r.when)
-        hits = F.regexp_extract_all("masked", F.lit(r.pattern), F.lit(0))
-        if r.receiver:
-            names = F.concat(F.array(*map(F.lit, RECEIVERS)), F.regexp_extract_all("masked", F.lit(r.assigned), F.lit(1)))
-            hits = _of_receivers(hits, names, r)
-        of = lambda group, i, r=r: F.regexp_extract("m", r.inside[i] if r.inside else r.pattern, group)
-        prefix = F.regexp_extract("masked", f"(?s){r.prefix}", 1) if r.prefix else F.lit("")
-        if r.framework == "ASP.NET" and r.prefix:
-            prefix = F.replace(prefix, F.lit("[controller]"), F.regexp_replace("name", r"(Controller)?\.cs$", ""))
-        rows = files.where(on & F.col("masked").isNotNull()).select("unit", F.col("rel_path").alias("file"), prefix.alias("prefix"), F.explode(hits).alias("m"))
-        default = "GET" if r.framework == "Flask" else "ANY"
-        methods = _methods(of(r.method, 0), default) if isinstance(r.method, int) else F.array(F.lit(r.method))
-        rows = rows.where(of(r.path, 1) != "") if r.inside else rows
-        rows = rows.select(F.lit(r.framework).alias("framework"), "unit", "file", F.explode(methods).alias("method"), route_path(F.col("prefix"), of(r.path, 1)).alias("path"), F.lit(r.confidence).alias("confidence"))
-        out.append(rows)
+    """framework, unit, file, method, path, confidence of all rules, in one reading of the files."""
+    each = files.where("masked IS NOT NULL").select("unit", F.col("rel_path").alias("file"), F.explode(F.concat(*map(_rule, ROUTES))).alias("x"))
+    out = [each.select("x.framework", "unit", "file", "x.method", "x.path", "x.confidence")]
     resources = files.where(F.col("rel_path").rlike(r"(^|/)config/routes\.rb$") & F.col("masked").isNotNull()).select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(r"(?m)^\s*resources\s+:(\w+)"), F.lit(1))).alias("r"))
     out.append(rest_routes(resources, "Rails"))
     rows = out[0]

@@ -1,9 +1,11 @@
 """Graph operators over vertices(id, ...) and edges(source, target, ...).
 
-Reachability runs frontier by frontier: the frontier is joined with the edges,
-what was seen is removed by an anti join, and each frontier is written to the
-shared folder, so the plan stays short and survives lost executors. Rounds equal
-the graph's depth; data per round is the frontier's edges.
+Reachability runs frontier by frontier over an edge table of two columns that is
+written once. What a round reads of it is the whole table, but only a frontier whose
+counted size is over `BROADCAST_ROWS` shuffles it; smaller ones, which most are, are
+broadcast and joined where the edges lie. What was seen is removed by an anti join,
+and each frontier is written to the shared folder, so the plan stays short and
+survives lost executors. Rounds equal the graph's depth.
 """
 
 from __future__ import annotations
@@ -16,36 +18,54 @@ from pyspark.sql import functions as F
 from ..session import cut, cut_counted
 
 
+#: Rows (an id and a number) up to which a counted table is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _reached(links: DataFrame, starts: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, int]:
+    """node, depth from links(node, next), a table; and how many there are."""
+    frontier, found = cut_counted(starts.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    seen, total, depth = [frontier], found, 0
+    while found and (max_depth is None or depth < max_depth):
+        depth += 1
+        fresh = links.join(_sent(frontier.select("node"), found), "node").select(F.col("next").alias("node")).distinct()
+        visited = _sent(reduce(DataFrame.unionByName, seen).select("node"), total)
+        frontier, found = cut_counted(fresh.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if found:
+            seen.append(frontier)
+            total += found
+    return reduce(DataFrame.unionByName, seen), total
+
+
+def _links(edges: DataFrame, reverse: bool) -> DataFrame:
+    ends = ("target", "source") if reverse else ("source", "target")
+    return edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).where("node IS NOT NULL AND next IS NOT NULL")
+
+
 def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
     """node, depth: all that is reachable from starts(node), themselves included, known or not; safe with cycles."""
-    ends = ("target", "source") if reverse else ("source", "target")
-    links = cut(edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct())
-    frontier = cut(starts.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    seen = [frontier]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        visited = reduce(DataFrame.unionByName, seen)
-        fresh = frontier.join(links, "node").select(F.col("next").alias("node")).distinct()
-        frontier, found = cut_counted(fresh.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if not found:
-            break
-        seen.append(frontier)
-    return reduce(DataFrame.unionByName, seen)
+    return _reached(cut(_links(edges, reverse)), starts, max_depth)[0]
 
 
 def dependency_slice(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Forward closure, and the edges with both ends inside, repeats kept."""
-    nodes = closure(edges, starts)
-    inside = nodes.select("node")
+    edges = cut(edges)
+    nodes, n = _reached(_links(edges, False), starts)
+    inside = _sent(nodes.select("node"), n)
     kept = edges.join(inside.withColumnRenamed("node", "source"), "source", "left_semi").join(inside.withColumnRenamed("node", "target"), "target", "left_semi")
     return nodes, kept.select(*edges.columns)
 
 
 def impact_slice(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reverse closure, and all edges into a reached node, distinct."""
-    nodes = closure(edges, starts, reverse=True)
-    return nodes, edges.join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select(*edges.columns).distinct()
+    edges = cut(edges)
+    nodes, n = _reached(_links(edges, True), starts)
+    return nodes, edges.join(_sent(nodes.select(F.col("node").alias("target")), n), "target", "left_semi").select(*edges.columns).distinct()
 
 
 def scoped(unit: Column, component: Column) -> Column:
@@ -64,8 +84,9 @@ def scoped_edges(local: DataFrame, cross: DataFrame) -> DataFrame:
 
 def workspace_slice(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Closure over scoped edges, and the edges whose source is reached, the most confident of each (source, target, kind)."""
-    nodes = closure(edges, starts)
-    kept = edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi")
+    edges = cut(edges)
+    nodes, n = _reached(_links(edges, False), starts)
+    kept = edges.join(_sent(nodes.select(F.col("node").alias("source")), n), "source", "left_semi")
     return nodes, keep_first(kept, ["source", "target", "kind"], [F.desc_nulls_last("confidence"), F.asc_nulls_first("evidence")])
 
 
@@ -123,12 +144,19 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, int]:
-    """Edges (and how many) whose source has an edge in and whose target has an edge out; the others lie on no cycle."""
-    for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
-            edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
-        )
-    return cut_counted(edges.select("source", "target"))
+    """Edges (and how many) whose source has an edge in and whose target has an edge out; the others lie on no cycle.
+
+    Goes on as long as a pass of `rounds` takes away a tenth of the edges at least, which long chains need."""
+    before = None
+    while True:
+        for _ in range(rounds):
+            edges = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
+                edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
+            )
+        edges, left = cut_counted(edges.select("source", "target"))
+        if not left or (before is not None and left > 0.9 * before):
+            return edges, left
+        before = left
 
 
 def cycles(edges: DataFrame, length: int) -> DataFrame:

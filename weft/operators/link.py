@@ -1,8 +1,10 @@
 """Linking: HTTP calls to endpoints, package declarations to packages, imports to modules.
 
-The theta join on paths is reduced to an equi join first: method and segment
-count for endpoints of fixed length, method alone for those that end in a
-catch-all; the residual compares segments.
+The theta join on paths is an equi join: endpoints have few distinct masks of
+dynamic segments, and a call's literal segments outside a mask, with its method,
+are the key under which endpoints of that mask can match it. Only calls that hold
+dynamic segments themselves are joined by method and length; a residual compares
+segments.
 """
 
 from __future__ import annotations
@@ -11,21 +13,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import http
+from ..functions.hashing import ascii_lower
 from .graph import keep_first
 
 
+def _signature(segments: Column, mask: Column) -> Column:
+    """Segments in lower case, those under the mask as a blank."""
+    return F.array_join(F.zip_with(segments, mask, lambda x, hidden: F.when(hidden, F.lit(" ")).otherwise(ascii_lower(x))), "/")
+
+
 def http_matches(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """calls(call_id, unit, method, path) with endpoints(endpoint_id, unit, method, path): all matches.
 
     An endpoint serves a call of its method (or any, for ANY) in another unit whose path fits."""
     c = calls.select("call_id", F.col("unit").alias("call_unit"), F.upper("method").alias("call_method"), F.col("path").alias("call_path"))
-    c = c.withColumn("cs", http.segments(http.path_of(F.col("call_path"))))
-    e = endpoints.select("endpoint_id", F.col("unit").alias("target_unit"), F.upper("method").alias("end_method"), F.col("path").alias("end_path"))
+    c = c.withColumn("cs", http.segments(http.path_of(F.col("call_path")))).withColumn("m", F.explode(F.array_distinct(F.array(F.col("call_method"), F.lit("ANY")))))
+    e = endpoints.select("endpoint_id", F.col("unit").alias("target_unit"), F.upper("method").alias("m"), F.col("path").alias("end_path"))
     e = e.withColumn("es", http.segments(http.path_of(F.col("end_path"))))
-    tail = F.when(F.size("es") > 0, http.is_catch_all(F.element_at("es", -1))).otherwise(False)
-    e = e.withColumn("n", F.when(tail, F.lit(-1)).otherwise(F.size("es")))
-    c = c.withColumn("m", F.explode(F.array_distinct(F.array(F.col("call_method"), F.lit("ANY"))))).withColumn("n", F.explode(F.array(F.size("cs"), F.lit(-1))))
-    hit = c.join(e.withColumnRenamed("end_method", "m"), ["m", "n"]).where((F.col("call_unit") != F.col("target_unit")) & http.paths_match(F.col("cs"), F.col("es")))
+    e = e.withColumn("tail", F.when(F.size("es") > 0, http.is_catch_all(F.element_at("es", -1))).otherwise(False)).withColumn("head", F.size("es") - F.col("tail").cast("int"))
+    fixed = F.slice("es", F.lit(1), F.col("head"))
+    e = e.withColumn("mask", F.transform(fixed, http.is_dynamic)).withColumn("sig", _signature(fixed, F.col("mask")))
+    # a call may meet endpoints of its own length, and those that end in a catch-all after any part of it
+    lengths = F.concat(F.array(F.struct(F.lit(False).alias("tail"), F.size("cs").alias("head"))), F.transform(F.sequence(F.lit(0), F.size("cs")), lambda n: F.struct(F.lit(True).alias("tail"), n.alias("head"))))
+    c = c.withColumn("x", F.explode(lengths)).select("*", "x.tail", "x.head").drop("x")
+    wide = F.exists("cs", http.is_dynamic)
+    masks = e.select("tail", "head", "mask").distinct()
+    plain = c.where(~wide).join(masks, ["tail", "head"]).withColumn("sig", _signature(F.slice("cs", F.lit(1), F.col("head")), F.col("mask")))
+    hit = plain.join(e, ["m", "tail", "head", "mask", "sig"]).select("call_id", "call_unit", "call_path", "cs", "endpoint_id", "target_unit", "end_path", "es")
+    open_ = c.where(wide).join(e, ["m", "tail", "head"]).select(*hit.columns)
+    hit = hit.unionByName(open_).where((F.col("call_unit") != F.col("target_unit")) & http.paths_match(F.col("cs"), F.col("es")))
     same = http.normalize_path(F.col("call_path")) == http.normalize_path(F.col("end_path"))
     return hit.select("call_id", "endpoint_id", "call_unit", "target_unit", "call_path", "end_path", F.when(same, 100).otherwise(90).alias("confidence")).distinct()
 

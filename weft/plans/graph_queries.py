@@ -134,7 +134,7 @@ def workspace_slice(spark, d):
 
 @query(f"WITH RECURSIVE {_SCOPED}, {_reach("('supply' || chr(0) || 'supplier:3')", True)} SELECT DISTINCT {_SHOWN} FROM edges WHERE target IN (SELECT node FROM reach)")
 def workspace_impact(spark, d):
-    return _shown(graph.workspace_impact(scoped_trade(spark, d), _starts(spark, "supply\0supplier:3"))[1])
+    return _shown(graph.impact_slice(scoped_trade(spark, d), _starts(spark, "supply\0supplier:3"))[1])
 
 
 def _missing(side: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing, http
-from ..operators import link
+from ..operators import extract, link
 from ..session import table
 from .registry import query
 
@@ -130,9 +130,10 @@ def href_calls(spark, d):
     return refs.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("href").alias("targets"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, '([a-z]+)=\"([^\"]*)\"', 2)) AS argument FROM pages")
+@query(r"""SELECT page_id, CASE WHEN len(p) > 0 THEN array_to_string(list_transform(p, lambda x: x[2:-2]), '') END AS url
+FROM (SELECT page_id, regexp_extract_all(html, '"[^"\n]*"|''[^''\n]*''|`[^`]*`') AS p FROM pages)""")
 def quoted_argument_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('([a-z]+)="([^"]*)"'), F.lit(2))).alias("argument"))
+    return table(spark, d, "pages").select("page_id", extract.called_url(F.col("html")).alias("url"))
 
 
 @query("SELECT n_name AS name, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation UNION ALL SELECT c_name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') FROM customer UNION ALL SELECT p_type || ' / ' || p_name, trim(regexp_replace(lower(p_type || ' / ' || p_name), '[^a-z0-9]+', '-', 'g'), '-') FROM part")
