@@ -8,6 +8,11 @@ columns of documents.
 Near-duplicates and contaminated documents are found and dropped by a 64-bit hash
 of id and text, so null and repeated ids each have a fate of their own. Of rows
 that repeat id and text the near-dedup stage keeps one.
+
+Odd rows, in every stage: an empty table gives an empty table; a null text counts as
+empty, and stays null until the line stage makes it an empty text; texts of any length
+are read whole; columns beyond those of documents pass through all stages but the last,
+save names with two leading underscores, which are the operators' own.
 """
 
 from __future__ import annotations
@@ -32,18 +37,24 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that reach their language's threshold go."""
+    """Documents that reach their language's threshold go.
+
+    Repeated rows have one score and one fate; ties with the threshold go; without labels of both kinds all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(~F.col("__toxic")).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in 10 documents or more go; the documents stay."""
+    """Lines found in 10 documents or more go; the documents stay.
+
+    Rows that repeat an id count as one document; a document that loses all lines stays with an empty text."""
     return _counted(line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word fingerprints, one row with the smallest id stays; a null id comes last."""
+    """Of documents linked by five-word fingerprints, one row with the smallest id stays; a null id comes last.
+
+    Empty texts are copies of one another. Of rows with the smallest id but different texts, the smallest hash stays."""
     rows = _with_row(docs)
     found = simhash.near_duplicates(rows, words=5, max_bits=3, id_col="__row")
     ids = rows.select(F.col("__row").alias("id"), "doc_id").distinct()
@@ -53,7 +64,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with up to 6 % of its characters edited; an empty benchmark leaves all."""
     rows = _with_row(docs)
     found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
     gone = cut(found.select(F.col("doc_id").alias("__row")).distinct())
@@ -61,7 +72,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 2048 tokens."""
+    """Pieces of all documents, packed into sequences of 2048 tokens. Empty texts are one end token; repeated rows are packed each."""
     return packing.pack_documents(docs, tokenizer_path(), 2048).drop("row_key")
 
 
