@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -167,12 +168,47 @@ def test_decontamination(spark):
     broken = "".join("z" if i % 9 == 0 else c for i, c in enumerate(item))
     rows = [(1, f"{make(300)} {item.upper()} {make(50)}"), (2, f"{make(40)}\n{edited.replace(' ', ',  ')}! {make(10)}"), (3, f"{make(80)} {broken}"), (4, None), (5, ""), (6, make(4000)), (7, item[: len(item) // 2]), (None, item), (8, "the short item"), (9, "the short items"), (1, f"{item}")]
     bench = spark.createDataFrame([(10, item, 0), (11, None, 0), (12, " .. ", 0), (13, "Short item", 0), (14, item, 0)], "item_id long, text string, doc_id long")
-    for mb in (4, 0.0001):
-        got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(docs_of(spark, rows), bench, block_mb=mb).collect()}
+    for sizes in ({}, {"block_mb": 0.0001}, {"block_mb": 0.0001, "pass_mb": 0.0003, "batch_mb": 0.001}):
+        got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(docs_of(spark, rows), bench, **sizes).collect()}
         assert set(got) == {(1, 10), (1, 14), (2, 10), (2, 14), (None, 10), (None, 14), (8, 13)}
         assert got[1, 10] == 0 and 1 <= got[2, 10] <= 4
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcde f") for _ in range(n))
+    items = [(i, make(rng.choice((6, 15, 17, 20, 34, 40, 60, 120)))) for i in range(14)]
+    docs = []
+    for i in range(60):
+        t = list(items[rng.randrange(14)][1])
+        for _ in range(rng.choice((0, 0, 1, 2, 3, 6))):
+            t[rng.randrange(len(t))] = rng.choice(("", "x", "bb"))
+        docs.append((i, make(rng.randint(0, 60)) + " " + "".join(t) + " " + make(rng.randint(0, 60))))
+    docs += [(60, f"{make(60_000)} {items[7][1]} {make(60_000)}"), (61, None)]
+    want = set()
+    for d, t in docs:
+        t = decontaminate.normalise(t)
+        for i, item in items:
+            item = decontaminate.normalise(item)
+            e, row = int(0.06 * len(item)), np.arange(len(item) + 1)
+            if len(t) > 1000:
+                if item in t:
+                    want.add((d, i, 0))
+                continue
+            best = len(item)
+            for c in t:  # a match may start anywhere: cost 0 before the first character
+                step = np.minimum(np.concatenate(([0], row[:-1] + (np.array(list(item)) != c))), row + 1)
+                step[0] = 0
+                row = np.minimum.accumulate(step - np.arange(len(step))) + np.arange(len(step))
+                best = min(best, int(row[-1]))
+            if t and item and best <= e:
+                want.add((d, i, best))
+    got = decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_mb=0.0002)
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()}
+    assert {x for x in got if x[0] != 60} == {x for x in want if x[0] != 60} and {x for x in want if x[0] == 60} <= got
+    assert len({d for _, _, d in want}) > 1
+
+
 @given(st.text("abc", min_size=1, max_size=70), st.text("abc", max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_myers(item, text):
@@ -282,7 +318,7 @@ def test_ann(spark):
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int").repartition(5)
     for block in (2048, 40):
         got = defaultdict(list)
-        for r in ann.search(df, F.col("vec_id") % 50 == 0, k=5, rows_per_list=40, block=block).orderBy("query_id", "rank").collect():
+        for r in ann.search(df, F.col("vec_id") % 50 == 0, k=5, rows_per_list=40, replicas=4, boundary=1.25, ratio=1.2, block=block).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         hit = 0
@@ -297,6 +333,33 @@ def test_ann(spark):
         assert [v for _, v, _ in got[100]] == [101, 102, 103, 104, 105] and [v for _, v, _ in got[150]] == [100, 101, 102, 103, 104]
 
 
+def test_ann_lengths_and_sizes_of_components(spark):
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [-1.0, 3.0]), (50, [1.0, 0.0, 0.0]), (51, [2.0, 0.1, 0.0]), (52, [5e-324, 0.0, 0.0]), (100, [7.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    assert by == {0: [(1, 1.0), (2, round(5 / 50**0.5, 9))], 50: [(52, 1.0), (51, round(2 / 4.01**0.5, 9))]}
+
+
+def test_ann_reads_few_rows_where_vectors_have_clusters():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 32))
+    x = ann.unit(centres[rng.integers(0, 300, 20_000)] + 0.35 * rng.normal(size=(20_000, 32)))
+    ix = ann.fit(x[rng.permutation(20_000)[:8000]], len(x) // 120)
+    row, lists = ann.postings(ix.centroids, x, 2, 1.03)
+    members = defaultdict(set)
+    for r, c in zip(row.tolist(), lists.tolist()):
+        members[c].add(r)
+    read = hit = 0
+    for q in range(0, 20_000, 200):
+        seen = [members[c] for c in ix.lists(x[q], 1.28).tolist()]
+        best = np.argsort(-(x @ x[q]), kind="stable")[1:6]
+        read += sum(map(len, seen))
+        hit += len(set(best.tolist()) & set().union(*seen))
+    assert hit / 500 >= 0.9 and read / (100 * 20_000) <= 0.1
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -316,7 +379,7 @@ def test_pii(spark):
     pieces = ["a.b@c.de", "x@y", "_x@d.e.f", "a@b.c_x@d.e", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.02.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (234) 567-8901", "++49 30 123456 7", "ü😀", "token", "12 34 56", "@", ".", "+", "\n"]
     rows = [(i, rng.choice(["", " ", "-"]).join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))) for i in range(80)]
     rows += [(90, None), (91, "a" * 50000 + "@"), (92, "7" * 30000), (None, "q@r.st"), (0, rows[0][1]), (0, "z@z.zz")]
-    rows += [(200 + i, f"filler {i} words Quixotic zephyr s{i % 4}@ex.org and more") for i in range(12)] + [(300 + i, "filler words and more") for i in range(40)]
+    rows += [(200 + i, f"filler {i} words Quixotic zephyr s{i % 4}@ex.org and more") for i in range(12)] + [(300 + i, f"filler words {i} and more") for i in range(40)]
     out = pii.sanitise(docs_of(spark, rows)).collect()
     assert len(out) == len(rows)
     by = defaultdict(list)
@@ -332,7 +395,7 @@ def test_pii(spark):
 
 def test_pii_terms_of_the_whole_document(spark):
     far = "common words of all " * 30
-    rows = [(i, f"Quixotic s@ex.org 77 Quixotic {far} zephyr, 12 34 Quixotic {i} ü quixotic") for i in range(4)] + [(100 + i, far) for i in range(60)]
+    rows = [(i, f"Quixotic s@ex.org 77 Quixotic {far} zephyr, 12 34 Quixotic {i} ü quixotic") for i in range(4)] + [(100 + i, f"{far} {i}") for i in range(60)]
     rows += [(200, "4111 1111 1111 1111, 12 34 gnome"), (201, "4111 1111 1111 1111, 12 34 gnome x")]
     for r in pii.sanitise(docs_of(spark, rows)).collect():
         left = r["text"].lower()
@@ -343,6 +406,42 @@ def test_pii_terms_of_the_whole_document(spark):
             assert s["kind"] != "term" or text.lower() in ("quixotic", "zephyr", "gnome"), text
 
 
+def test_pii_disclosure_equals_brute_force(spark):
+    rng = random.Random(8)
+    words = ["alpha", "Beta", "gamma-ray", "o'neil", "ab", "éta", "theta9", "iota", "kappa", "Iota"]
+    mails = ["p@x.org", "q.r@y.net", "P@x.org"]
+    texts = [" ".join(rng.choice(words[: 3 + i % 8]) if rng.random() < 0.85 else rng.choice(mails) if rng.random() < 0.7 else "+49 30 1234567" for _ in range(rng.randint(0, 12))) for i in range(60)]
+    texts = [t + "".join(f" mark{j} Sign{j}" for j, m in enumerate(mails) if m in t and rng.random() < 0.8) for t in texts]
+    texts += [f"{rng.choice(words)} word {i}" for i in range(60)]
+    rows = list(enumerate(texts + texts[:9] + ["beta alphaville p@x.org"]))
+    at = {t: [] for t in set(t for _, t in rows)}
+    terms, held = {}, {}
+    for t in at:
+        spans = brute_pii(t)
+        mail = [(a, z) for a, _, z, k in spans if k == "email"]
+        blank = "".join(" " if any(a <= i < z for a, z in mail) else c for i, c in enumerate(t))
+        at[t] = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(pii.TERM, blank)]
+        terms[t] = {x[2] for x in at[t]}
+        held[t] = {(k, t[a:z]) for a, _, z, k in spans}
+    n = len(at)
+    want = {t: set() for t in at}
+    for e in set().union(*held.values()):
+        have = [t for t in at if e in held[t]]
+        for w in set().union(*terms.values()):
+            both = sum(w in terms[t] for t in have)
+            if both >= 2 and len(have) < n:
+                share = np.log(n * both / (len(have) * sum(w in terms[t] for t in at))) / np.log(n / len(have))
+                if share >= 0.6:
+                    for t in have:
+                        want[t] |= {(a, z, w) for a, z, x in at[t] if x == w}
+    assert any(want.values())
+    out = pii.sanitise(docs_of(spark, rows)).select("doc_id", "__spans").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        t = rows[r["doc_id"]][1]
+        assert {(s["start"], s["end"], t[s["start"] : s["end"]].lower()) for s in r["__spans"] if s["kind"] == "term"} == want[t], t
+
+
 @given(st.text(st.sampled_from("<|\\>ims_endstar\n x"), max_size=40), st.text(st.sampled_from("<|\\\nan"), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_chat_escape_is_reversible(text, role):

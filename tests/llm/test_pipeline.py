@@ -94,3 +94,22 @@ def test_stages_take_null_and_repeated_ids(spark, tables):
     assert got(corpus_pipeline.drop_near_duplicates(spark, nulls, d)) == sorted([(None, same), (None, other)], key=str)
     left = corpus_pipeline.drop_contaminated(spark, docs, d)
     assert got(left) == sorted([r for r in rows if item not in r[1]], key=str)
+
+
+def test_stages_take_empty_tables_and_long_texts(spark, tables, tmp_path):
+    d, docs, item = tables
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h string, id long"
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, d)
+        assert out.count() == 0 and (name == "best-fit packing" or out.columns == empty.columns)
+    for t, s in (("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], s).write.parquet(f"{tmp_path}/{t}.parquet")
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("bcdfg") for _ in range(6)) for _ in range(60_000))
+    rows = spark.createDataFrame([(1, long, "en", "s", len(long), "x", 1), (2, f"{long} {item}", None, "s", None, None, None), (None, None, None, None, None, None, None), (3, "", "en", "s", 0, "", 0)], schema)
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        assert stage(spark, rows, str(tmp_path)).count() == 4, name  # no labels, no frequent lines
+    assert sorted(str(r[0]) for r in corpus_pipeline.drop_near_duplicates(spark, rows, d).select("doc_id").collect()) == ["1", "3"]
+    assert corpus_pipeline.drop_contaminated(spark, rows, str(tmp_path)).count() == 4
+    assert sorted(str(r[0]) for r in corpus_pipeline.drop_contaminated(spark, rows, d).select("doc_id").collect()) == ["1", "3", "None"]
