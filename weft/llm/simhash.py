@@ -200,9 +200,8 @@ def near_duplicates(
     """id, fp, component (smallest id of all that is linked, directly or not)."""
     fps = cut(fingerprints(docs, words, id_col, text_col))
     distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    # dealt by number, since small partitions would be joined to few before each row becomes many signatures
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = distinct.repartition(parts, "fp")
+    # dealt in turn: small partitions by fingerprint would be joined to few before each row becomes many signatures
+    distinct = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     roots = components(links(distinct.select("fp"), max_bits))
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component"))
