@@ -2,8 +2,12 @@
 
 Lines are exploded with their positions, normalised and hashed (MD5); distinct
 documents are counted by hash; positions whose hash is over the threshold are
-dropped and the rest is joined again in order. Only (document, position, hash)
-is shuffled for the counts; the text moves once, beside its dropped positions.
+dropped and the rest is joined again in order. Distinct (hash, document) pairs are
+shuffled for the counts, which are summed before they meet; the frequent hashes are
+written to the shared folder, so Spark knows their size when it joins them with the
+lines: a small table is broadcast, and of a large one's join the partition of a hot
+line is split, as both of its sides are plain shuffles. The text moves once, beside
+its dropped positions.
 
 Edge cases: null and empty texts are one empty line; a key shorter than
 min_chars (so by default an empty one) is never dropped; repeated rows of one id
@@ -16,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import BLANKS, ascii_lower, keyed, plain
 
 
@@ -30,7 +35,7 @@ def drop_frequent_lines(
     lines = lines.where(F.char_length("__key") >= max(min_chars, 0)).select(
         "__k", "__id", "__pos", F.unhex(F.md5("__key")).alias("__hash")
     )
-    frequent = (
+    frequent = cut(
         lines.select("__hash", "__id").distinct().groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") >= min_docs).select("__hash")
     )
