@@ -6,14 +6,16 @@ is cut into e + 1 pieces: wherever a text holds the item with at most e edits,
 one piece is there unchanged. One automaton finds all pieces; each hit gives a
 window, and Myers' bit-parallel distance verifies it.
 
-The benchmark is read in blocks of at most `block_mb` of text; each block is
-collected, sent to the tasks and matched against all documents, so what is
-broadcast is bounded whatever the benchmark's size.
+The benchmark is read in passes of about `pass_mb` of text, each in blocks of about
+`block_mb`. A pass is collected and sent to the tasks, so what is broadcast at a time
+is bounded; a task normalises texts once a pass, gathers up to `batch_mb` of them and
+matches them against one block's automaton after another. A benchmark of one pass,
+which nearly all are, costs one reading of the corpus.
 
 Edge cases: null, empty and blank texts match nothing, nor do items without a
-letter or digit; e is lowered where pieces would have under `min_piece`
-characters, so short items must stand exactly, between word ends; repeated items
-each match; repeated rows each yield rows; null ids are kept.
+letter or digit; items under 1 / error_rate characters must stand exactly, between
+word ends; repeated items each match; repeated rows each yield rows; null ids are
+kept; a text longer than a batch is a batch of its own.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ def normalise(text: str | None) -> str:
     return f" {' '.join(words)} " if words else ""
 
 
-def budget(m: int, error_rate: float, min_piece: int) -> int:
-    return max(0, min(int(error_rate * m), m // min_piece - 1))
+def budget(m: int, error_rate: float) -> int:
+    """Errors allowed in an item of m characters, the two blanks at its ends included; at most one less than it has."""
+    return max(0, min(int(error_rate * m), m - 1))
 
 
 def cut_pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -82,11 +85,11 @@ def myers(item: str, text: str) -> tuple[int, int]:
 class Matcher:
     """One block of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_piece: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
         self.items = items
-        self.budgets = [budget(len(t), error_rate, min_piece) for _, t in items]
+        self.budgets = [budget(len(t), error_rate) for _, t in items]
         hits: dict[str, list[tuple[int, int]]] = {}
         for i, (_, t) in enumerate(items):
             for at, p in cut_pieces(t, self.budgets[i]):
@@ -129,33 +132,53 @@ class Matcher:
 SCHEMA = "doc_id long, item_id long, distance int, errors_allowed int, end long"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, str]]]:
+    """(id, normalised text) of the batches, most characters at a time or one text."""
+    rows, size = [], 0
+    for b in batches:
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            text = normalise(text)
+            if text:
+                rows.append((doc, text))
+                size += len(text)
+            if size > most:
+                yield rows
+                rows, size = [], 0
+    yield rows
+
+
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, min_piece: int = 12, block_mb: float = 4,
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, block_mb: float = 4, pass_mb: float = 64, batch_mb: float = 32,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """A row for each document and benchmark item it holds: SCHEMA."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, int(-(-total // int(block_mb * 1e6))))
+    passes = max(1, int(-(-total // int(pass_mb * 1e6))))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        block = sorted(((r[0], normalise(r[1])) for r in part if normalise(r[1])), key=lambda x: (x[0] is None, x))
-        sent = spark.sparkContext.broadcast(tuple(block))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect()
+        known = sorted(((r[0], normalise(r[1])) for r in part if normalise(r[1])), key=lambda x: (x[0] is None, x))
+        blocks, size = [[]], 0
+        for item in known:
+            size += len(item[1])
+            if size > block_mb * 1e6 and blocks[-1]:
+                blocks.append([])
+                size = len(item[1])
+            blocks[-1].append(item)
+        sent = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            m = Matcher(list(sent.value), error_rate, min_piece)
-            for b in batches:
-                found = [
-                    (doc, m.items[i][0], d, m.budgets[i], end)
-                    for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for i, d, end in m.match(normalise(text))
-                ]
-                cols = list(zip(*found)) if found else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "distance", "errors_allowed", "end"])
+            one = Matcher(sent.value[0], error_rate) if len(sent.value) == 1 else None
+            for texts in _gathered(batches, int(batch_mb * 1e6)):
+                for block in sent.value:
+                    m = one or Matcher(block, error_rate)
+                    found = [(doc, m.items[i][0], d, m.budgets[i], end) for doc, text in texts for i, d, end in m.match(text)]
+                    cols = list(zip(*found)) if found else [[]] * 5
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "distance", "errors_allowed", "end"])
 
         found = rows.mapInArrow(run, SCHEMA)
         out = found if out is None else out.union(found)
