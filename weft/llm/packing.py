@@ -44,7 +44,7 @@ class Encoder:
     young one is full it becomes the old one, and what is met again moves back, so
     memory is bounded and frequent chunks are learned once."""
 
-    def __init__(self, vocabulary: bytes, entries: int = 600_000):
+    def __init__(self, vocabulary: bytes, entries: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.entries = Tokenizer.from_str(vocabulary.decode()), entries
