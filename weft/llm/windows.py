@@ -6,9 +6,11 @@ document. Every window belongs to the k-gram with the smallest hash inside it
 belong to equal k-grams are a region. Regions whose k-gram occurs once
 cannot hold a repeated window and are dropped; the others are dealt by k-gram to
 shards, equal regions once with their number of occurrences, and an index per
-shard decides exactly. A k-gram with over `hot` occurrences is not given to one
-index: its distinct regions are judged window by window, by a 128-bit hash that
-is counted with partial aggregation.
+shard decides exactly. A k-gram with over `hot` occurrences, or with over 40 times
+as many windows (as in periodic text), would fill a shard of its own without bound;
+it is not given to one index: its distinct regions are judged window by window, by a
+128-bit hash that is counted with partial aggregation. Windows of one k-gram cannot
+be dealt further by what lies inside them, since those that matter share nearly all.
 
 Rows are told apart by a 64-bit hash of id and text; repeated rows are separate
 places, so all their windows repeat.
@@ -197,8 +199,9 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[a:z][doc]), pa.array((start * RUN + size) * 2 + again)], ["h", "key", "at"])
 
     grams = rows.select("key", "t").mapInArrow(scan, "h long, key long, at long")
-    often = grams.groupBy("h").agg(F.sum(1 + F.col("at") % 2).alias("n")).where("n > 1")
-    mine = grams.join(often, "h").select("key", F.struct("h", "at", (F.col("n") > hot).alias("hot")).alias("r"))
+    windows = F.pmod(F.floor(F.col("at") / 2), F.lit(RUN))
+    often = grams.groupBy("h").agg(F.sum(1 + F.col("at") % 2).alias("n"), F.sum(windows).alias("w")).where("n > 1")
+    mine = grams.join(often, "h").select("key", F.struct("h", "at", ((F.col("n") > hot) | (F.col("w") > 40 * hot)).alias("hot")).alias("r"))
     mine = mine.groupBy("key").agg(F.collect_set("r").alias("regions"))  # bounded by the document's own length
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
