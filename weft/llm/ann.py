@@ -12,10 +12,16 @@ list. Scores are computed in double precision on the original vectors.
 Equal vectors are indexed once; of each, the k + 1 smallest ids are kept, which
 is all that an answer of k can name, so copies cost nothing and none is lost.
 
-Edge cases: vectors that are null, empty, zero, hold a null or non-finite
-component, or differ in length from the most common length take no part; rows
-that repeat an id count as that id's one row; ties go to the smaller id; a query
-with fewer candidates gets all; no vectors, no rows.
+A list's size grows with the table once there are `MAX_LISTS` lists; blocks keep
+every task's share bounded. How much a query must read for a given recall depends on
+the data: with clusters a few lists hold all neighbours, while random directions
+leave boundaries everywhere (figures in the README).
+
+Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component
+take no part; vectors of each length are searched on their own, as no cosine is defined
+between lengths; components of any size are scaled by a power of two first, which
+changes no cosine; rows that repeat an id count as that id's one row of that length;
+ties go to the smaller id; a query with fewer candidates gets all; no vectors, no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +41,7 @@ from ..session import cut
 #: Bytes of sample vectors the driver holds at most.
 SAMPLE_BYTES = 64 << 20
 MAX_LISTS = 4096
+OUT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass
@@ -101,7 +109,18 @@ def fit(sample: np.ndarray, lists: int, rounds: int = 10, degree: int = 16, seed
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(np.float64)
+    """Rows scaled by powers of two so that their largest component is 0.5 to 1: squares neither overflow nor vanish."""
+    x = np.stack(col.to_numpy()).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def postings(centroids: np.ndarray, x: np.ndarray, replicas: int, boundary: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of each list that a row of x belongs to: the nearest, and those at most boundary times as far."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ centroids.T)))
+    own = np.argsort(d, axis=1, kind="stable")[:, : min(replicas, len(centroids))]
+    far = np.take_along_axis(d, own, 1)
+    row, col = np.nonzero(far <= far[:, :1] * boundary + 1e-12)
+    return row, own[row, col]
 
 
 def top(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,21 +140,23 @@ def top(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return qi[keep], ri[keep], score[keep]
 
 
-def search(
-    vectors: DataFrame, is_query: F.Column, k: int = 5, rows_per_list: int = 200, replicas: int = 4, boundary: float = 1.25,
-    ratio: float = 1.2, sample_rows: int = 20_000, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding",
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds."""
-    spark = vectors.sparkSession
+def search(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds. how: see _search."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.where(F.col("id").isNotNull() & fine)
-    common = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], out)
-    dim = common["n"]
-    v = v.where(F.size("v") == dim)
+    lengths = sorted(r["n"] for r in v.select(F.size("v").alias("n")).distinct().collect())  # nearly always one
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], OUT)
+    return reduce(DataFrame.unionByName, [_search(v.where(F.size("v") == n), n, k, **how) for n in lengths])
+
+
+def _search(
+    v: DataFrame, dim: int, k: int, rows_per_list: int = 120, replicas: int = 2, boundary: float = 1.03,
+    ratio: float = 1.28, sample_rows: int = 20_000, block: int = 2048,
+) -> DataFrame:
+    """Of v(id, v, q), vectors of one length."""
+    spark = v.sparkSession
     # distinct vectors: one representative, the k + 1 smallest ids; the limit is applied before the shuffle
     least = Window.partitionBy("v").orderBy("id")
     ranked = v.select("v", "id").withColumn("n", F.dense_rank().over(least)).where(F.col("n") <= k + 1)
@@ -144,8 +165,8 @@ def search(
     asked = cut(asked)
     n = distinct.count()
     bound = max(1, min(sample_rows, SAMPLE_BYTES // (8 * dim)))
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("rep"), "rep").select("v").limit(bound).collect()], np.float64)
-    index = fit(sample, min(MAX_LISTS, -(-n // rows_per_list), max(1, len(sample) // 8)))
+    sample = distinct.orderBy(F.xxhash64("rep"), "rep").select("v").limit(bound).toPandas()
+    index = fit(_matrix(sample["v"]) if len(sample) else np.zeros((0, dim)), min(MAX_LISTS, -(-n // rows_per_list)))
     sent = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,12 +174,8 @@ def search(
         for b in batches:
             if not len(b):
                 continue
-            d = np.sqrt(np.maximum(0, 2 - 2 * (unit(_matrix(b["v"])) @ c.T)))
-            r = min(replicas, len(c))
-            own = np.argsort(d, axis=1, kind="stable")[:, :r]
-            far = np.take_along_axis(d, own, 1)
-            row, col = np.nonzero(far <= far[:, :1] * boundary + 1e-12)
-            yield pd.DataFrame({"list": own[row, col], "rep": b["rep"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
+            row, lists = postings(c, unit(_matrix(b["v"])), replicas, boundary)
+            yield pd.DataFrame({"list": lists, "rep": b["rep"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = sent.value
@@ -169,8 +186,9 @@ def search(
             row = np.repeat(np.arange(len(b)), [len(f) for f in found])
             yield pd.DataFrame({"list": np.concatenate(found), "qrep": b["qrep"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
 
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: small partitions would be joined to one task
     posted = distinct.select("rep", "v").mapInPandas(place, "list long, rep long, v array<double>")
-    visits = asked.groupBy("qrep").agg(F.first("v").alias("v")).repartition("qrep").mapInPandas(visit, "list long, qrep long, v array<double>")
+    visits = asked.groupBy("qrep").agg(F.first("v").alias("v")).repartition(parts, "qrep").mapInPandas(visit, "list long, qrep long, v array<double>")
     posted, visits = cut(posted), cut(visits)
     # blocks by list: their numbers are as many as centroids, so they may be broadcast
     splits = F.broadcast(
