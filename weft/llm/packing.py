@@ -15,6 +15,7 @@ table.
 from __future__ import annotations
 
 import hashlib
+import threading
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -44,7 +45,7 @@ class Encoder:
     young one is full it becomes the old one, and what is met again moves back, so
     memory is bounded and frequent chunks are learned once."""
 
-    def __init__(self, vocabulary: bytes, entries: int = 200_000):
+    def __init__(self, vocabulary: bytes, entries: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.entries = Tokenizer.from_str(vocabulary.decode()), entries
@@ -121,11 +122,15 @@ def _blocks(text: str, size: int) -> Iterator[str]:
         at = to + 1
 
 
-#: One encoder for each vocabulary in a worker process: what it has learned serves all of the process's tasks.
+#: The encoder of a worker process: what it has learned serves the tasks that follow, until none has come for IDLE_SECONDS.
 _ENCODERS: dict[bytes, Encoder] = {}
+_EXPIRY: list[threading.Timer] = []
+IDLE_SECONDS = 5
 
 
 def encoder(vocabulary: bytes) -> Encoder:
+    while _EXPIRY:
+        _EXPIRY.pop().cancel()
     key = hashlib.sha256(vocabulary).digest()
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -133,6 +138,14 @@ def encoder(vocabulary: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
+def _idle() -> None:
+    """Gives the encoder's memory back to the process, in which other stages may run, if no task comes soon."""
+    timer = threading.Timer(IDLE_SECONDS, _ENCODERS.clear)
+    timer.daemon = True
+    timer.start()
+    _EXPIRY.append(timer)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key, piece, start, length, ids_crc32 and, if asked for, ids (bytes).
 
@@ -155,6 +168,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
                     rows.append((doc, key, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             cols = list(zip(*rows)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if f.name == "ids" else pa.int64()) for c, f in zip(cols, schema)], schema.names)
+        _idle()
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("row_key"), F.col(text_col).alias("t"))
     return d.mapInArrow(run, schema)
