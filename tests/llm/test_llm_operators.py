@@ -258,6 +258,29 @@ def test_toxicity_thresholds_cover_rows_outside_the_sample(spark):
     assert sum(r["__toxic"] == (r["doc_id"] % 4 == 0) for r in out) / len(out) >= 0.9
 
 
+def same_model(a, b):
+    parts = lambda m: [m.embed, *m.filters, m.bias, m.out]
+    return all(np.array_equal(x, y) for x, y in zip(parts(a), parts(b))) and a.out_bias == b.out_bias and a.thresholds == b.thresholds
+
+
+def test_toxicity_sample_is_bounded_and_determined(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "vilword " * (i % 4 == 0) + " ".join("".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(20)), "en") for i in range(300)]
+    rows += [(i, f"another text of {i}", "en") for i in range(0, 300, 7)] + [(4, rows[4][1], "en"), (8, "x" * 50_000, "en")]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(4, 0), (8, None)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(list(zip(texts, y.tolist()))) or train(texts, y, epochs=1))
+    schema = "doc_id long, text string, lang string"
+    one = toxicity.fit(spark.createDataFrame(rows, schema).repartition(1), marks, sample_rows=120, sample_mb=0.01)
+    two = toxicity.fit(spark.createDataFrame(rows[::-1], schema).repartition(5, "text"), marks.repartition(3), sample_rows=120, sample_mb=0.01)
+    assert seen[0] == seen[1] and same_model(one, two)
+    size = sum(len(t.encode()) for t, _ in seen[0])
+    assert 5_000 < size <= 10_000 and len(seen[0]) < 120  # the bytes bind
+    toxicity.fit(spark.createDataFrame(rows, schema), marks, sample_rows=40)
+    assert len(seen[2]) == 40  # the rows bind; of repeated ids one text is learned
+
+
 def test_scorer_equals_direct_convolution():
     model = toxicity.train(["a bad word here", "fine text", "bad", "good"] * 10, np.array([1, 0, 1, 0] * 10), epochs=2)
     for text in ("a bad word", "", "x", "one two three four " * 40):

@@ -313,169 +313,6 @@ def fit(
     return model
 
 
-def score(self, texts: list[str | None]) -> np.ndarray:
-        return _sigmoid(self.logits(texts))
-
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
-
-
-def held_back(n: int) -> np.ndarray:
-    """Which rows of a sample the fit does not learn from: every fifth."""
-    return np.arange(n) % 5 == 4
-
-
-def train(
-    texts: list[str | None], labels: np.ndarray, *,
-    buckets: int = 1 << 15, dim: int = 16, n_filters: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7,
-) -> Model:
-    """Adam on the logistic loss; held-back rows are left to the thresholds."""
-    rng = np.random.default_rng(seed)
-    model = Model(
-        rng.normal(0, 0.1, (buckets, dim)).astype(np.float32),
-        [rng.normal(0, 0.3, (w, dim, n_filters)).astype(np.float32) for w in WIDTHS],
-        np.zeros(n_filters * len(WIDTHS), np.float32), rng.normal(0, 0.1, n_filters * len(WIDTHS)).astype(np.float32), -2.0,
-    )
-    model.embed[0] = 0
-    y = np.asarray(labels, np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        model.out[:], model.out_bias = 0, -40.0
-        return model
-    back = held_back(len(y))
-    vocab: dict[str, int] = {}
-    docs = []
-    for t in texts:
-        docs.append(np.fromiter((vocab.setdefault(w, len(vocab) + 1) for w in words_of(t)), np.int32))
-    width = 1 + len(PREFIXES)
-    table = np.concatenate([np.zeros((1, width), np.int32), feature_table(list(vocab), buckets)])
-    del vocab
-    params = [model.embed, *model.filters, model.bias, model.out]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    bias_m = bias_v = 0.0
-    step = 0
-    pool = np.flatnonzero(~back)
-    for _ in range(epochs):
-        order = rng.permutation(pool)
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            step += 1
-            seqs = [np.concatenate([np.zeros(PAD, np.int32), docs[i], np.zeros(PAD, np.int32)]) for i in rows]
-            uniq, inv = np.unique(np.concatenate(seqs), return_inverse=True)
-            tab = table[uniq]
-            vec = model.embed[tab].sum(1) * (uniq > 0)[:, None]
-            starts = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
-            pooled = np.empty((len(rows), n_filters * len(WIDTHS)), np.float32)
-            where = np.empty(pooled.shape, np.int64)
-            for k, f in enumerate(model.filters):
-                w = len(f)
-                prod = [np.ascontiguousarray((vec @ f[j]).T) for j in range(w)]
-                m = len(inv) - w + 1
-                total = prod[0].take(inv[:m], axis=1)
-                for j in range(1, w):
-                    total += prod[j].take(inv[j : j + m], axis=1)
-                for d in range(len(rows)):
-                    a, z = starts[d], starts[d + 1] - w + 1
-                    arg = total[:, a:z].argmax(1) + a
-                    where[d, k * n_filters : (k + 1) * n_filters] = arg
-                    pooled[d, k * n_filters : (k + 1) * n_filters] = total[np.arange(n_filters), arg]
-            act = pooled + model.bias
-            hid = np.maximum(act, 0)
-            p = 1 / (1 + np.exp(-np.clip(hid @ model.out + model.out_bias, -30, 30)))
-            g = (p - y[rows]) / len(rows)
-            dout = hid.T @ g
-            dact = (g[:, None] * model.out) * (act > 0)
-            dvec = np.zeros_like(vec)
-            dfil = []
-            for k, f in enumerate(model.filters):
-                w = len(f)
-                gk, pos = dact[:, k * n_filters : (k + 1) * n_filters], where[:, k * n_filters : (k + 1) * n_filters]
-                df = np.empty_like(f)
-                for j in range(w):
-                    at_j = inv[pos + j]
-                    df[j] = np.einsum("dfe,df->ef", vec[at_j], gk)
-                    np.add.at(dvec, at_j.ravel(), (gk[:, :, None] * f[j].T[None]).reshape(-1, dim))
-                dfil.append(df)
-            dvec[uniq == 0] = 0
-            demb = np.zeros_like(model.embed)
-            hit = np.flatnonzero(np.abs(dvec).sum(1) > 0)
-            np.add.at(demb, tab[hit].ravel(), np.repeat(dvec[hit], width, axis=0))
-            demb[0] = 0
-            for q, d, a, b in zip(params, [demb, *dfil, dact.sum(0), dout], first, second):
-                a += 0.1 * (d - a)
-                b += 0.001 * (d * d - b)
-                q -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-            d = float(g.sum())
-            bias_m += 0.1 * (d - bias_m)
-            bias_v += 0.001 * (d * d - bias_v)
-            model.out_bias -= rate * (bias_m / (1 - 0.9**step)) / (bias_v / (1 - 0.999**step)) ** 0.5 if bias_v else 0
-    return model
-
-
-def _best(bins: list) -> float:
-    """The middle of the scores between which F1 is largest. Rows of bins: lo and hi (the ends of its logits), pos, n."""
-    bins = sorted(bins, key=lambda b: -b["lo"])
-    hits = np.cumsum([b["pos"] for b in bins])
-    f1 = 2 * hits / (np.cumsum([b["n"] for b in bins]) + hits[-1])
-    i = int(f1.argmax())
-    low = _sigmoid(bins[i + 1]["hi"]) if i + 1 < len(bins) else 0.0
-    return float(np.clip((_sigmoid(bins[i]["lo"]) + low) / 2, 1e-6, 1 - 1e-6))
-
-
-def calibrate(model: Model, rows: DataFrame, bin_width: float = 0.02, min_positives: int = 20) -> None:
-    """Shift the score and set thresholds by language from all of rows (t, lang, __toxic).
-
-    What comes to the driver is a histogram: at most 80 / bin_width bins, and as many for each calibrated language."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scorer.logits(b.column(0).to_pylist()), pa.float64()), b.column(2)], ["lang", "z", "y"])
-
-    scored = rows.select("t", "lang", (F.col("__toxic") > 0).cast("long").alias("y")).mapInArrow(run, "lang string, z double, y long")
-    sums = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pos").alias("pos"), F.sum("n").alias("n")]
-    one = scored.select("lang", F.floor(F.col("z") / bin_width).alias("bin"), F.col("z").alias("lo"), F.col("z").alias("hi"), F.col("y").alias("pos"), F.lit(1).cast("long").alias("n"))
-    hist = cut(one.groupBy("lang", "bin").agg(*sums))
-    common = hist.groupBy("bin").agg(*sums).collect()
-    if sum(b["n"] for b in common) < 20 or not sum(b["pos"] for b in common):
-        return
-    best = _best(common)
-    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(best / (1 - best)))
-    model.out_bias += shift
-    enough = hist.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("pos").alias("__all")).where(F.col("__all") >= min_positives).select("lang")
-    by: dict[str, list] = {}
-    for r in hist.join(enough, "lang").collect():
-        by.setdefault(r["lang"], []).append({"lo": r["lo"] + shift, "hi": r["hi"] + shift, "pos": r["pos"], "n": r["n"]})
-    model.thresholds = {lang: _best(bins) for lang, bins in by.items()}
-
-
-def is_held_out(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Model:
-    """Train on at most sample_rows labelled documents that are not held out, chosen by a hash of the id,
-    and calibrate on all the others that are not held out.
-
-    The ids of the sample (bounded) are broadcast; its texts come to the driver."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
-    known = marks.groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").alias("__toxic"))
-    marks = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), lang.alias("lang"))
-    rows = texts.join(F.broadcast(marks), "__id")
-    got = sorted(rows.select("__id", "t", "lang", "__toxic").limit(2 * sample_rows).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
-    y = np.array([int(r[3] > 0) for r in got])
-    model = train([r[1] for r in got], y)
-    if len(y) and y.min() < y.max():
-        learned = sorted({(r[0],) for r, back in zip(got, held_back(len(got))) if not back})
-        learned = docs.sparkSession.createDataFrame(learned, StructType([known.schema["__id"]]))
-        calibrate(model, texts.join(known.join(F.broadcast(learned), "__id", "left_anti"), "__id"))
-    return model
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """docs with __score, and __toxic: whether it reaches its language's threshold (0.3 where none was calibrated)."""
     spark = docs.sparkSession
