@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, chat, decontaminate, fm_index, line_dedup, packing, pii, simhash, suffix_buckets, toxicity
+from . import ann, chat, decontaminate, exact_dedup, fm_index, line_dedup, packing, pii, simhash, suffix_buckets, toxicity
 
 
 def tokenizer_path() -> str:
@@ -83,12 +83,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold_events(events)))
 
 
+def op13_digest_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ann_posting_lists, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_toxicity_cnn,
         op5_fm_index_substring_dedup, op6_suffix_array_dedup, op7_line_dedup, op8_sum_of_squares_packing, op9_information_theoretic_pii,
-        op10_chat_formatting,
+        op10_chat_formatting, op13_digest_tree_dedup,
     )
 }
 
@@ -128,4 +133,9 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role |
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + {len(chat.START) + len(chat.END) + 2})::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op13_digest_tree_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d""",
 }
