@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
-import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from weft.llm import exact_dedup
+from weft.llm import conversation_trie, exact_dedup, queries
 
 EXTRA = "slot long, n int, ids string, row long, h string, __x int"
 ODD = (1, 2, "i", None, "h", 3)
@@ -50,3 +52,69 @@ def test_exact_dedup_keeps_colliding_digests_apart():
     n = np.array([0, 0, 0])
     got = exact_dedup.fold(ids, n, np.array([5, 4, 3]), np.array([1, 2, 3]), np.ones(3, np.int64))
     assert got[0].tolist() == sorted(set(ids.tolist())) and got[2].tolist() == [3, 4] and got[4].tolist() == [2, 1]
+
+
+def brute_trie(rows):
+    """Nodes by the contract's words, from (conv, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            said = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()[:32]
+            own[c].append((turn is not None, turn or 0, said, len(text), role, text))
+    own = {c: [x[4:] for x in sorted(v)] for c, v in own.items()}
+    members, ends = defaultdict(set), defaultdict(list)
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        path = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].add(c)
+        ends[path].append(c)
+    children = defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    out = []
+    for p, m in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        saved = sum((len(members[q]) - 1) * len(q[-1][1]) for q in below if q)
+        sha = hashlib.sha256(",".join(map(str, sorted(ends[p]))).encode()).hexdigest()
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), sum(not children[q] for q in below), saved, sha))
+    return sorted(out, key=lambda r: (r[1], r[0]))
+
+
+def test_conversation_trie(spark):
+    rng = random.Random(8)
+    rows = [(0, 0, "user", None), (0, None, None, "é"), (0, 0, "user", None), (3, 1, "a", "only"), (204, 1, "a", "x"), (None, 0, "user", "lost"), (301, 5, "user", "a:b"), (301, 5, "user:a", "b")]
+    for c in [*range(100, 160), *range(400, 420), 7, 12]:
+        for t in range(rng.randrange(1, 8)):
+            rows.append((c, t, rng.choice(["user", "assistant"]), rng.choice(["hi", "no", "sure thing"]) if t % 2 else "hello"))
+    rows += [(500, t, "user", f"turn {t}") for t in range(300)] + [(c, t, "user", "same") for c in range(600, 640) for t in range(7)]
+    rng.shuffle(rows)
+    want = brute_trie(rows)
+    assert any(not p[1] and p[3] for p in want) and max(p[1] for p in want) == 300
+    table = spark.createDataFrame([(*r, *ODD) for r in rows], f"conv_id long, turn long, role string, text string, {EXTRA}").repartition(4)
+    for kw in ({}, {"shard_rows": 9, "run_rows": 10}, {"shard_rows": 2, "run_rows": 3, "split_turns": 4}):
+        got = conversation_trie.trie(queries.shared_openings(conversation_trie.paths(table)), **kw).collect()
+        assert sorted((tuple(r) for r in got), key=lambda r: (r[1], r[0])) == want, kw
+    assert conversation_trie.trie(conversation_trie.paths(table.limit(0))).count() == 0
+
+
+@given(st.lists(st.lists(st.sampled_from([b"a" * 24, b"b" * 24, b"c" * 24]), max_size=6), max_size=40), st.integers(1, 7))
+@settings(max_examples=150, deadline=None)
+def test_loser_tree_merges_with_lcps(convs, k):
+    rows = [(b"".join(c), i) for i, c in enumerate(convs)]
+    runs = [conversation_trie.sorted_run(rows[i::k]) for i in range(k)]
+    got = list(conversation_trie.merged(runs))
+    assert [p for p, *_ in got] == sorted(p for r in runs for p in r.paths) and sum(n for *_, n, _ in got) == len(rows)
+    for (a, *_), (b, lcp, *_) in zip([(b"",)] + got, got):
+        assert lcp == conversation_trie.shared(a, b)
+
+
+def test_loser_tree_compares_shared_turns_once():
+    deep = b"x" * 24 * 1000
+    runs = [conversation_trie.sorted_run([(deep + bytes([j, i]) * 12, i) for i in range(20)]) for j in range(8)]
+    looked = []
+    compare = lambda a, b, at: looked.append((n := conversation_trie.shared(a, b, at)) - at + 1) or n
+    assert len(list(conversation_trie.merged(runs, compare))) == 160
+    assert sum(looked) < 8 * 1001 + 3000  # a plain merge looks at 160 x 3 x 1000 units

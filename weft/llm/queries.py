@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import ann, chat, decontaminate, exact_dedup, fm_index, line_dedup, packing, pii, simhash, suffix_buckets, toxicity
+from ..session import cut, table
+from . import ann, chat, conversation_trie, decontaminate, exact_dedup, fm_index, line_dedup, packing, pii, simhash, suffix_buckets, toxicity
 
 
 def tokenizer_path() -> str:
@@ -83,6 +83,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold_events(events)))
 
 
+def shared_openings(convs: DataFrame) -> DataFrame:
+    """The contract's rebuilding of (conv_id, path): the first h turns come from the conversation at the last multiple of 100."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    unit = conversation_trie.UNIT
+    heads = convs.where(F.col("conv_id") % 100 == 0).select(F.col("conv_id").alias("base"), F.substring("path", 1, 5 * unit).alias("head"))
+    c = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 100).withColumn("h", (h * unit).cast("int")).join(heads, "base", "left")
+    return c.select("conv_id", F.expr("concat(substring(coalesce(head, X''), 1, h), substring(path, h + 1))").alias("path"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = cut(conversation_trie.paths(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return conversation_trie.trie(shared_openings(convs))
+
+
 def op13_digest_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
@@ -93,7 +107,7 @@ QUERIES = {
     for f in (
         op1_ann_posting_lists, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_toxicity_cnn,
         op5_fm_index_substring_dedup, op6_suffix_array_dedup, op7_line_dedup, op8_sum_of_squares_packing, op9_information_theoretic_pii,
-        op10_chat_formatting, op13_digest_tree_dedup,
+        op10_chat_formatting, op12_conversation_trie, op13_digest_tree_dedup,
     )
 }
 
@@ -133,6 +147,35 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role |
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + {len(chat.START) + len(chat.END) + 2})::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op12_conversation_trie": r"""
+WITH RECURSIVE tab(i, k, v) AS (
+  SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM tab WHERE k < 8),
+crc(conv_id, p, v) AS (
+  SELECT DISTINCT conv_id, 1, 4294967295 FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT conv_id, p + 1, xor(crc.v // 256, tab.v) FROM crc JOIN tab ON tab.k = 8 AND tab.i = xor(crc.v % 256, ascii(substr(conv_id::VARCHAR, p, 1)))
+  WHERE p <= length(conv_id::VARCHAR)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(v, 4294967295) % 6 AS h FROM crc WHERE p = length(conv_id::VARCHAR) + 1),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+             md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS said, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, pos, said, chars FROM c JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1 AS part, pos, said, chars FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+mem AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY part, pos) AS path, chars FROM rebuilt
+  UNION ALL SELECT conv_id, 0 AS d, '' AS path, 0 AS chars FROM c),
+node AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars FROM mem GROUP BY d, path),
+kids AS (SELECT left(path, 32 * (d - 1)::INT) AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+up AS (SELECT d, path, unnest(range(0, d + 1)) AS a FROM node),
+sums AS (
+  SELECT left(up.path, 32 * up.a::INT) AS path, sum((node.n - 1) * node.chars) AS saved, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM up JOIN node ON up.path = node.path LEFT JOIN kids ON up.path = kids.path GROUP BY 1),
+last AS (SELECT conv_id, max(d) AS d FROM mem GROUP BY conv_id),
+ends AS (SELECT mem.path, string_agg(mem.conv_id::VARCHAR, ',' ORDER BY mem.conv_id) AS ids FROM mem JOIN last ON mem.conv_id = last.conv_id AND mem.d = last.d GROUP BY mem.path)
+SELECT node.conv_id, node.d AS depth, parent.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       sums.leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM node JOIN sums ON node.path = sums.path LEFT JOIN kids ON node.path = kids.path LEFT JOIN ends ON node.path = ends.path
+LEFT JOIN node AS parent ON node.d > 0 AND parent.path = left(node.path, 32 * (node.d - 1)::INT)""",
     "op13_digest_tree_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
