@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm import conversation_trie, exact_dedup, queries
+from weft.llm import alignment, conversation_trie, exact_dedup, queries
 
 EXTRA = "slot long, n int, ids string, row long, h string, __x int"
 ODD = (1, 2, "i", None, "h", 3)
@@ -46,8 +47,6 @@ def test_exact_dedup(spark):
 
 
 def test_exact_dedup_keeps_colliding_digests_apart():
-    import numpy as np
-
     ids = np.array([b"a" * 47 + b"1", b"a" * 47 + b"2", b"a" * 47 + b"1"], "S48")
     n = np.array([0, 0, 0])
     got = exact_dedup.fold(ids, n, np.array([5, 4, 3]), np.array([1, 2, 3]), np.ones(3, np.int64))
@@ -118,3 +117,81 @@ def test_loser_tree_compares_shared_turns_once():
     compare = lambda a, b, at: looked.append((n := conversation_trie.shared(a, b, at)) - at + 1) or n
     assert len(list(conversation_trie.merged(runs, compare))) == 160
     assert sum(looked) < 8 * 1001 + 3000  # a plain merge looks at 160 x 3 x 1000 units
+
+
+def brute_alignment(texts):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    level = alignment.byte_level()
+    docs, df = [], Counter()
+    for t in texts:
+        t = t or ""
+        ia, ib = a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)
+        ba = [bytes(level[c] for c in a.id_to_token(i)) for i in ia]
+        pb = [b.id_to_piece(i) for i in ib]
+        bb = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("\u2581", " ").encode() for p in pb]
+        if not t or b"".join(ba) != b" " + t.encode() or b"".join(bb) != b" " + t.encode():
+            docs.append(([], [], [], Counter()))
+            continue
+        groups, ga, gb, i, j, x, y = [], [], [], 0, 0, 0, 0
+        while i < len(ia) or j < len(ib):
+            if x <= y:
+                x += len(ba[i])
+                ga.append(ia[i])
+                i += 1
+            else:
+                y += len(bb[j])
+                gb.append(ib[j])
+                j += 1
+            if x == y:
+                groups.append((ga, gb))
+                ga, gb = [], []
+        links = Counter(p for ga, gb in groups for p in ((p, q) for p in ga for q in gb))
+        df.update(links.keys())
+        docs.append((ia, ib, groups, links))
+    top = defaultdict(int)
+    for (p, _), n in df.items():
+        top[p] = max(top[p], n)
+    out = []
+    for ia, ib, groups, links in docs:
+        said = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        sha = hashlib.sha256(said.encode()).hexdigest() if groups else ""
+        out.append((len(ia), len(ib), len(groups), sum(links.values()), sum(m for p, m in links.items() if df[p] == top[p[0]]), sum(m * df[p] for p, m in links.items()), sha))
+    return out
+
+
+def test_alignment(spark, monkeypatch):
+    rng = random.Random(2)
+    words = "alpha Beta épée ßtraße 日本語 <|endoftext|> <s> it's 12345 x \u2581 naïve\u00a0x \n\n \t don't 😀👍 zzzzqqqq".split(" ")
+    texts = [None, "", " ", "\x00a", "\u2581", "a" * 5000, " " * 12_000 + "x", "é" * 3000, "日本" * 2000, "x y" * 2000, "plain text", "plain text"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    want = [(i, *r) for i, r in enumerate(brute_alignment(texts))]
+    assert any(r[1] == 0 and texts[r[0]] for r in want)
+    docs = spark.createDataFrame([(i, t, *ODD) for i, t in enumerate(texts)], f"doc_id long, text string, {EXTRA}").repartition(3)
+    paths = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
+    for kw in ({}, {"buckets": 3, "block_chars": 3000, "salt_postings": 200}):
+        got = sorted(tuple(r) for r in alignment.align(docs, *paths, **kw).drop("row").collect())
+        assert got == want, kw
+    assert alignment.align(docs.limit(0), *paths).count() == 0
+
+
+def test_alignment_of_texts_with_very_many_links(monkeypatch):
+    paths = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
+    aligner = alignment.Aligner(alignment.SideA(open(paths[0], "rb").read()), alignment.SideB(open(paths[1], "rb").read()))
+    texts = ["日本語" * 40 + " plain words here", "abcabc" * 50, "short", "é" * 99]
+    k = aligner.block(*aligner.tokens(texts))
+
+    def all_of():
+        keys, links = (np.concatenate(x) for x in zip(*aligner.postings(k, 4)))
+        assert len(set(keys.tolist())) == len(keys)
+        return dict(zip(keys.tolist(), links.tolist()))
+
+    want = all_of()
+    for most in (5, 40, 400):
+        monkeypatch.setattr(alignment, "_LINKS", most)
+        assert all_of() == want
+    assert sum(want.values()) == int((k.n_a * k.n_b).sum())

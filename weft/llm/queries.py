@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import ann, chat, conversation_trie, decontaminate, exact_dedup, fm_index, line_dedup, packing, pii, simhash, suffix_buckets, toxicity
+from . import alignment, ann, chat, conversation_trie, decontaminate, exact_dedup, fm_index, line_dedup, packing, pii, simhash, suffix_buckets, toxicity
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary lies on the driver; the operator takes any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold_events(events)))
 
 
+def op11_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("row")
+
+
 def shared_openings(convs: DataFrame) -> DataFrame:
     """The contract's rebuilding of (conv_id, path): the first h turns come from the conversation at the last multiple of 100."""
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
@@ -107,7 +112,7 @@ QUERIES = {
     for f in (
         op1_ann_posting_lists, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_toxicity_cnn,
         op5_fm_index_substring_dedup, op6_suffix_array_dedup, op7_line_dedup, op8_sum_of_squares_packing, op9_information_theoretic_pii,
-        op10_chat_formatting, op12_conversation_trie, op13_digest_tree_dedup,
+        op10_chat_formatting, op11_postings_cogroup, op12_conversation_trie, op13_digest_tree_dedup,
     )
 }
 
