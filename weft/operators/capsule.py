@@ -107,9 +107,9 @@ def readiness_scores(checks: DataFrame) -> DataFrame:
 
 #: Manifest, runtime, command, whether the command needs a network. Fixed values.
 SANDBOX = [
-    ("package.json", "node", "npm test", True), ("composer.json", "php", "composer test", True), ("pom.xml", "java", "mvn test", True), ("build.gradle", "java", "gradle test", True),
-    ("Cargo.toml", "rust", "cargo test", True), ("go.mod", "go", "go test ./...", True), ("requirements.txt", "python", "pytest", True), ("pyproject.toml", "python", "pytest", True),
-    ("Gemfile", "ruby", "bundle exec rake test", True), ("mix.exs", "elixir", "mix test", True),
+    ("pom.xml", "Java/Maven", "mvn -o -DskipTests package", False), ("build.gradle", "Java/Gradle", "gradle --offline build -x test", False), ("build.gradle.kts", "Java/Gradle", "gradle --offline build -x test", False),
+    ("package.json", "Node.js", "npm test --if-present && npm run build --if-present", True), ("Cargo.toml", "Rust", "cargo check --locked --offline", False),
+    ("composer.json", "PHP/Composer", "composer validate --no-check-publish", False), ("requirements.txt", "Python", "python -m compileall .", False), ("pyproject.toml", "Python", "python -m compileall .", False),
 ]
 
 

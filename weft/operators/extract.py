@@ -2,8 +2,8 @@
 
 Files are unit, rel_path, name, ext, language, text. Rules are literals in
 pattern lists; matching is Spark's regular expressions, so nothing leaves the JVM
-but two small helpers: comment masking and nested route scopes, both per file in
-Arrow batches without a shuffle.
+but two small helpers: comment masking and route scopes that keywords open, both per file in
+Arrow batches without a shuffle. Arguments of calls are found by matched brackets (structure.py).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a64
-from . import scoring, text
+from . import route_groups, scoring, structure, text
 
 # ---------------------------------------------------------------- comments
 
@@ -162,11 +162,9 @@ def import_edges(files: DataFrame, found: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- HTTP calls
 
-_LITERAL = r"""[`'"]([^`'"]*)[`'"]"""
-#: A call's first argument: literals, other characters and brackets up to two deep, no further than 60 pieces.
-_ARGUMENT = r"""((?:"[^"\n]*"|'[^'\n]*'|`[^`]*`|[^(),"'`{}\[\]]++|[({\[](?:"[^"\n]*"|'[^'\n]*'|`[^`]*`|[^(){}\[\]"'`]++|[({\[][^(){}\[\]]*+[)}\]]){0,60}+[)}\]]){0,60}+)"""
-_VERB = rf"""\b((?:this\.)?#?[\w$]+)\.(get|post|put|patch|delete)\s*(?:<[^>(]*>)?\(\s*{_ARGUMENT}"""
-_FETCH = rf"\bfetch\s*\(\s*{_ARGUMENT}[^;]{{0,320}}"
+#: A call of a client's verb, up to its bracket, and one of fetch.
+_VERB = r"\b(?:this\.)?#?[\w$]+\.(?:get|post|put|patch|delete)\s*(?:<[^>(]*>)?\("
+_FETCH = r"\bfetch\s*\("
 #: What in a file names a client: a parameter or field of Angular's type, its injection, an instance of axios.
 _CLIENTS = r"([\w$]+)\s*[:?]{1,2}\s*HttpClient\b|([\w$]+)\s*=\s*(?:inject\(\s*HttpClient\s*\)|axios\.create\()"
 
@@ -184,12 +182,14 @@ def http_calls(files: DataFrame) -> DataFrame:
     src = files.where(F.col("ext").isin("ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "svelte", "astro") & F.col("masked").isNotNull())
     named = F.transform(F.regexp_extract_all("masked", F.lit(_CLIENTS), F.lit(0)), lambda x: F.regexp_extract(x, r"^([\w$]+)", 1))
     clients = F.concat(F.array(*map(F.lit, ("axios", "http", "httpClient"))), named)
-    a = src.select("unit", F.col("rel_path").alias("file"), clients.alias("clients"), F.explode(F.regexp_extract_all("masked", F.lit(_VERB), F.lit(0))).alias("m"))
-    a = a.where(F.array_contains("clients", F.regexp_replace(F.regexp_extract("m", _VERB, 1), r"^(this\.)?#?", "")))
-    a = a.select("unit", "file", F.upper(F.regexp_extract("m", _VERB, 2)).alias("method"), called_url(F.regexp_extract("m", _VERB, 3)).alias("url"))
-    b = src.select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(_FETCH), F.lit(0))).alias("m"))
-    said = F.upper(F.regexp_extract("m", r"""method\s*:\s*['"`](\w+)['"`]""", 1))
-    b = b.select("unit", "file", F.when(said != "", said).otherwise("GET").alias("method"), called_url(F.regexp_extract("m", _FETCH, 1)).alias("url"))
+    found = structure.calls(src.select("unit", "rel_path", "masked"), ["unit", "rel_path"], "masked", f"{_VERB}|{_FETCH}")
+    found = found.join(src.select("unit", "rel_path", clients.alias("clients")), ["unit", "rel_path"]).withColumn("file", F.col("rel_path"))
+    is_fetch = F.col("token").rlike(rf"^{_FETCH}$")
+    named_verb = r"^(?:this\.)?#?([\w$]+)\.(\w+)"
+    a = found.where(~is_fetch & F.array_contains("clients", F.regexp_extract("token", named_verb, 1)))
+    a = a.select("unit", "file", F.upper(F.regexp_extract("token", named_verb, 2)).alias("method"), called_url(F.col("first")).alias("url"))
+    said = F.upper(F.regexp_extract("argument", r"""method\s*:\s*['"`](\w+)['"`]""", 1))  # anywhere in the call's own brackets
+    b = found.where(is_fetch).select("unit", "file", F.when(said != "", said).otherwise("GET").alias("method"), called_url(F.col("first")).alias("url"))
     both = a.unionByName(b)
     origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     known = F.coalesce(F.col("url").rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*://)"), F.lit(False))
@@ -285,6 +285,8 @@ class Route:
     inside: tuple[str, str] | None = None
 
 
+#: The prefix of a file's first blueprint that has one.
+_BLUEPRINT = rf"\bBlueprint\([^)]*?\burl_prefix\s*[=:]\s*{_Q}"
 RECEIVERS = ("app", "router", "server", "api")
 
 
@@ -298,15 +300,15 @@ ROUTES: list[Route] = [
     Route("Fastify", r"\.(js|ts|mjs|cjs)$", r"\.route\(\s*\{[^}]*\}", 1, 1, 95, inside=(r"""\bmethod\s*:\s*(\[[^\]]*\]|['"`]\w+['"`])""", rf"\b(?:url|path)\s*:\s*{_Q}")),
     Route("Hono", r"\.(js|ts|tsx|mjs)$", rf"\.(get|post|put|patch|delete|options|all)\(\s*{_Q}", 1, 2, 96, prefix=rf"\.basePath\(\s*{_Q}"),
     Route("FastAPI", r"\.py$", rf"@\w+\.(get|post|put|patch|delete|options|head)\(\s*{_Q}", 1, 2, 98),
-    Route("Flask", r"\.py$", rf"@\w+\.(get|post|put|patch|delete)\(\s*{_Q}", 1, 2, 98),
-    Route("Flask", r"\.py$", rf"@\w+\.route\(\s*{_Q}(?:[^)]*?\bmethods\s*=\s*[\[({{]([^\])}}]*))?", 2, 1, 94),
+    Route("Flask", r"\.py$", rf"@\w+\.(get|post|put|patch|delete)\(\s*{_Q}", 1, 2, 98, prefix=_BLUEPRINT),
+    Route("Flask", r"\.py$", rf"@\w+\.route\(\s*{_Q}(?:[^)]*?\bmethods\s*=\s*[\[({{]([^\])}}]*))?", 2, 1, 94, prefix=_BLUEPRINT),
     Route("ASP.NET", r"\.cs$", rf"\.Map(Get|Post|Put|Patch|Delete)\(\s*{_Q}", 1, 2, 96),
     Route("ASP.NET", r"\.cs$", rf"\[Http(Get|Post|Put|Patch|Delete)(?:\(\s*{_Q}\s*\))?\]", 1, 2, 98, prefix=rf"\[Route\(\s*{_Q}"),
     Route("Blazor", r"\.razor$", rf"@page\s+{_Q}", "ROUTE", 1, 99),
     Route("Symfony", r"\.php$", rf"#\[Route\(\s*(?:path\s*:\s*)?{_Q}(?:[^\]]*?\bmethods\s*:\s*(\[[^\]]*\]|['\"]\w+['\"]))?", 2, 1, 98),
     Route("Rails", r"(^|/)config/routes\.rb$", rf"(?m)^\s*(get|post|put|patch|delete)\s+{_Q}", 1, 2, 92),
     Route("Go web", r"\.go$", rf"\.HandleFunc\(\s*{_Q}", "ANY", 1, 90), Route("Go web", r"\.go$", rf"\.(GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete)\(\s*{_Q}", 1, 2, 90),
-    Route("Rust web", r"\.rs$", rf"#\[(get|post|put|patch|delete)\(\s*{_Q}", 1, 2, 96), Route("Rust web", r"\.rs$", rf"\.route\(\s*{_Q}\s*,\s*(?:\w+::)*(get|post|put|patch|delete|any)\(", 2, 1, 90),
+    Route("Rust web", r"\.rs$", rf"#\[(get|post|put|patch|delete)\(\s*{_Q}", 1, 2, 96),
     Route("Quarkus", r"\.(java|kt)$", rf"@(GET|POST|PUT|PATCH|DELETE)\s+(?:@(?!Path)\w+(?:\([^)]*\))?\s+)*@Path\(\s*{_Q}\s*\)", 1, 2, 96, prefix=rf"@Path\(\s*{_Q}"),
     Route("Quarkus", r"\.(java|kt)$", r"@(GET|POST|PUT|PATCH|DELETE)()\s+(?!@Path)(?:@\w+(?:\([^)]*\))?\s+)*(?=public|fun|[A-Z])", 1, 2, 96, prefix=rf"@Path\(\s*{_Q}"),
     Route("Micronaut", r"\.(java|kt)$", rf"@(Get|Post|Put|Patch|Delete)(?:\(\s*{_Q}\s*\))?", 1, 2, 96, prefix=rf"@Controller\(\s*{_Q}"),
@@ -329,13 +331,9 @@ def _methods(said: Column, default: str) -> Column:
     return F.when(F.size(verbs) > 0, verbs).otherwise(F.array(F.lit(default)))
 
 
-#: An annotation's arguments, with brackets one deep.
-_ARGS = r"""\(((?:"[^"\n]*"|[^()"]++|\((?:"[^"\n]*"|[^()"]++){0,40}+\)){0,60}+)\)"""
-
-
 def _annotated(args: Column) -> Column:
     """The paths among an annotation's arguments: all literals that belong to no other name than path or value."""
-    own = F.regexp_replace(args, r"""\b(?!path\b|value\b)\w+\s*=\s*(?:\{[^}]*\}|"[^"]*")""", " ")
+    own = F.regexp_replace(args, r"""(?s)\b(?!(?:path|value)\b)\w+\s*=\s*(?:"(?:\\.|[^"\\\n])*+"|[^"=])*?(?=,\s*\w+\s*=|\z)""", " ")
     found = F.regexp_extract_all(own, F.lit(r'"([^"\n]*)"'), F.lit(1))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
 
@@ -344,38 +342,22 @@ def spring_routes(files: DataFrame) -> DataFrame:
     """Each base path of the class with each path and method of its methods. A @RequestMapping of a method counts if it names methods."""
     src = files.where(F.col("rel_path").rlike(r"\.(java|kt)$") & F.col("masked").rlike("@[A-Za-z]*Mapping"))
     # annotations before the first type are the class's own
-    head = F.regexp_extract("masked", r"(?s)^(.*?)\b(?:class|interface|object)\s", 1)
-    base = F.regexp_extract(head, rf"(?s)@RequestMapping\s*{_ARGS}", 1)
-    body = F.expr("substring(masked, length(head) + 1)")
-    src = src.withColumn("head", head).select("unit", F.col("rel_path").alias("file"), _annotated(base).alias("bases"), body.alias("body"))
-    verb = rf"@(Get|Post|Put|Patch|Delete)Mapping\b(?:\s*{_ARGS})?"
-    a = src.select("unit", "file", "bases", F.explode(F.regexp_extract_all("body", F.lit(verb), F.lit(0))).alias("m"))
-    a = a.select("unit", "file", "bases", F.array(F.upper(F.regexp_extract("m", verb, 1))).alias("methods"), _annotated(F.regexp_extract("m", verb, 2)).alias("paths"))
-    mapped = rf"@RequestMapping\s*{_ARGS}"
-    b = src.select("unit", "file", "bases", F.explode(F.regexp_extract_all("body", F.lit(mapped), F.lit(1))).alias("m"))
-    b = b.select("unit", "file", "bases", F.regexp_extract_all("m", F.lit(r"\b(?:RequestMethod\.)(\w+)"), F.lit(1)).alias("methods"), _annotated(F.col("m")).alias("paths")).where(F.size("methods") > 0)
+    head = F.char_length(F.regexp_extract("masked", r"(?s)^(.*?)\b(?:class|interface|object)\s", 1))
+    found = structure.calls(src, ["unit", "rel_path"], "masked", r"@(?:Get|Post|Put|Patch|Delete|Request)Mapping\s*\(")
+    heads = src.select("unit", "rel_path", head.alias("head"), "masked")
+    found = found.join(heads.drop("masked"), ["unit", "rel_path"]).withColumn("verb", F.regexp_extract("token", r"^@(\w+)Mapping", 1))
+    base = found.where("start < head AND verb = 'Request'").groupBy("unit", "rel_path").agg(F.min_by(_annotated(F.col("argument")), "start").alias("bases"))
+    # an annotation without brackets has one empty path
+    bare = heads.select("unit", "rel_path", F.explode(F.regexp_extract_all(F.expr("substring(masked, head + 1)"), F.lit(r"@(Get|Post|Put|Patch|Delete)Mapping\b(?!\s*\()"), F.lit(1))).alias("verb"), F.lit("").alias("argument"))
+    own = found.where("start >= head").select("unit", "rel_path", "verb", "argument").unionByName(bare).join(base, ["unit", "rel_path"], "left")
+    own = own.withColumn("bases", F.coalesce("bases", F.array(F.lit("")))).withColumn("file", F.col("rel_path"))
+    named = F.regexp_extract_all("argument", F.lit(r"\b(?:RequestMethod\.)(\w+)"), F.lit(1))
+    a = own.where("verb <> 'Request'").select("unit", "file", "bases", F.array(F.upper("verb")).alias("methods"), _annotated(F.col("argument")).alias("paths"))
+    b = own.where("verb = 'Request'").select("unit", "file", "bases", named.alias("methods"), _annotated(F.col("argument")).alias("paths")).where(F.size("methods") > 0)
     rows = a.unionByName(b).select("unit", "file", "bases", F.explode("methods").alias("method"), "paths").select("unit", "file", "bases", "method", F.explode("paths").alias("p")).select("unit", "file", F.explode("bases").alias("base"), "method", "p")
     return rows.select(F.lit("Spring Boot").alias("framework"), "unit", "file", "method", route_path(F.col("base"), F.col("p")).alias("path"), F.lit(95).alias("confidence"))
 
 
-def nested_routes(files: DataFrame, depth: int = 4) -> DataFrame:
-    """Axum: routes of a function under the prefixes at which the same file nests its router, up to depth nestings."""
-    src = files.where((F.col("ext") == "rs") & F.col("masked").contains(".nest("))
-    each = src.select("unit", F.col("rel_path").alias("file"), F.explode(F.regexp_extract_all("masked", F.lit(r"(?s)\bfn\s+\w+(?:(?!\bfn\s).)*+"), F.lit(0))).alias("f"))
-    each = each.select("unit", "file", F.regexp_extract("f", r"^fn\s+(\w+)", 1).alias("fn"), "f")
-    nest = rf"\.nest\(\s*{_Q}\s*,\s*(?:\w+::)*(\w+)\("
-    nests = each.select("unit", "file", F.col("fn").alias("outer"), F.explode(F.regexp_extract_all("f", F.lit(nest), F.lit(0))).alias("m"))
-    nests = nests.select("unit", "file", "outer", F.regexp_extract("m", nest, 1).alias("prefix"), F.regexp_extract("m", nest, 2).alias("fn"))
-    route = rf"\.route\(\s*{_Q}\s*,\s*(?:\w+::)*(get|post|put|patch|delete|any)\("
-    rows = each.select("unit", "file", "fn", F.explode(F.regexp_extract_all("f", F.lit(route), F.lit(0))).alias("m"))
-    rows = rows.select("unit", "file", "fn", F.upper(F.regexp_extract("m", route, 2)).alias("method"), F.regexp_extract("m", route, 1).alias("path"))
-    out = None
-    for _ in range(depth):
-        rows = rows.join(nests, ["unit", "file", "fn"]).select("unit", "file", F.col("outer").alias("fn"), "method", F.concat_ws("/", "prefix", "path").alias("path"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select(F.lit("Rust web").alias("framework"), "unit", "file", "method", route_path(F.lit(""), F.col("path")).alias("path"), F.lit(90).alias("confidence"))
-
-
 def _rule(r: Route) -> Column:
     """What a rule finds in a file: array<struct<framework, method, path, confidence>>."""
     on = F.col("rel_path").rlike(r.files)
@@ -467,7 +449,6 @@ class Scopes:
 SCOPED = [
     Scopes("Ktor", r"\.kt$", r"""\broute\(\s*"(?P<prefix>[^"]*)"\s*\)\s*\{|\b(?P<method>get|post|put|patch|delete)\s*(?:\(\s*"(?P<path>[^"]*)"\s*\))?\s*\{|(?P<open>\{)|(?P<close>\})"""),
     Scopes("Phoenix", r"router\.ex$", r"""\bscope\s+(?:path:\s*)?"(?P<prefix>[^"]*)"[^\n]*?\bdo\b|^\s*(?P<method>get|post|put|patch|delete|live)\s+"(?P<path>[^"]*)"|^\s*resources\s+"(?P<resource>[^"]*)"(?:[^\n]*\bdo\b(?P<rdo>))?|(?P<open>\b(?:do|fn)\b(?!:))|(?P<close>\bend\b)"""),
-    Scopes("Laravel", r"(^|/)routes/[^/]+\.php$", r"""Route::(?:(?!;|group\().)*?prefix\(\s*['"](?P<prefix>[^'"]*)['"](?:(?!;).)*?group\(\s*(?:static\s+)?function[^{]*\{|(?:Route::|->)(?P<method>get|post|put|patch|delete|any|options)\(\s*['"](?P<path>[^'"]*)['"]|(?:Route::|->)(?:api)?[rR]esource\(\s*['"](?P<resource>[^'"]*)['"]|(?P<open>\{)|(?P<close>\})"""),
 ]
 
 
@@ -493,19 +474,8 @@ def scoped_routes(files: DataFrame) -> DataFrame:
                             if s.framework == "Ktor":
                                 stack.append("")
                         elif g.get("resource") is not None:
-                            members = [(v, t) for v, t in REST if s.framework != "Laravel" or "api" not in m[0].lower() or t not in ("/new", "/{s}/edit")]
-                            only = re.match(r"[^;]*->only\(\s*\[([^\]]*)\]", code[m.end() :]) if s.framework == "Laravel" else None
-                            skip = re.match(r"[^;]*->except\(\s*\[([^\]]*)\]", code[m.end() :]) if s.framework == "Laravel" else None
-                            names = dict(zip(REST, ("index", "store", "create", "show", "update", "destroy", "edit")))
-                            path, last = "", ""
-                            for part in g["resource"].strip("/").split("."):
-                                path += f"/{{{last}}}/{part}" if last else f"/{part}"
-                                last = part.rstrip("s") if part.endswith("s") else part
-                            for v, t in members:
-                                if (only and names[v, t] not in only[1]) or (skip and names[v, t] in skip[1]):
-                                    continue
-                                tail = t.replace("/new", "/create").replace("{s}", f"{{{last}}}") if s.framework == "Laravel" else t.replace("{s}", "{id}")
-                                rows.append((s.framework, unit, file, v, f"{here}/{path}{tail}", 85))
+                            for v, t in REST:
+                                rows.append((s.framework, unit, file, v, f"{here}/{g['resource'].strip('/')}{t.replace('{s}', '{id}')}", 85))
                             if g.get("rdo") is not None:
                                 stack.append("")
                         elif g["open"] is not None:
@@ -537,7 +507,8 @@ def django_routes(files: DataFrame) -> DataFrame:
 
 def entrypoints(files: DataFrame, found: DataFrame) -> DataFrame:
     """unit, id, name, kind, framework, file, confidence of frameworks that are actionable in their unit."""
-    rows = pattern_routes(files).unionByName(file_routes(files)).unionByName(scoped_routes(files)).unionByName(django_routes(files)).unionByName(spring_routes(files)).unionByName(nested_routes(files))
+    rows = pattern_routes(files).unionByName(file_routes(files)).unionByName(scoped_routes(files)).unionByName(django_routes(files)).unionByName(spring_routes(files))
+    rows = rows.unionByName(route_groups.group_routes(files).select(*rows.columns)).unionByName(route_groups.router_routes(files))
     live = found.where("actionable").select("unit", F.col("name").alias("framework"))
     rows = rows.join(live, ["unit", "framework"], "left_semi")
     rows = rows.groupBy("unit", "framework", "file", "method", "path").agg(F.max("confidence").alias("confidence"))

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from . import scoring
 from .graph import keep_first
 
-#: Database, pattern in lower-case text. Bare words count, as markers in configuration often are.
+#: Database, markers in lower-case text. Fixed values.
 DATABASES = [
-    ("PostgreSQL", r"jdbc:postgresql|postgres(ql)?://|psycopg|npgsql"), ("MySQL", r"jdbc:mysql|mysql://|mysql2|pymysql"), ("MariaDB", r"jdbc:mariadb|mariadb://"), ("SQL Server", r"jdbc:sqlserver|mssql|sqlserver://"),
-    ("Oracle", r"jdbc:oracle|oracledb"), ("SQLite", r"jdbc:sqlite|sqlite:|sqlite3"), ("MongoDB", r"mongodb"), ("Redis", r"redis"),
+    ("PostgreSQL", ("org.postgresql", "jdbc:postgresql://", "postgres://", "postgresql://", "image: postgres")), ("MySQL", ("com.mysql", "jdbc:mysql://", "mysql://", "image: mysql")),
+    ("MariaDB", ("org.mariadb", "jdbc:mariadb://", "mariadb://", "image: mariadb")), ("SQL Server", ("mssql-jdbc", "jdbc:sqlserver://", "sqlserver://", "image: mssql")),
+    ("Oracle", ("ojdbc", "jdbc:oracle:", "oracle://", "image: oracle")), ("SQLite", ("sqlite-jdbc", "jdbc:sqlite:", "sqlite://", "image: sqlite")),
+    ("MongoDB", ("mongodb://", "mongodb+srv://", "mongodb")), ("Redis", ("redis://", "redis", "image: redis")),
 ]
+#: Files that configure: what their lower-case names hold, their whole name, or their ending. Fixed values.
+CONFIGURES = r"pom|gradle|package|application|docker|^\.env$|\.(?:yml|yaml|properties|json|toml)$"
 #: Tool, category, pattern of the file's name, executable, confidence. Of tools of one line, the first wins.
 BUILD_TOOLS = [
     ("Maven", "jvm", r"^pom\.xml$", "mvn", 100), ("Gradle", "jvm", r"^build\.gradle(\.kts)?$", "gradle", 100), ("npm", "node", r"^package-lock\.json$", "npm", 100), ("pnpm", "node", r"^pnpm-lock\.yaml$", "pnpm", 100),
@@ -27,13 +31,23 @@ def languages(files: DataFrame) -> DataFrame:
     return files.where("language <> 'Unknown'").groupBy("unit", F.col("language").alias("name")).agg(F.count(F.lit(1)).alias("files")).select("unit", F.lit("Language").alias("category"), "name", F.lit(100).alias("confidence"), F.lit("DIRECT").alias("detection_kind"))
 
 
+def database_names(text: Column) -> Column:
+    """The databases that a lower-case text names by any of their markers."""
+    any_of = lambda markers: F.exists(F.array(*map(F.lit, markers)), lambda m: text.contains(m))
+    return F.array_compact(F.array(*[F.when(any_of(markers), F.lit(n)) for n, markers in DATABASES]))
+
+
+def reads_as_sql(text: Column) -> Column:
+    """Whether a lower-case text holds a query."""
+    return text.contains("@query(nativequery = true)") | (text.contains("select ") & text.contains(" from "))
+
+
 def databases(files: DataFrame) -> DataFrame:
-    """65 and 12 for each of up to three files with a marker; SQL itself from .sql files or select ... from."""
+    """65 and 12 for each of up to three files that configure and hold a marker; SQL itself from .sql files or from a query in any file."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    hits = [F.when(low.rlike(p), F.lit(n)) for n, p in DATABASES]
-    found = files.select("unit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("name")).groupBy("unit", "name").agg(F.count(F.lit(1)).alias("n"))
+    found = files.where(F.lower("name").rlike(CONFIGURES)).select("unit", F.explode(database_names(low)).alias("name")).groupBy("unit", "name").agg(F.count(F.lit(1)).alias("n"))
     out = found.select("unit", F.lit("Database").alias("category"), "name", scoring.database_confidence(F.col("n")).alias("confidence"), F.lit("DIRECT").alias("detection_kind"))
-    sql = files.where((F.col("ext") == "sql") | low.rlike(r"\bselect\b[\s\S]{1,400}?\bfrom\b")).select("unit").distinct()
+    sql = files.where((F.col("ext") == "sql") | reads_as_sql(low)).select("unit").distinct()
     return out.unionByName(sql.select("unit", F.lit("Query Language").alias("category"), F.lit("SQL").alias("name"), F.lit(90).alias("confidence"), F.lit("DIRECT").alias("detection_kind")))
 
 

@@ -1,4 +1,4 @@
 """Query plans over whole tables; importing this registers them."""
 
-from . import graph_queries, link_queries, record_queries, resolve_queries, sample_queries  # noqa: F401
+from . import graph_queries, link_queries, record_queries, resolve_queries, structure_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -76,7 +76,7 @@ def scan(files: DataFrame, registry: Registry | None = None, units: DataFrame |
         c = analyze(placed).withColumn("seq", F.lit(seq))
         parts = c if parts is None else parts.unionByName(c)
     comps = merge.overlay(parts, ["unit", "id"], "seq").drop("seq")
-    fallback = merge.fallback_files(placed.where("is_text"), comps).where(~F.col("too_large") & (F.col("language") != "Unknown"))
+    fallback = merge.fallback_files(placed.where("is_text"), comps).where(~F.col("too_large"))
     rest = fallback.select("unit", F.concat(F.lit("file:"), F.col("rel_path")).alias("id"), "name", F.lit("file").alias("kind"), "language", F.col("rel_path").alias("file"), F.lit(0).alias("line_no"))
     comps = cut(semantics.classified(comps.unionByName(rest), placed, found))
     in_laravel = found.where("actionable AND name = 'Laravel'").select("unit")

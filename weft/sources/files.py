@@ -18,17 +18,17 @@ EXCLUDED_DIRS = (
 
 #: Endings to languages. Fixed values.
 LANGUAGES = {
-    "java": "Java", "kt": "Kotlin", "kts": "Kotlin", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "php": "PHP", "py": "Python",
-    "rb": "Ruby", "rs": "Rust", "go": "Go", "cs": "C#", "ex": "Elixir", "exs": "Elixir", "vue": "Vue", "svelte": "Svelte", "astro": "Astro", "razor": "Razor",
-    "c": "C", "h": "C", "cpp": "C++", "hpp": "C++", "scala": "Scala", "swift": "Swift", "dart": "Dart", "sh": "Shell", "ps1": "Shell", "sql": "SQL",
-    "html": "HTML", "css": "CSS", "scss": "SCSS", "json": "JSON", "yml": "YAML", "yaml": "YAML", "xml": "XML", "md": "Markdown", "toml": "TOML",
+    "java": "Java", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "py": "Python", "rs": "Rust", "go": "Go", "cs": "C#", "fs": "F#", "fsx": "F#",
+    "php": "PHP", "kt": "Kotlin", "kts": "Kotlin", "rb": "Ruby", "dart": "Dart", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "swift": "Swift", "scala": "Scala",
+    "sh": "Shell", "bash": "Shell", "zsh": "Shell", "ps1": "Shell", "sql": "SQL", "html": "HTML", "htm": "HTML", "xml": "XML", "css": "CSS", "scss": "SCSS", "graphql": "GraphQL", "gql": "GraphQL",
+    "vue": "Vue", "svelte": "Svelte", "astro": "Astro", "razor": "Razor", "ex": "Elixir", "exs": "Elixir",
 }
 
 MAX_SOURCE_BYTES = 2 << 20
-#: Files that make their folder a unit.
+#: Files that make their folder a unit. Fixed values.
 MANIFESTS = (
-    "package.json", "composer.json", "pom.xml", "build.gradle", "build.gradle.kts", "Cargo.toml", "go.mod", "pyproject.toml", "requirements.txt", "setup.py",
-    "Pipfile", "Gemfile", "mix.exs", "manage.py", "artisan", "angular.json", "pubspec.yaml",
+    "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "package.json", "angular.json", "nx.json", "pnpm-workspace.yaml", "Cargo.toml", "pyproject.toml",
+    "requirements.txt", "Pipfile", "go.mod", "composer.json", "Gemfile", "pubspec.yaml", "CMakeLists.txt", "mix.exs",
 )
 
 
