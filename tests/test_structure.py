@@ -141,3 +141,55 @@ def test_http_calls_and_annotations_of_any_length(spark):
     files = masked(spark, [("a.ts", ts), ("C.java", java)])
     assert {(r["method"], r["path"]) for r in extract.http_calls(files).collect()} == {("POST", "/api/items"), ("GET", "/a"), ("DELETE", "/b/${f(x, (y))}")} or pytest.fail(str(extract.http_calls(files).collect()))
     assert {(r["method"], r["path"]) for r in extract.spring_routes(files).collect()} == {("GET", "/one/x"), ("GET", "/two/x"), ("POST", "/one"), ("POST", "/two")}
+
+
+PHP = r"""<?php
+namespace App;
+// function no(Type $x)
+# also no
+class Mailer extends Base {
+    use Sends;
+    public function __construct(private readonly ?Transport $t, protected Log|File $log = new Log(1, 2), array $opts = ['a' => fn (Inner $i) => $i], string ...$rest) {}
+    private static function sendAll(\App\Queue $q, int $n = self::MAX, $loose = null): void {
+        $this->t->push("it's (not) a call->x()", $q); Log::write('y'); $q?->next()->go();
+        $text = <<<EOT
+            function hidden(Nope $x) { $this->nope(); }
+            EOT;
+        array_map(function (Row $row) use ($q) { return $row; }, []);
+    }
+}
+function helper(&$ref, Foo&Bar $both) { /* ( */ return strlen($ref); }
+"""
+
+
+def test_php_tokens_and_structure(spark):
+    from weft.operators import php
+
+    df = spark.createDataFrame([(1, PHP), (2, None), (3, ""), (4, "function f(" + ", ".join(f"T{i} $v{i}" for i in range(300)) + ") {} g('" + "x" * 50_000)], "id long, t string").repartition(2)
+    found = php.tokens(df, ["id"], "t").cache()
+    kinds = {(r["kind"], r["value"][:8]) for r in found.where("id = 1").collect()}
+    assert ("heredoc", "<<<EOT\n ") in kinds and ("comment", "// funct") in kinds and ("symbol", "?->") in kinds and ("name", "\\App\\Que") in kinds
+    got = [(r["function"], r["ord"], r["type"], r["variable"]) for r in php.parameters(found, ["id"]).where("id = 1").orderBy("pos", "ord").collect()]
+    assert got == [
+        ("__construct", 0, "Transport", "$t"), ("__construct", 1, "Log|File", "$log"), ("__construct", 2, "array", "$opts"), ("__construct", 3, "string", "$rest"),
+        ("sendAll", 0, "\\App\\Queue", "$q"), ("sendAll", 1, "int", "$n"), ("sendAll", 2, None, "$loose"), ("helper", 0, None, "$ref"), ("helper", 1, "Foo|Bar", "$both"),
+    ]
+    calls = {(r["receiver"], r["operator"], r["name"]) for r in php.calls(found, ["id"]).collect()}
+    assert calls == {("t", "->", "push"), ("Log", "::", "write"), ("$q", "?->", "next"), (None, "->", "go")}
+    assert {(r["function"], r["type"]) for r in php.injected(found.where("id = 1"), ["id"]).collect()} >= {("__construct", "Transport"), ("sendAll", "\\App\\Queue")}
+    assert php.parameters(found, ["id"]).where("id = 4").count() == 300
+
+
+def test_ordered_digest(spark):
+    from weft.operators.merkle import merkle
+
+    rows = [(i // 3, f"v{i}" if i % 7 else None, i) for i in range(2000)]
+    digest = lambda r, parts, fan=16: merkle(spark.createDataFrame(r, "k int, v string, i int").repartition(parts), ["k", "i"], ["k", "v"], fan).first()
+    one = digest(rows, 1)
+    assert one == digest(rows[::-1], 7) and one["n_rows"] == 2000
+    swapped = rows.copy()
+    swapped[10], swapped[500] = (*rows[10][:1], rows[500][1], rows[10][2]), (*rows[500][:1], rows[10][1], rows[500][2])
+    assert digest(swapped, 3)["digest"] != one["digest"] and digest(rows[:-1], 3)["digest"] != one["digest"]
+    assert digest(rows[:1], 2)["n_rows"] == 1
+    empty = merkle(spark.createDataFrame([], "k int, v string"), ["k"], ["v"]).first()
+    assert empty["n_rows"] == 0

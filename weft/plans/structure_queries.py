@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import structure
+from ..operators import compose, merkle, php, structure
 from ..session import cut, table
 from .registry import query
 
@@ -71,3 +71,50 @@ def call_arguments(spark, d):
     """Arguments of a function that the pages' scripts call, by balanced brackets outside string literals."""
     found = structure.calls(table(spark, d, "pages"), ["page_id"], "html", r"\btrack\(")
     return found.groupBy("page_id", "argument").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The lexer's states as one pattern; pages hold no heredocs.
+_LEX = r"""//[^\n]*|#[^\n]*|/\*[\s\S]*?(?:\*/|\z)|"(?:\\[\s\S]|[^"\\])*(?:"|\z)|''(?:\\[\s\S]|[^''\\])*(?:''|\z)|\$[A-Za-z_\x{80}-\x{10FFFF}][\w\x{80}-\x{10FFFF}]*|(?:\\|[A-Za-z_\x{80}-\x{10FFFF}])[\w\\\x{80}-\x{10FFFF}]*|[0-9][\w.]*|\?->|->|::|=>|\?\?|[^ \t\n\r\f\x0b]"""
+
+
+@query(rf"""
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '{_LEX}')) AS v FROM pages)
+SELECT page_id, CASE WHEN v LIKE '//%' OR v LIKE '#%' OR v LIKE '/*%' THEN 'comment' WHEN left(v, 1) = '"' OR left(v, 1) = chr(39) THEN 'string' WHEN length(v) > 1 AND left(v, 1) = '$' THEN 'variable'
+  WHEN regexp_matches(v, '^[\\A-Za-z_\x{{80}}-\x{{10FFFF}}]') THEN 'name' WHEN regexp_matches(v, '^[0-9]') THEN 'number' ELSE 'symbol' END AS kind, count(*) AS n, sum(length(v))::BIGINT AS chars
+FROM t GROUP BY 1, 2""")
+def token_counts(spark, d):
+    """Tokens of each page by kind, read as code."""
+    found = php.tokens(table(spark, d, "pages"), ["page_id"], "html")
+    return found.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("value")).alias("chars"))
+
+
+_SHOWN = " || ',' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'N')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query(f"""
+WITH r AS (SELECT sha256({_SHOWN}) AS h, o_custkey, o_orderkey FROM orders),
+p AS (SELECT h, row_number() OVER (ORDER BY o_custkey NULLS FIRST, o_orderkey NULLS FIRST, h) - 1 AS i FROM r),
+a AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM p GROUP BY 1),
+b AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM a GROUP BY 1),
+c AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM b GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM p) AS n_rows, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
+SELECT CASE WHEN na = 1 THEN (SELECT min(h) FROM a) WHEN nb = 1 THEN (SELECT min(h) FROM b) ELSE (SELECT min(h) FROM c) END AS digest, n_rows FROM n""")
+def ordered_fingerprint(spark, d):
+    """One digest of all orders in the order of customer and key."""
+    return merkle.merkle(table(spark, d, "orders"), ["o_custkey", "o_orderkey"], ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS parent, (s_suppkey * s_suppkey + s_nationkey) % (SELECT count(*) FROM supplier) AS child, s_nationkey::VARCHAR AS label FROM supplier),
+p(node, labels, nodes) AS (
+  SELECT s_suppkey, []::VARCHAR[], [s_suppkey] FROM supplier WHERE s_nationkey = 3
+  UNION ALL SELECT e.child, list_append(labels, e.label), list_append(nodes, e.child) FROM p JOIN e ON p.node = e.parent WHERE NOT list_contains(nodes, e.child))
+SELECT node, array_to_string(labels, '/') AS path, len(nodes) - 1 AS depth FROM p""")
+def composed_paths(spark, d):
+    """Labels along every path of a graph with cycles, from one nation's suppliers."""
+    s = table(spark, d, "supplier")
+    n = s.agg(F.count(F.lit(1)).alias("n"))
+    edges = s.join(F.broadcast(n)).select(F.col("s_suppkey").cast("long").alias("parent"), ((F.col("s_suppkey").cast("long") * F.col("s_suppkey") + F.col("s_nationkey")) % F.col("n")).alias("child"), F.col("s_nationkey").cast("string").alias("label"))
+    roots = s.where("s_nationkey = 3").select(F.col("s_suppkey").cast("long").alias("node"))
+    out = compose.compose(edges, roots)
+    return out.select("node", F.array_join("labels", "/").alias("path"), (F.size("nodes") - 1).cast("long").alias("depth"))
