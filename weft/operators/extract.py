@@ -505,10 +505,19 @@ def django_routes(files: DataFrame) -> DataFrame:
     return rows.select(F.lit("Django").alias("framework"), "unit", F.col("rel_path").alias("file"), F.lit("ANY").alias("method"), route_path(F.coalesce("prefix", F.lit("")), F.col("p")).alias("path"), F.lit(94).alias("confidence"))
 
 
-def entrypoints(files: DataFrame, found: DataFrame) -> DataFrame:
-    """unit, id, name, kind, framework, file, confidence of frameworks that are actionable in their unit."""
-    rows = pattern_routes(files).unionByName(file_routes(files)).unionByName(scoped_routes(files)).unionByName(django_routes(files)).unionByName(spring_routes(files))
-    rows = rows.unionByName(route_groups.group_routes(files).select(*rows.columns)).unionByName(route_groups.router_routes(files))
+def _group_routes(files: DataFrame) -> DataFrame:
+    return route_groups.group_routes(files).select("framework", "unit", "file", "method", "path", "confidence")
+
+
+#: What finds routes; none needs another.
+ROUTE_SOURCES = (pattern_routes, file_routes, scoped_routes, django_routes, spring_routes, _group_routes, route_groups.router_routes)
+
+
+def entrypoints(files: DataFrame, found: DataFrame, routes: list[DataFrame] | None = None) -> DataFrame:
+    """unit, id, name, kind, framework, file, confidence of frameworks that are actionable in their unit. routes: of ROUTE_SOURCES, where they are made already."""
+    rows, *more = routes or [f(files) for f in ROUTE_SOURCES]
+    for r in more:
+        rows = rows.unionByName(r)
     live = found.where("actionable").select("unit", F.col("name").alias("framework"))
     rows = rows.join(live, ["unit", "framework"], "left_semi")
     rows = rows.groupBy("unit", "framework", "file", "method", "path").agg(F.max("confidence").alias("confidence"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import structure
 from .compose import compose
 
@@ -70,17 +71,18 @@ def group_routes(files: DataFrame) -> DataFrame:
 
     A chain without a verb, a match or a resource declares nothing. Any stands for six methods, a match for those it lists."""
     php = files.where(F.col("rel_path").rlike(r"(^|/)routes/[^/]+\.php$") & F.col("masked").isNotNull())
-    each = chains(php.select(*KEYS, "masked"))
+    each = cut(chains(php.select(*KEYS, "masked")))  # read by several of the joins below
     names = F.transform("steps", lambda s: s["name"])
     group = F.element_at(_said(F.col("steps"), "group"), 1)
     inner = group["end"] - 1 - F.char_length(group["argument"])
     scopes = each.where(F.array_contains(names, "group")).select(*KEYS, inner.alias("start"), (group["end"] - 1).alias("end"), *_context(F.col("steps")))
-    scopes = structure.nested(scopes, KEYS)
+    scopes = cut(structure.nested(scopes, KEYS))
     verbs = [*VERBS, "any", "match", *RESOURCES]
     verb = F.filter("steps", lambda s: s["name"].isin(*verbs))
     own = each.where(~F.array_contains(names, "group") & (F.size(verb) > 0)).withColumn("verb", F.element_at(verb, 1))
     own = own.select(*KEYS, "start", "end", "steps", "verb", *_context(F.col("steps")))
-    got = structure.inherited(structure.enclosed(own, scopes, KEYS), scopes, KEYS, joined=["prefix", "name"], united=["middleware"], innermost=["domain", "controller"])
+    own = cut(structure.enclosed(own, scopes, KEYS))
+    got = structure.inherited(own, scopes, KEYS, joined=["prefix", "name"], united=["middleware"], innermost=["domain", "controller"])
     argument, said = F.col("verb")["argument"], F.col("verb")["name"]
     listed = F.regexp_extract(argument, r"(?s)^\s*(\[[^\]]*\]|'[^']*'|\"[^\"]*\")\s*,", 1)  # a match names its methods first
     rest = F.when(said == "match", F.expr("substring(verb.argument, instr(verb.argument, listed) + char_length(listed))")).otherwise(argument)
@@ -127,9 +129,11 @@ def router_routes(files: DataFrame) -> DataFrame:
     router of their function. A nested name means the function of its own file, else the only one of the unit."""
     rust = files.where((F.col("ext") == "rs") & F.col("masked").isNotNull()).select(*KEYS, "masked")
     bodies = structure.calls(rust, KEYS, "masked", r"\bfn\s+\w+[^{};]*\{").withColumn("fn", F.regexp_extract("token", r"^fn\s+(\w+)", 1))
-    scopes = structure.nested(bodies.select(*KEYS, "start", "end", "fn"), KEYS)
+    scopes = cut(structure.nested(bodies.select(*KEYS, "start", "end", "fn"), KEYS))
     used = structure.calls(rust, KEYS, "masked", r"\.(?:nest|route)\s*\(")
-    used = structure.inherited(structure.enclosed(used, scopes, KEYS), scopes, KEYS, innermost=["fn"]).withColumn("prefix", F.get(structure.literals(F.col("first")), F.lit(0))).where("prefix IS NOT NULL")
+    used = cut(structure.enclosed(used, scopes, KEYS))
+    used = structure.inherited(used, scopes, KEYS, innermost=["fn"]).withColumn("prefix", F.get(structure.literals(F.col("first")), F.lit(0))).where("prefix IS NOT NULL")
+    used = cut(used)
     nests = used.where(F.col("token").contains("nest") & F.col("all_fn").isNotNull()).select(*KEYS, F.col("all_fn").alias("outer"), "prefix", F.regexp_extract("argument", r"(?s)^[^,]*,\s*(?:\w+\s*::\s*)*(\w+)", 1).alias("inner"))
     known = scopes.select("unit", F.col("rel_path").alias("home"), F.col("fn").alias("inner")).distinct()
     only = known.groupBy("unit", "inner").agg(F.min("home").alias("single"), F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import capsule, export, extract, graph, link, merge, records, scoring, semantics, technology, text
-from ..session import cut
+from ..session import cut, together
 from ..sources import files as src
 
 
@@ -69,11 +69,16 @@ def scan(files: DataFrame, registry: Registry | None = None, units: DataFrame |
     registry = registry or Registry.with_defaults()
     units = src.discover_units(files) if units is None else units
     placed = cut(extract.masked(src.assign_units(files, units)))
-    found = extract.detections(placed).withColumn("actionable", scoring.actionable(F.col("confidence"), F.col("evidence"), registry.policy))
-    found = cut(found)
+    # these read the placed files alone
+    routes = [lambda f=f: f(placed) for f in extract.ROUTE_SOURCES]
+    imports = lambda: extract.import_edges(placed, extract.aliased(extract.imports(placed), extract.ts_aliases(placed)))
+    detected = lambda: extract.detections(placed).withColumn("actionable", scoring.actionable(F.col("confidence"), F.col("evidence"), registry.policy))
+    analyzed = [lambda a=a, seq=seq: a(placed).withColumn("seq", F.lit(seq)) for seq, a in enumerate(registry.analyzers.values())]
+    first = [detected, *routes, imports, lambda: semantics.java_edges(placed), lambda: semantics.php_edges(placed), lambda: extract.http_calls(placed), lambda: semantics.package_edges(placed), *analyzed]
+    found, *made = together(*first)
+    routes, (imports, java, php, http, packages), analyzed = made[: len(routes)], made[len(routes) : len(routes) + 5], made[len(routes) + 5 :]
     parts = None
-    for seq, analyze in enumerate(registry.analyzers.values()):
-        c = analyze(placed).withColumn("seq", F.lit(seq))
+    for c in analyzed:
         parts = c if parts is None else parts.unionByName(c)
     comps = merge.overlay(parts, ["unit", "id"], "seq").drop("seq")
     fallback = merge.fallback_files(placed.where("is_text"), comps).where(~F.col("too_large"))
@@ -83,21 +88,20 @@ def scan(files: DataFrame, registry: Registry | None = None, units: DataFrame |
     laravel = semantics.laravel_commands(placed).join(in_laravel, "unit", "left_semi")
     commands = laravel.select("unit", F.concat_ws(":", F.lit("laravel"), "kind", "file").alias("id"), "name", "kind", F.lit("Laravel").alias("framework"), "file", F.lit(80).alias("confidence"))
     owners = cut(_stands_for(comps))
-    entries = extract.entrypoints(placed, found).unionByName(commands)
-    entries = cut(entries.join(owners, ["unit", "file"], "left"))
-    imports = extract.aliased(extract.imports(placed), extract.ts_aliases(placed))
-    deps = extract.import_edges(placed, imports).unionByName(semantics.java_edges(placed)).unionByName(semantics.php_edges(placed))
+    entries_of = extract.entrypoints(placed, found, routes).unionByName(commands)
+    deps = imports.unionByName(java).unionByName(php)
     tables = semantics.laravel_tables(placed).join(in_laravel, "unit", "left_semi")
-    deps = _component_edges(deps.unionByName(semantics.table_owners(tables, semantics.php_types(placed)).drop("confidence")), owners)
+    deps_of = _component_edges(deps.unionByName(semantics.table_owners(tables, semantics.php_types(placed)).drop("confidence")), owners)
     # a declaration needs its module, and so what the module imports
     needs = comps.where("line_no > 0").join(owners, ["unit", "file"]).select("unit", F.col("id").alias("source"), F.col("component").alias("target"), F.lit("requires").alias("kind")).where("source <> target")
-    deps = cut(deps.unionByName(needs).distinct())
-    calls = cut(extract.http_calls(placed).join(owners, ["unit", "file"]))
+    entries, deps, calls = together(
+        lambda: entries_of.join(owners, ["unit", "file"], "left"), lambda: deps_of.unionByName(needs).distinct(), lambda: http.join(owners, ["unit", "file"])
+    )
     partial = Scan(
         placed, found, technology.technologies(placed, found), comps, entries, deps, calls, technology.diagnostics(placed, found, entries),
         technology.runtime_requirements(placed), technology.unit_summary(placed, found, comps, deps, entries), None,
     )
-    return replace(partial, cross=cut(link.cross_edges(_http_cross(partial), _package_cross(placed, owners))))
+    return replace(partial, cross=cut(link.cross_edges(_http_cross(partial), _package_cross(placed, owners, packages))))
 
 
 def _http_cross(s: Scan) -> DataFrame:
@@ -109,9 +113,8 @@ def _http_cross(s: Scan) -> DataFrame:
     return linked.select(F.col("call_unit").alias("source_unit"), "source", "target_unit", "target", F.col("endpoint_id").alias("entrypoint"), F.lit("http").alias("kind"), F.col("call_path").alias("evidence"), "confidence")
 
 
-def _package_cross(files: DataFrame, owners: DataFrame) -> DataFrame:
+def _package_cross(files: DataFrame, owners: DataFrame, links: DataFrame) -> DataFrame:
     """Package links between units as cross edges: from the first file that imports the package, else the manifest, to the target's manifest."""
-    links = semantics.package_edges(files)
     manifest = files.where(F.col("name").isin(*[r[0] for r in semantics.IDENTITIES])).select("unit", F.col("rel_path").alias("file")).join(owners, ["unit", "file"])
     manifest = manifest.groupBy("unit").agg(F.min_by("component", F.struct(F.length("file"), "file")).alias("component"))
     users = semantics.importing_files(files).join(owners, ["unit", "file"]).groupBy("unit", "name").agg(F.min_by("component", "file").alias("user"))

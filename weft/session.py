@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*makes: Callable[[], DataFrame], workers: int = 6) -> list[DataFrame]:
+    """cut of each DataFrame that makes give, run at the same time: jobs that do not need one another fill one another's gaps."""
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(lambda make: cut(make()), makes))
+
+
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """cut, and how many rows were written, without another job."""
     seen = Observation()
