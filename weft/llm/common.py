@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(*plain(docs)).withColumn("__id", F.col(id_col)).withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
     named = F.concat(F.coalesce(F.col("__id").cast("string"), F.lit("?")), F.lit("\n"), F.col("__t"))
     return d.withColumn("__k", F.unhex(F.md5(named)))
+
+
+def trim() -> None:
+    """Give memory that a worker process no longer uses back to the system; workers outlive their tasks, and other stages run in them."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

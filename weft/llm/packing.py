@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..session import cut
+from .common import trim
 
 #: How this tokenizer's file splits lower-cased text; other vocabularies are encoded chunk by chunk.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -158,6 +159,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
     sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # what stages before have left
         encode_all = encoder(sent.value).encode_all
         for b in batches:
             rows = []

@@ -31,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..session import cut
-from .common import plain
+from .common import plain, trim
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
@@ -43,6 +43,8 @@ THRESHOLD = 0.3
 PAD = max(WIDTHS) - 1
 #: Words a task keeps products for before it starts anew.
 VOCABULARY = 250_000
+#: Bits that tell which ids may be labelled: 1 MB.
+BITS = 1 << 23
 
 
 def words_of(text: str | None) -> list[str]:
@@ -247,19 +249,34 @@ def _best(bins: list) -> float:
     return float(np.clip((_sigmoid(bins[i]["lo"]) + low) / 2, 1e-6, 1 - 1e-6))
 
 
-def calibrate(model: Model, rows: DataFrame, bin_width: float = 0.02, min_positives: int = 20) -> None:
-    """Shift the score and set thresholds by language from all of rows (t, lang, __toxic).
+def calibrate(model: Model, texts: DataFrame, known: DataFrame, bin_width: float = 0.02, min_positives: int = 20) -> None:
+    """Shift the score and set thresholds by language from all texts (__id, t, lang) that known (__id, __toxic) labels.
 
-    What comes to the driver is a histogram: at most 80 / bin_width bins, and as many for each calibrated language."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    Texts are scored where they are read and do not move: a bit set of the labelled ids, BITS whatever their number, tells
+    which may be labelled (some others are scored in vain), and only scores meet the labels. What comes to the driver is the bit set
+    and a histogram: at most 80 / bin_width bins, and as many for each calibrated language."""
+    spark = texts.sparkSession
+    place = F.pmod(F.xxhash64("__id"), F.lit(BITS))
+    words = np.zeros(BITS // 64, np.int64)
+    one_bit = F.expr("shiftleft(1L, CAST(h % 64 AS INT))")
+    for r in known.select(place.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("w")).agg(F.bit_or(one_bit).alias("bits")).collect():
+        words[r["w"]] = r["bits"]
+    sent = spark.sparkContext.broadcast((model, words))
+    names = ["__id", "lang", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        mine, bits = sent.value
+        scorer = Scorer(mine)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scorer.logits(b.column(0).to_pylist()), pa.float64()), b.column(2)], ["lang", "z", "y"])
-
-    scored = rows.select("t", "lang", (F.col("__toxic") > 0).cast("long").alias("y")).mapInArrow(run, "lang string, z double, y long")
+            h = b.column(3).to_numpy()
+            b = b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scorer.logits(b.column(1).to_pylist()), pa.float64())], names)
+        del scorer
+        trim()
+
+    rows = texts.where(F.col("__id").isNotNull()).select("__id", "t", "lang", place.alias("h"))
+    schema = StructType([rows.schema["__id"], StructField("lang", StringType()), StructField("z", DoubleType())])
+    scored = rows.mapInArrow(run, schema).join(known.select("__id", (F.col("__toxic") > 0).cast("long").alias("y")), "__id")
     sums = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pos").alias("pos"), F.sum("n").alias("n")]
     one = scored.select("lang", F.floor(F.col("z") / bin_width).alias("bin"), F.col("z").alias("lo"), F.col("z").alias("hi"), F.col("y").alias("pos"), F.lit(1).cast("long").alias("n"))
     hist = cut(one.groupBy("lang", "bin").agg(*sums))
@@ -309,7 +326,7 @@ def fit(
     if len(y) and y.min() < y.max():
         learned = sorted({(r[0],) for r, back in zip(got, held_back(len(got))) if not back})
         learned = docs.sparkSession.createDataFrame(learned, StructType([known.schema["__id"]]))
-        calibrate(model, texts.join(known.join(F.broadcast(learned), "__id", "left_anti"), "__id"))
+        calibrate(model, texts, known.join(F.broadcast(learned), "__id", "left_anti"))
     return model
 
 
@@ -325,6 +342,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             s = scorer.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "__score"])
+        del scorer
+        trim()
 
     out = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
     limit = F.lit(THRESHOLD)
