@@ -73,16 +73,53 @@ def duplicate_content(spark, d):
     return h.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-_ENDINGS = ("java", "tsx", "py", "rs", "cs", "exs", "yml", "zzz", "")
+_ENDINGS = (
+    "java", "ts", "tsx", "js", "jsx", "mjs", "py", "rs", "go", "cs", "fs", "fsx", "php", "kt", "kts", "rb", "dart", "c", "h", "cc", "cpp", "cxx", "hpp", "swift", "scala", "sh", "bash", "zsh", "ps1", "sql",
+    "html", "htm", "xml", "css", "scss", "graphql", "gql", "vue", "svelte", "astro", "razor", "ex", "exs", "json", "yml", "md", "toml", "",
+)
 
 
-@query(f"""SELECT doc_id, CASE ext WHEN 'java' THEN 'Java' WHEN 'tsx' THEN 'TypeScript' WHEN 'py' THEN 'Python' WHEN 'rs' THEN 'Rust' WHEN 'cs' THEN 'C#' WHEN 'exs' THEN 'Elixir' WHEN 'yml' THEN 'YAML' ELSE 'Unknown' END AS language
+@query(f"""SELECT doc_id, CASE WHEN ext = 'java' THEN 'Java' WHEN ext IN ('ts', 'tsx') THEN 'TypeScript' WHEN ext IN ('js', 'jsx') THEN 'JavaScript' WHEN ext = 'py' THEN 'Python' WHEN ext = 'rs' THEN 'Rust' WHEN ext = 'go' THEN 'Go'
+  WHEN ext = 'cs' THEN 'C#' WHEN ext IN ('fs', 'fsx') THEN 'F#' WHEN ext = 'php' THEN 'PHP' WHEN ext IN ('kt', 'kts') THEN 'Kotlin' WHEN ext = 'rb' THEN 'Ruby' WHEN ext = 'dart' THEN 'Dart' WHEN ext IN ('c', 'h') THEN 'C'
+  WHEN ext IN ('cc', 'cpp', 'cxx', 'hpp') THEN 'C++' WHEN ext = 'swift' THEN 'Swift' WHEN ext = 'scala' THEN 'Scala' WHEN ext IN ('sh', 'bash', 'zsh', 'ps1') THEN 'Shell' WHEN ext = 'sql' THEN 'SQL' WHEN ext IN ('html', 'htm') THEN 'HTML'
+  WHEN ext = 'xml' THEN 'XML' WHEN ext = 'css' THEN 'CSS' WHEN ext = 'scss' THEN 'SCSS' WHEN ext IN ('graphql', 'gql') THEN 'GraphQL' WHEN ext = 'vue' THEN 'Vue' WHEN ext = 'svelte' THEN 'Svelte' WHEN ext = 'astro' THEN 'Astro'
+  WHEN ext = 'razor' THEN 'Razor' WHEN ext IN ('ex', 'exs') THEN 'Elixir' ELSE 'Unknown' END AS language
 FROM (SELECT doc_id, {list(_ENDINGS)}[(doc_id % {len(_ENDINGS)}) + 1] AS ext FROM documents)""")
 def language_of_source(spark, d):
     ext = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
     return table(spark, d, "documents").select("doc_id", src.language_of(ext).alias("language"))
 
 
+_NAMES = ("pom.xml", "build.gradle", "build.gradle.kts", "package.json", "Cargo.toml", "composer.json", "requirements.txt", "pyproject.toml", "go.mod", "Gemfile", "main.py")
+
+
+@query(f"""WITH f AS (SELECT p_partkey::VARCHAR AS unit, 'app/' || p_brand || '/' || {list(_NAMES)}[(p_partkey % {len(_NAMES)}) + 1] AS rel_path, {list(_NAMES)}[(p_partkey % {len(_NAMES)}) + 1] AS name FROM part)
+SELECT unit, rel_path, CASE WHEN name = 'pom.xml' THEN 'Java/Maven' WHEN name LIKE 'build.gradle%' THEN 'Java/Gradle' WHEN name = 'package.json' THEN 'Node.js' WHEN name = 'Cargo.toml' THEN 'Rust' WHEN name = 'composer.json' THEN 'PHP/Composer' ELSE 'Python' END AS runtime,
+  CASE WHEN name = 'pom.xml' THEN 'mvn -o -DskipTests package' WHEN name LIKE 'build.gradle%' THEN 'gradle --offline build -x test' WHEN name = 'package.json' THEN 'npm test --if-present && npm run build --if-present'
+    WHEN name = 'Cargo.toml' THEN 'cargo check --locked --offline' WHEN name = 'composer.json' THEN 'composer validate --no-check-publish' ELSE 'python -m compileall .' END AS command, name = 'package.json' AS network
+FROM f WHERE name NOT IN ('go.mod', 'Gemfile', 'main.py')""")
+def sandbox_plans(spark, d):
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    return capsule.sandbox_plan(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("unit"), F.concat_ws("/", F.lit("app"), "p_brand", name).alias("rel_path")))
+
+
+_MARKED = ("image: postgres", "uses redis", "JDBC:ORACLE:thin", "sqlite://x", "mongodb+srv://h", "mysql://a mariadb://b", "image: mssql", "nothing", "select a from b")
+_PLACES = ("docker-compose.yml", "README.md", "application.properties", ".env", "pom.xml", "src/main.py", "conf/db.toml")
+
+
+@query(f"""WITH f AS (SELECT o_custkey::VARCHAR AS unit, lower({list(_MARKED)}[(o_orderkey % {len(_MARKED)}) + 1]) AS t, {list(_PLACES)}[(o_orderkey // 9 % {len(_PLACES)}) + 1] AS place FROM orders),
+m AS (SELECT unit, unnest([CASE WHEN t LIKE '%image: postgres%' THEN 'PostgreSQL' END, CASE WHEN t LIKE '%redis%' THEN 'Redis' END, CASE WHEN t LIKE '%jdbc:oracle:%' THEN 'Oracle' END, CASE WHEN t LIKE '%sqlite://%' THEN 'SQLite' END,
+  CASE WHEN t LIKE '%mongodb%' THEN 'MongoDB' END, CASE WHEN t LIKE '%mysql://%' THEN 'MySQL' END, CASE WHEN t LIKE '%mariadb://%' THEN 'MariaDB' END, CASE WHEN t LIKE '%image: mssql%' THEN 'SQL Server' END]) AS name
+  FROM f WHERE place NOT IN ('README.md', 'src/main.py'))
+SELECT unit, 'Database' AS category, name, least(100, 65 + 12 * least(3, count(*)))::INTEGER AS confidence FROM m WHERE name IS NOT NULL GROUP BY unit, name
+UNION ALL SELECT DISTINCT unit, 'Query Language', 'SQL', 90 FROM f WHERE t LIKE '%select % from %'""")
+def database_markers(spark, d):
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    place = pick(_PLACES, F.floor(F.col("o_orderkey") / 9))
+    files = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("unit"), pick(_MARKED, F.col("o_orderkey")).alias("text"), F.substring_index(place, "/", -1).alias("name"), F.substring_index(place, ".", -1).alias("ext"))
+    return technology.databases(files).select("unit", "category", "name", F.col("confidence").cast("int").alias("confidence"))
+
+
 _TECH = [("Language", "GraphQL"), ("language", "S.C.S.S"), ("language", "Java"), ("Framework", "Next.js"), ("framework", "spring-boot"), ("library", "React"), ("data", "type orm"), ("data", "postgres"), ("build", "pnpm"), ("BUILD", "Webpack"), ("build", "Maven"), ("runtime", "node_js"), ("infrastructure", "Docker"), ("other", "x")]
 
 
