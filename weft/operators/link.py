@@ -46,11 +46,9 @@ def http_matches(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     return hit.select("call_id", "endpoint_id", "call_unit", "target_unit", "call_path", "end_path", F.when(same, 100).otherwise(90).alias("confidence")).distinct()
 
 
-def http_links(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Matches of calls that have exactly one candidate endpoint; an origin lowers confidence.
-
-    With an origin column, calls to foreign hosts are dropped: a host must be unresolved
-    (confidence 70), local (85) or named like the target's unit (80)."""
+def http_candidates(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Matches of calls; with an origin column, those to foreign hosts are dropped and an origin lowers confidence: a
+    host must be unresolved (70), local (85) or named like the target's unit (80)."""
     hits = http_matches(calls, endpoints)
     if "origin" in calls.columns:
         hits = hits.join(calls.select("call_id", "origin"), "call_id")
@@ -59,10 +57,20 @@ def http_links(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
         named = F.array_contains(http.host_aliases(F.col("target_unit")), host)
         limit = F.when(F.col("origin").isNull(), 100).when(dynamic, 70).when(http.is_local_host(host), 85).when(named, 80)
         hits = hits.withColumn("confidence", F.least("confidence", limit)).where(limit.isNotNull())
+    return hits
+
+
+def only_candidates(hits: DataFrame) -> DataFrame:
+    """The candidates of calls that have exactly one."""
     only = Window.partitionBy("call_id")
     return hits.withColumn("candidates", F.count(F.lit(1)).over(only)).where("candidates = 1").drop("candidates")
 
 
+def http_links(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """http_candidates of calls that have exactly one candidate endpoint."""
+    return only_candidates(http_candidates(calls, endpoints))
+
+
 def package_links(identities: DataFrame, declared: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """identities(unit, name), declared(unit, name), imports(unit, name): links between units by package names
     that one unit alone bears; 100 where the package is imported, else 90."""
