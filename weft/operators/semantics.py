@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import extract, link
+from . import extract, link, manifests
 from .graph import keep_first
 
 # ---------------------------------------------------------------- Java
@@ -203,12 +203,20 @@ def _by_manifest(files: DataFrame, rules: list[tuple[str, str]], every: bool) ->
     return files.where(F.col("name").isin(*[r[0] for r in rules])).select("unit", F.explode(hits).alias("package")).select("unit", F.col("package").alias("name")).distinct()
 
 
+def _searched(files: DataFrame) -> DataFrame:
+    """Manifests that are searched as text: those of other formats, and JSON that cannot be parsed."""
+    plain = files.where(~F.col("name").isin(*[m for m, _ in manifests.SECTIONS]))
+    return plain.unionByName(manifests.parsed(files).where("malformed").select(*files.columns))
+
+
 def package_identities(files: DataFrame) -> DataFrame:
-    return _by_manifest(files, IDENTITIES, False)
+    read = manifests.identities(manifests.parsed(files)).select("unit", "name")
+    return _by_manifest(_searched(files), IDENTITIES, False).unionByName(read).distinct()
 
 
 def declared_packages(files: DataFrame) -> DataFrame:
-    return _by_manifest(files, DECLARED, True)
+    read = manifests.declared(manifests.parsed(files)).select("unit", "name")
+    return _by_manifest(_searched(files), DECLARED, True).unionByName(read).distinct()
 
 
 def imported_packages(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on what changes between versions: incremental linking, tables in versions, registries, streamed states."""
+"""Queries on what changes between versions: incremental linking, tables in versions, registries, streamed states, JSON manifests."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import http
-from ..operators import link, relink
+from ..operators import link, manifests, relink
 from ..session import cut, shared_dir, table
 from ..sources.registry import Registry
 from ..sources.versions import Versions
+from ..streaming import states
 from .link_queries import _DYN, _HOST, _PATH, _SEGS
 from .registry import query
 
@@ -140,3 +141,44 @@ def registry_rows(spark, d):
     registry.update(c.where("c_acctbal > 9000").select(F.col("c_name").alias("id"), F.lit(-1).cast("long").alias("home")))
     registry.remove(c.where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("id")))
     return registry.rows()
+
+
+@query("""WITH e AS (SELECT user_id, regexp_extract(props, '[0-9]+') AS file, round(value * 100)::BIGINT AS content, event_type = 'error' AS removed, ts, event_id FROM events),
+held AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, file ORDER BY ts DESC, event_id DESC) = 1)
+SELECT 'user-' || user_id AS repository, count(*) AS files, (sum(('0x' || substr(sha256(file || chr(0) || content), 1, 15))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT AS signature
+FROM held WHERE NOT removed GROUP BY user_id""")
+def repository_states_stream(spark, d):
+    """Events as changes of users' files, an error removing one: states kept by a stream equal those of the whole table."""
+    at = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")  # a pattern, since a stream's source is a folder
+    changes = events.select(
+        F.concat(F.lit("user-"), "user_id").alias("repository"), F.regexp_extract("props", "[0-9]+", 0).alias("file"), F.round(F.col("value") * 100).cast("long").cast("string").alias("content"),
+        (F.col("event_type") == "error").alias("removed"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+    )
+    states.follow(changes, f"{at}/out", f"{at}/log", slices=4).awaitTermination()
+    return states.states(spark, f"{at}/out")
+
+
+_MANIFEST_SQL = """WITH m AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'devDependencies' ELSE 'dependencies' END AS section, 'part "' || l_partkey || '"' AS name, max(l_quantity)::INTEGER AS q FROM lineitem GROUP BY ALL)"""
+
+
+def _manifests_of_orders(spark, d):
+    """package.json texts from orders and their lines; those of open partial orders are cut short."""
+    li = table(spark, d, "lineitem").selectExpr("l_orderkey", "IF(l_returnflag = 'R', 'devDependencies', 'dependencies') AS section", "concat('part \"', l_partkey, '\"') AS part", "l_quantity")
+    one = li.groupBy("l_orderkey", "section", "part").agg(F.concat(F.lit("^"), F.max("l_quantity").cast("int").cast("string")).alias("version"))
+    of = one.groupBy("l_orderkey").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("section") == s, F.struct("part", "version")))).alias(s) for s in ("dependencies", "devDependencies")])
+    rows = table(spark, d, "orders").join(of, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = F.to_json(F.struct(F.concat(F.lit("order-"), "o_orderkey").alias("name"), F.lit("1.0.0").alias("version"), "dependencies", "devDependencies", F.struct(F.lit("x").alias("name")).alias("author")))
+    cut_short = F.when(F.col("o_orderstatus") == "P", F.expr("left(t, length(t) - 1)")).otherwise(F.col("t"))
+    return rows.withColumn("t", text).select(F.col("o_custkey").alias("unit"), F.lit("package.json").alias("name"), F.col("o_orderkey").alias("rel_path"), cut_short.alias("text"))
+
+
+@query(f"""{_MANIFEST_SQL} SELECT o_custkey AS unit, o_orderkey AS rel_path, section, name, '^' || q AS version FROM m JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""")
+def json_manifest_declared(spark, d):
+    return manifests.declared(manifests.parsed(_manifests_of_orders(spark, d)))
+
+
+@query("SELECT o_custkey AS unit, o_orderkey AS rel_path, CASE WHEN o_orderstatus <> 'P' THEN 'order-' || o_orderkey END AS name, o_orderstatus = 'P' AS malformed FROM orders")
+def json_manifest_identities(spark, d):
+    m = manifests.parsed(_manifests_of_orders(spark, d))
+    return manifests.identities(m).withColumn("malformed", F.lit(False)).unionByName(m.where("malformed").select("unit", "rel_path", F.lit(None).cast("string").alias("name"), "malformed"))
