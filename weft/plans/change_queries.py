@@ -1,4 +1,4 @@
-"""Queries on what changes between versions: incremental linking, tables in versions, registries, streamed states, JSON manifests."""
+"""Queries on what changes between versions: incremental linking, tables in versions, registries, streamed states, JSON manifests, the text index."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import http
-from ..operators import link, manifests, relink
+from ..operators import link, manifests, relink, text_index
 from ..session import cut, shared_dir, table
 from ..sources.registry import Registry
 from ..sources.versions import Versions
@@ -182,3 +182,32 @@ def json_manifest_declared(spark, d):
 def json_manifest_identities(spark, d):
     m = manifests.parsed(_manifests_of_orders(spark, d))
     return manifests.identities(m).withColumn("malformed", F.lit(False)).unionByName(m.where("malformed").select("unit", "rel_path", F.lit(None).cast("string").alias("name"), "malformed"))
+
+
+MARKERS = ["license", "@example.com", "https://", "api_key", "Copyright (c)", "ss t", "card", "-", "zzqqx"]
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("SELECT marker, doc_id FROM documents, (VALUES " + ", ".join(f"('{m}')" for m in MARKERS) + f") m(marker) WHERE contains({_LOWER.format('text')}, {_LOWER.format('marker')})")
+def text_index_markers(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return text_index.holding(text_index.build(docs, ["doc_id"]), docs, ["doc_id"], MARKERS)
+
+
+_BUDGET = "WITH f AS (SELECT source AS unit, doc_id, octet_length(encode(text)) AS size FROM documents), c AS (SELECT unit, list({'t': 0::BIGINT, 'ids': [doc_id], 's': size::BIGINT} ORDER BY doc_id) AS l, count(*) AS n FROM f WHERE size <= 9000 GROUP BY unit),\ng AS (SELECT unit, n, list_reduce(list_prepend({'t': 0::BIGINT, 'ids': []::BIGINT[], 's': 0::BIGINT}, l), lambda a, x: CASE WHEN a.t + x.s <= 60000 THEN {'t': a.t + x.s, 'ids': list_concat(a.ids, x.ids), 's': 0::BIGINT} ELSE a END).ids AS ids FROM c)"
+
+
+def _budgeted(spark, d):
+    files = table(spark, d, "documents").select(F.col("source").alias("unit"), F.col("doc_id").alias("rel_path"), F.octet_length("text").alias("size"))
+    return text_index.within_budget(files, 9000, 60000)
+
+
+@query(f"{_BUDGET} SELECT unit, unnest(ids) AS rel_path FROM g")
+def text_index_budget(spark, d):
+    """60 000 bytes of each source's documents, by id, those over 9 000 left out."""
+    return _budgeted(spark, d)[0].select("unit", "rel_path")
+
+
+@query(f"{_BUDGET} SELECT unit, 'text-index-memory-limit' AS code, (n - len(ids)) || ' files over the limit of the index' AS message FROM g WHERE n > len(ids)")
+def text_index_diagnostics(spark, d):
+    return _budgeted(spark, d)[1].select("unit", "code", "message")
