@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["dependency_slice_edges", "impact_slice_nodes", "self_dependencies", "http_link_unique", "package_link", "slugify_names", "detection_actionable", "overlay_last_wins", "snapshot_state_diff", "mermaid_edges", "controller_resolution", "migration_foreign_keys", "edge_metadata_left_join", "focused_endpoint_links"]
+SOME = ["dependency_slice_edges", "impact_slice_nodes", "self_dependencies", "http_link_unique", "package_link", "slugify_names", "detection_actionable", "overlay_last_wins", "snapshot_state_diff", "mermaid_edges", "controller_resolution", "migration_foreign_keys", "edge_metadata_left_join", "focused_endpoint_links", "relink_http_delta", "text_index_markers", "analyzer_of_units", "json_manifest_declared"]
 
 
 def test_names():

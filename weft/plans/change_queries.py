@@ -1,4 +1,4 @@
-"""Queries on what changes between versions: incremental linking, tables in versions, registries, streamed states, JSON manifests, the text index."""
+"""Queries on what changes between versions: incremental linking, tables in versions, registries, streamed states, JSON manifests, the text index, suites."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ..session import cut, shared_dir, table
 from ..sources.registry import Registry
 from ..sources.versions import Versions
 from ..streaming import states
+from . import suites
 from .link_queries import _DYN, _HOST, _PATH, _SEGS
 from .registry import query
 
@@ -211,3 +212,58 @@ def text_index_budget(spark, d):
 @query(f"{_BUDGET} SELECT unit, 'text-index-memory-limit' AS code, (n - len(ids)) || ' files over the limit of the index' AS message FROM g WHERE n > len(ids)")
 def text_index_diagnostics(spark, d):
     return _budgeted(spark, d)[1].select("unit", "code", "message")
+
+
+class LongLines(suites.Analyzer):
+    """A file's number among those of its unit that have lines of over 200 characters, and how many; at the end the unit's sums."""
+
+    def __init__(self):
+        self.files = self.lines = 0
+
+    def file(self, path, text):
+        n = sum(len(line) > 200 for line in text.split("\n"))
+        if n:
+            self.files += 1
+            self.lines += n
+            yield (path, self.files, n)
+
+    def end(self):
+        yield (None, self.files, self.lines)
+
+
+_LONG = "WITH f AS (SELECT source AS unit, doc_id AS path, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 200)) AS lines FROM documents)"
+
+
+def _long_lines(spark, d):
+    suites.register(spark, "long_lines", LongLines, "path long, number long, lines long")
+    return table(spark, d, "documents").selectExpr("source AS unit", "doc_id AS rel_path", "text")
+
+
+@query(f"{_LONG} SELECT unit, path, 1::BIGINT AS number, lines FROM f WHERE lines > 0")
+def analyzer_of_files(spark, d):
+    """An analyzer in Python over each document, called by SQL with LATERAL."""
+    return spark.sql("SELECT f.unit, x.* FROM {files} f, LATERAL long_lines(f.rel_path, f.text) x", files=_long_lines(spark, d))
+
+
+@query(f"{_LONG} SELECT unit, path, row_number() OVER (PARTITION BY unit ORDER BY path) AS number, lines FROM f WHERE lines > 0 UNION ALL SELECT unit, NULL, count(*) FILTER (lines > 0), sum(lines)::BIGINT FROM f GROUP BY unit")
+def analyzer_of_units(spark, d):
+    """The same analyzer over each source's documents in order."""
+    _long_lines(spark, d).createOrReplaceTempView("weft_files")
+    return spark.sql("SELECT * FROM long_lines_of_unit(TABLE(weft_files) PARTITION BY unit ORDER BY rel_path)")
+
+
+@query(f"""WITH p AS (SELECT page_id, url, html, {_HOST} AS unit FROM pages), d AS (SELECT unit, bool_or(url LIKE '%utm_source%') AS tracked, bool_or(contains(html, '<table')) AS tabled FROM p GROUP BY unit)
+SELECT p.unit, page_id, 'tracked' AS suite FROM p JOIN d USING (unit) WHERE tracked AND contains(url, '?') UNION ALL SELECT p.unit, page_id, 'tabled' FROM p JOIN d USING (unit) WHERE tabled AND contains(html, '<table')""")
+def suites_of_hosts(spark, d):
+    """Suites run on hosts that show a reason for them; one that none shows is not called."""
+
+    def never(files):
+        raise AssertionError("called without a reason")
+
+    pages = table(spark, d, "pages").select("page_id", "url", "html").withColumn("unit", http.origin_host(F.col("url")))
+    some = [
+        suites.Suite("tracked", F.bool_or(F.col("url").contains("utm_source")), lambda f: f.where(F.col("url").contains("?")).select("unit", "page_id")),
+        suites.Suite("tabled", F.bool_or(F.col("html").contains("<table")), lambda f: f.where(F.col("html").contains("<table")).select("unit", "page_id")),
+        suites.Suite("gopher", F.bool_or(F.col("url").startswith("gopher:")), never),
+    ]
+    return suites.run(pages, some).rows
