@@ -83,7 +83,7 @@ def _by_language(rules: list[tuple[str, str]], column: str = "line") -> Column:
     for lang, pattern in rules:
         x = F.regexp_extract(column, pattern, 1)
         hits.append(F.when((F.col("language") == lang) & (x != ""), x))
-    return F.coalesce(*hits)
+    return text.interpreted(F.coalesce(*hits))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -136,14 +136,27 @@ def joined_path(base: Column, rel: Column) -> Column:
     return F.array_join(F.aggregate(parts, start, lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))), "/")
 
 
+#: Languages, what a specifier of theirs may leave out, in order; None: all others.
+ENDINGS = {
+    None: (".java", ".kt", ".php", ".ex", ".cs", ".go"),
+    ("TypeScript", "JavaScript", "Vue", "Svelte", "Astro"): (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ".vue", ".svelte"),
+    ("Python",): (".py", "/__init__.py"),
+    ("Ruby",): (".rb",),
+    ("Rust",): (".rs", "/mod.rs"),
+}
+
+
 def import_candidates(found: DataFrame) -> DataFrame:
     """ref, unit, path, ord: files that a specifier may mean, in order of preference."""
     base = F.regexp_replace("rel_path", "/?[^/]*$", "")
     relative = F.col("specifier").startswith(".")
     dotted = F.regexp_replace(F.regexp_replace("specifier", r"\.\*$", ""), r"[.\\]", "/")
     stem = F.when(relative & F.col("specifier").contains("/"), joined_path(base, F.col("specifier"))).when(F.col("language").isin("Ruby", "Rust"), joined_path(base, F.col("specifier"))).otherwise(F.when(F.col("specifier").contains("/"), F.regexp_replace("specifier", "^/", "")).otherwise(dotted))
-    ends = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ".vue", ".svelte", ".py", "/__init__.py", ".rb", ".rs", "/mod.rs", ".java", ".kt", ".php", ".ex"]
-    tries = F.array(*[F.concat(stem, F.lit(e)) for e in ends])
+    ends = F.array(F.lit(""), *map(F.lit, ENDINGS[None]))
+    for family, own in ENDINGS.items():
+        if family:
+            ends = F.when(F.col("language").isin(*family), F.array(F.lit(""), *map(F.lit, own))).otherwise(ends)
+    tries = F.transform(ends, lambda e: F.concat(stem, e))
     return found.select("unit", "rel_path", "specifier", F.posexplode(tries).alias("ord", "path"))
 
 

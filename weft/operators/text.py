@@ -43,6 +43,12 @@ def is_sensitive(path: Column, text: Column, secret: Column) -> Column:
     return (by_name & ~sample) | folder | header | (ending.isin(*CONFIG_ENDINGS) & secret)
 
 
+def interpreted(c: Column) -> Column:
+    """c, evaluated without code of its own: inside a higher-order function, for which Spark generates none. Long lists of
+    patterns otherwise outgrow the 64 KB of a generated method, and Spark compiles in vain."""
+    return F.transform(F.array(F.lit(0)), lambda _: c)[0]
+
+
 def declarations(file_lines: DataFrame, rules: list[tuple[str, str, str]], language: str = "language") -> DataFrame:
     """file_lines(language, line, ...) with ordered rules (language, keyword, kind): kind and name of the first
     rule that a line of its language matches. Patterns are literals, so each is compiled once."""
@@ -51,7 +57,7 @@ def declarations(file_lines: DataFrame, rules: list[tuple[str, str, str]], langu
         name = F.regexp_extract("line", rf"(?:^|[^\p{{L}}\p{{N}}_$]){keyword}\s+([\p{{L}}_$][\p{{L}}\p{{N}}_$]*)", 1)
         found.append(F.when((F.col(language) == lang) & F.col("line").contains(keyword) & (name != ""), F.struct(F.lit(kind).alias("kind"), name.alias("name"))))
     rest = [c for c in file_lines.columns if c != "line"]
-    return file_lines.withColumn("__m", F.coalesce(*found)).where("__m IS NOT NULL").select(*rest, "__m.kind", "__m.name")
+    return file_lines.withColumn("__m", interpreted(F.coalesce(*found))).where("__m IS NOT NULL").select(*rest, "__m.kind", "__m.name")
 
 
 def unique_line(file_lines: DataFrame, wanted: Column) -> DataFrame:
