@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page number (from 1) of rows in the given order; a number beyond the last page gives the last."""
@@ -89,6 +91,42 @@ def audit_rollup(units: DataFrame) -> DataFrame:
     return units.groupBy("repository").agg(*[F.sum(c).alias(c) for c in ("components", "dependencies", "errors", "warnings")], F.bool_and("graph_ok").alias("graph_ok"), F.bool_and("clean").alias("clean"))
 
 
+def unit_audits(units: DataFrame, components: DataFrame, dependencies: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """units(unit, repository) with components, dependencies, errors, warnings, graph_ok (no end of a dependency is missing) and clean
+    (nor is one its own target or on a cycle). Rows of units that are not listed count nowhere."""
+    scoped = lambda c: graph.scoped(F.col("unit"), F.col(c).cast("string"))
+    edges = dependencies.select("unit", scoped("source").alias("source"), scoped("target").alias("target"))
+    owner = edges.select("unit", F.explode(F.array("source", "target")).alias("node")).distinct()
+    vertices = components.select(scoped("id").alias("node")).distinct()
+    flag = lambda df, name: df.select("unit").distinct().select("unit", F.lit(True).alias(name))
+    missing = flag(owner.join(vertices, "node", "left_anti"), "missing")
+    looped = flag(edges.where("source = target").select("unit").unionByName(owner.join(graph.strongly_connected(edges).select("node"), "node", "left_semi").select("unit")), "looped")
+    count = lambda df, name: df.groupBy("unit").agg(F.count(F.lit(1)).alias(name))
+    levels = diagnostics.groupBy("unit").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+    out = units.select("unit", "repository").distinct()
+    for part in (count(components, "components"), count(dependencies, "dependencies"), levels, missing, looped):
+        out = out.join(part, "unit", "left")
+    out = out.fillna(0, ["components", "dependencies", "errors", "warnings"]).fillna(False, ["missing", "looped"])
+    return out.withColumn("graph_ok", ~F.col("missing")).withColumn("clean", ~F.col("missing") & ~F.col("looped")).drop("missing", "looped")
+
+
+#: Code, groups of parts of a message in lower case: all of one group must occur; the first that fits. Fixed values.
+ERROR_CODES = [
+    ("WORKSPACE_NOT_FOUND", [("workspace", "not found")]), ("REPOSITORY_NOT_FOUND", [("repository", "not found")]), ("TARGET_NOT_FOUND", [("target", "not found")]),
+    ("INVALID_ARGUMENT", [("required",), ("unknown command",)]), ("PATH_NOT_FOUND", [("valid path",), ("no such file",)]),
+]
+
+
+def error_code(message: Column) -> Column:
+    """The code of a message; COMMAND_FAILED, if none fits, and null for null."""
+    low = F.lower(message)
+    out = F.when(message.isNotNull(), "COMMAND_FAILED")
+    for code, groups in reversed(ERROR_CODES):
+        hit = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [low.contains(part) for part in g]) for g in groups])
+        out = F.when(hit, code).otherwise(out)
+    return out
+
+
 def audits_with_names(audits: DataFrame, repositories: DataFrame) -> DataFrame:
     """audits with the name of repositories(id, name); an unknown repository goes by its id."""
     names = repositories.select(F.col("id").alias("repository"), F.col("name").alias("repository_name"))

@@ -169,6 +169,22 @@ def http_edges(s: Scan) -> DataFrame:
     return link.http_links(calls, ends).join(calls.select("call_id", F.col("file").alias("source_file")), "call_id")
 
 
+def audit(s: Scan) -> DataFrame:
+    """repository, components, dependencies, errors, warnings, graph_ok, clean, status, recorded_at (epoch milliseconds): a record of each scanned repository."""
+    units = s.files.select("unit", "repository").distinct()
+    rows = records.audit_rollup(records.unit_audits(units, s.components, s.dependencies, s.diagnostics))
+    return rows.withColumn("status", scoring.audit_status(F.col("graph_ok"), F.col("clean"), F.col("errors"), F.col("warnings"))).withColumn("recorded_at", F.unix_millis(F.current_timestamp()))
+
+
+def summary(s: Scan) -> DataFrame:
+    """One row: how many repositories, units, components, dependencies, entrypoints, calls and cross edges a scan found."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = s.files.agg(F.count_distinct("repository").alias("repositories"))
+    for name in ("units", "components", "dependencies", "entrypoints", "http_calls", "cross"):
+        out = out.crossJoin(one(getattr(s, name), name))  # one row each
+    return out
+
+
 class Engine:
     """The operations a user calls, each on whole tables."""
 
@@ -181,6 +197,8 @@ class Engine:
     scoped_graph = staticmethod(scoped_graph)
     slice_targets = staticmethod(slice_targets)
     validate_scan = staticmethod(validate_scan)
+    audit = staticmethod(audit)
+    summary = staticmethod(summary)
     capsule_of = staticmethod(capsule_of)
     slice = staticmethod(graph.dependency_slice)
     impact = staticmethod(graph.impact_slice)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extract, semantics, technology
+from ..operators import extract, records, scoring, semantics, technology
 from ..session import cut, table
 from ..sources import files as src
 from .registry import query
@@ -299,3 +299,36 @@ def source_requirements(spark, d):
     texts = ["<project><java.version>%v%</java.version></project>", '{"engines": {"node": ">=%v%"}}', '{"require": {"php": "^8.%v%"}}']
     rows = people.select(F.concat(F.lit("c"), "c_custkey").alias("repository"), _cases(["pom.xml", "package.json", "composer.json"], form).alias("rel_path"), _filled(_cases(texts, form), v=F.col("c_nationkey")).alias("t"))
     return technology.runtime_requirements(_placed(rows)).select("unit", "name", "version_hint")
+
+
+# ---------------------------------------------------------------- audits and codes
+
+
+@query("""
+WITH u AS (SELECT c_custkey AS c, any_value(c_nationkey) AS n, count(*) AS k, count_if(o_orderpriority LIKE '1%' AND c_custkey % 13 = 0) AS errors, count_if(o_orderstatus = 'F' AND c_custkey % 3 = 0) AS warnings FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey),
+a AS (SELECT n, k, k - 1 + (c % 5 = 0)::INT + (c % 7 = 0)::INT + (c % 11 = 0)::INT AS deps, errors, warnings, c % 11 <> 0 AS ok, c % 11 <> 0 AND c % 7 <> 0 AND NOT (c % 5 = 0 AND k > 1) AS clean FROM u),
+r AS (SELECT n, sum(k) AS components, sum(deps) AS dependencies, sum(errors) AS errors, sum(warnings) AS warnings, bool_and(ok) AS graph_ok, bool_and(clean) AS clean FROM a GROUP BY n)
+SELECT 'r' || n AS repository, components::BIGINT AS components, dependencies::BIGINT AS dependencies, errors::BIGINT AS errors, warnings::BIGINT AS warnings, graph_ok, clean,
+       CASE WHEN NOT graph_ok OR errors > 0 THEN 'PARTIAL' WHEN NOT clean OR warnings > 0 THEN 'WARNINGS' ELSE 'COMPLETED' END AS status FROM r""")
+def audit_of_units(spark, d):
+    """Audit records from graphs: a unit for each customer, whose orders depend on the first; some lead back to the last, to themselves or nowhere."""
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("r"), "c_nationkey").alias("repository"))
+    orders = cut(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").join(people, "o_custkey").withColumn("unit", F.concat(F.lit("c"), "o_custkey")))
+    ends = orders.groupBy("unit", "o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    edge = lambda df, a, b: df.select("unit", F.col(a).alias("source"), (F.col(b) if isinstance(b, str) else b).alias("target"))
+    deps = edge(orders.join(ends.select("unit", "first"), "unit").where("o_orderkey <> first"), "o_orderkey", "first").unionByName(edge(ends.where("o_custkey % 5 = 0"), "first", "last"))
+    deps = deps.unionByName(edge(ends.where("o_custkey % 7 = 0"), "last", "last")).unionByName(edge(ends.where("o_custkey % 11 = 0"), "first", F.lit(-1).cast("long")))
+    said = [F.when(F.col("o_orderpriority").startswith("1") & (F.col("o_custkey") % 13 == 0), "error"), F.when((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 3 == 0), "warning")]
+    diagnostics = orders.select("unit", F.explode(F.array_compact(F.array(*said))).alias("level"))
+    out = records.audit_rollup(records.unit_audits(orders.select("unit", "repository"), orders.select("unit", F.col("o_orderkey").alias("id")), deps, diagnostics))
+    return out.withColumn("status", scoring.audit_status(F.col("graph_ok"), F.col("clean"), F.col("errors"), F.col("warnings")))
+
+
+@query("""
+WITH m AS (SELECT doc_id, lower(text || CASE doc_id % 8 WHEN 0 THEN ' Workspace Not Found' WHEN 1 THEN ' repository x NOT found' WHEN 2 THEN ' target not found' WHEN 3 THEN ' --name is required' WHEN 4 THEN ' unknown command' WHEN 5 THEN ' no such file' WHEN 6 THEN ' not a valid path' ELSE '' END) AS t FROM documents)
+SELECT doc_id, CASE WHEN contains(t, 'not found') AND contains(t, 'workspace') THEN 'WORKSPACE_NOT_FOUND' WHEN contains(t, 'not found') AND contains(t, 'repository') THEN 'REPOSITORY_NOT_FOUND' WHEN contains(t, 'not found') AND contains(t, 'target') THEN 'TARGET_NOT_FOUND'
+  WHEN regexp_matches(t, 'required|unknown command') THEN 'INVALID_ARGUMENT' WHEN regexp_matches(t, 'valid path|no such file') THEN 'PATH_NOT_FOUND' WHEN t IS NOT NULL THEN 'COMMAND_FAILED' END AS code FROM m""")
+def error_codes(spark, d):
+    """The code of each document's text, read as a message."""
+    ends = [" Workspace Not Found", " repository x NOT found", " target not found", " --name is required", " unknown command", " no such file", " not a valid path", ""]
+    return table(spark, d, "documents").select("doc_id", records.error_code(F.concat("text", _cases(ends, F.pmod("doc_id", F.lit(8))))).alias("code"))
