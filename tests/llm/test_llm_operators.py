@@ -1,8 +1,10 @@
 """The training-data operators against brute force, on rows with every odd case."""
 
 import hashlib
+import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -313,6 +315,28 @@ def test_encoder_equals_the_tokenizer_in_groups_and_blocks():
         assert list(e.encode_all(texts, group)) == [e._encode(t) for t in texts]
 
 
+def test_encoder_keeps_nothing_of_plain_texts():
+    e = packing.Encoder(Path(tokenizer_path()).read_bytes())
+    e.encode("warm up")
+    tracemalloc.start()
+    for first in range(0, 60_000, 2000):
+        e.encode(" ".join("w" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(first, first + 2000)))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 1 << 20  # a table of 60 000 words takes over 10 MB
+
+
+def test_encoder_without_the_known_form_of_vocabulary():
+    spec = json.loads(Path(tokenizer_path()).read_bytes())
+    vocab = spec["model"]["vocab"]
+    vocab["th"], vocab["in"] = vocab["in"], vocab["th"]  # ids no longer follow the merges
+    other = json.dumps(spec).encode()
+    assert packing.word_ranks(other) is None
+    e = packing.Encoder(other)
+    for t in ("the inn, thin in", "", "a <|endoftext|> b", "it's 12"):
+        assert e.encode(t) == e._encode(t)
+
+
 def test_packing(spark):
     rows = odd_rows() + [(500 + i, t) for i, t in enumerate(ODD_TEXTS)]
     got = packing.pack_documents(docs_of(spark, rows), tokenizer_path(), length=64, with_ids=True).toPandas()

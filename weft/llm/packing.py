@@ -14,7 +14,10 @@ table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
+import re
 import threading
 import zlib
 from collections.abc import Iterator
@@ -23,91 +26,127 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..session import cut
+from .alignment import byte_level
 from .common import trim
 
-#: How this tokenizer's file splits lower-cased text; other vocabularies are encoded chunk by chunk.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-#: Letters whose lower case and composed form leave no doubt; other chunks are encoded whole.
-_LATIN = regex.compile(r"[\p{ASCII}À-ÖØ-öø-ÿ]+").fullmatch
+#: How this tokenizer's file prepares and splits texts; other vocabularies are encoded chunk by chunk.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SUFFIX = "</w>"
+#: Texts of letters whose lower case and composed form leave no doubt, and how SPLIT splits them in lower case.
+_PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
+
+
+def _merged(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    while len(symbols) > 1:
+        best, i = min((rank.get(pair, len(rank)), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
+        if best == len(rank):
+            break
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+    return symbols
+
+
+def word_ranks(vocabulary: bytes) -> dict[bytes, int] | None:
+    """Tokens as bytes, a blank for the end of a word, with their ids; none if the file does not prepare texts as
+    above or if merging by least id could differ from its merges.
+
+    It cannot differ where ids follow the merges and each token's own merges lead to it: then whenever two tokens
+    meet that make up a third, they are that token's merge. No word holds a blank, so the end has a byte of its own."""
+    spec = json.loads(vocabulary)
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    norm = (spec["normalizer"] or {}).get("normalizers")
+    splits = [(p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in (pre or {}).get("pretokenizers", [])]
+    if norm != NORMALIZERS or splits != [({"Regex": SPLIT}, "Removed", True, None, None), (None, None, None, False, False)]:
+        return None
+    plain = not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"])
+    if model["type"] != "BPE" or model["end_of_word_suffix"] != SUFFIX or not plain or not all(t["content"].startswith("<|") for t in spec["added_tokens"]):
+        return None
+    vocab, alphabet = model["vocab"], byte_level()
+    pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    single = [c + e for e in ("", SUFFIX) for c in alphabet]
+    made = [a + b for a, b in pairs]
+    if any(t not in vocab for t in single + made) or len({*single, *made}) != len(single) + len(made) or len(vocab) != len(single) + len(made):
+        return None
+    order = [vocab[t] for t in made]
+    rank = {p: i for i, p in enumerate(pairs)}
+    if order != sorted(order) or order and order[0] <= max(vocab[t] for t in single):
+        return None
+    out = {}
+    for token, i in vocab.items():
+        ends = token.endswith(SUFFIX) and token != SUFFIX
+        letters = list(token[: -len(SUFFIX)] if ends else token)
+        out[bytes(alphabet[c] for c in letters) + b" " * ends] = i
+        if len(_merged(letters[:-1] + [letters[-1] + SUFFIX * ends], rank)) > 1:
+            return None
+    return out if len(out) == len(vocab) else None
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
-    The vocabulary's pieces never cross a blank, so ids are looked up by chunk
-    between spaces and line ends, and texts are encoded in groups that learn their
-    new chunks at once. Chunks and parts are kept in two generations: when the
-    young one is full it becomes the old one, and what is met again moves back, so
-    memory is bounded and frequent chunks are learned once."""
+    Plain texts are split here and merged by tiktoken with the ids of the file. The vocabulary's pieces never cross
+    a blank, so of other texts the chunks between spaces and line ends that are not plain go through the tokenizer
+    itself. Short ones are kept in two generations: when the young one is full it becomes the old one, and what is
+    met again moves back, so memory is bounded; nothing is kept of plain texts."""
 
-    def __init__(self, vocabulary: bytes, entries: int = 350_000):
+    def __init__(self, vocabulary: bytes, entries: int = 50_000):
+        self.vocabulary, self.entries = vocabulary, entries
+        self.odd: dict[str, bytes] = {}
+        self.old_odd: dict[str, bytes] = {}
+        ranks, self.fast = word_ranks(vocabulary), None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.entries = Tokenizer.from_str(vocabulary.decode()), entries
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        return Tokenizer.from_str(self.vocabulary.decode())
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of chunks not seen yet; all parts among them that are new go through the tokenizer in a few calls."""
-        parts, split = self.parts, {}
-        for c in new:
-            if "<|" in c or not (c.isascii() or _LATIN(c)):
-                self.chunks[c] = self._encode(c)
-            else:
-                split[c] = _PARTS(c.lower())
-        missing = {p for ps in split.values() for p in ps}.difference(parts)
-        parts.update({p: self.old_parts[p] for p in missing & self.old_parts.keys()})
-        left = list(missing.difference(parts))
-        for first in range(0, len(left), 5000):
-            some = left[first : first + 5000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(some)), side="right").tolist()
-            at = 0
-            for p, z in zip(some, ends):
-                parts[p] = ids[4 * at : 4 * z]
-                at = z
-        for c, ps in split.items():
-            self.chunks[c] = b"".join([parts[p] for p in ps])
-
-    def _ready(self, words: list[list[str]]) -> None:
-        """All chunks of words are in the young generation."""
-        if len(self.chunks) > self.entries:
-            self.chunks, self.old_chunks = {}, self.chunks
-        if len(self.parts) > self.entries:
-            self.parts, self.old_parts = {}, self.parts
-        new = set().union(*words).difference(self.chunks)
-        kept = new & self.old_chunks.keys()
-        self.chunks.update({w: self.old_chunks[w] for w in kept})
-        self._learn(new - kept)
-
-    def encode_all(self, texts: list[str | None], group: int = 1 << 20) -> Iterator[bytes]:
-        """Ids of each text. Short texts go together, long ones in blocks that end at a blank."""
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to] or "") <= group):
-                size += len(texts[to] or "")
-                to += 1
-            if size > 2 * group:
-                yield b"".join(i for block in _blocks(texts[at], group) for i in self.encode_all([block], len(block)))
+    def _is_plain(self, text: str) -> bool:
+        return self.fast is not None and _PLAIN(text) is not None and "<|" not in text
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.fast(" ".join(_PARTS(text.lower())) + " "), "<u4").tobytes()
+
+    def _odd(self, chunk: str) -> bytes:
+        ids = self.odd.get(chunk)
+        if ids is None:
+            ids = self.old_odd[chunk] if chunk in self.old_odd else self._encode(chunk)
+            if len(chunk) <= 64:
+                if len(self.odd) >= self.entries:
+                    self.odd, self.old_odd = {}, self.odd
+                self.odd[chunk] = ids
+        return ids
+
+    def _mixed(self, text: str) -> bytes:
+        out, run = [], []
+        for chunk in text.replace("\n", " ").split(" "):
+            if self._is_plain(chunk):
+                run.append(chunk)
             else:
-                words = [(t or "").replace("\n", " ").split(" ") for t in texts[at:to]]
-                self._ready(words)
-                for ws in words:
-                    yield b"".join(map(self.chunks.__getitem__, ws))
-            at = to
+                if run:
+                    out.append(self._plain(" ".join(run)))
+                    run = []
+                out.append(self._odd(chunk))
+        return b"".join([*out, self._plain(" ".join(run))] if run else out)
+
+    def encode_all(self, texts: list[str | None], size: int = 1 << 20) -> Iterator[bytes]:
+        """Ids of each text; long ones in blocks that end at a blank."""
+        for t in texts:
+            blocks = _blocks(t, size) if t and len(t) > 2 * size else [t or ""]
+            yield b"".join([self._plain(x) if self._is_plain(x) else self._mixed(x) for x in blocks])
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
