@@ -78,3 +78,12 @@ def test_long_texts_cross_blocks(monkeypatch):
     same, counts2 = windows.word_units(data)
     assert counts.tolist() == counts2.tolist() == [120, 0, 2]
     assert len(set(hashes.tolist())) == 5 and (hashes == same).all()
+
+
+def test_hot_regions_give_runs_not_windows(spark):
+    """A place of a region is joined with one row for all its windows, however many repeat."""
+    text = bytes(range(32, 127)) + bytes(range(32, 127))[::-1]
+    kind = windows.Kind("byte", 40, 16, None)
+    regions = spark.createDataFrame([(b"r1", 2, bytearray(text)), (b"r2", 1, bytearray(b"?" + text[:60] + b"!" + text[100:145] + b"~"))], "rid binary, n long, content binary")
+    got = sorted((bytes(r["rid"]), r["s0"], r["s1"]) for r in windows._one_by_one(regions, kind).collect())
+    assert got == [(b"r1", 0, len(text) - 40), (b"r2", 1, 21), (b"r2", 62, 67)]

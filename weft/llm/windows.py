@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -250,8 +250,11 @@ def remove_repeats(
     if total[1]:
         repeats = repeats.unionByName(_one_by_one(regions.where("hot"), kind))
 
-    back = found.select("rid", "key", "a").join(repeats, "rid")
-    spans = back.groupBy("key").agg(F.collect_set(F.struct((F.col("a") + F.col("s0")).alias("s0"), (F.col("a") + F.col("s1") + length).alias("s1"))).alias("cuts"))
+    # one row a region, with all its runs: each place of a region is joined with one row; bounded by the region's own length
+    runs = repeats.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s0", "s1"))).alias("runs"))
+    back = found.select("rid", "key", "a").join(runs, "rid")
+    moved = F.transform("runs", lambda r: F.struct((F.col("a") + r["s0"]).alias("s0"), (F.col("a") + r["s1"] + length).alias("s1")))
+    spans = back.groupBy("key").agg(F.flatten(F.collect_set(moved)).alias("cuts"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -308,4 +311,6 @@ def _one_by_one(regions: DataFrame, kind: Kind) -> DataFrame:
 
     w = regions.select("rid", "n", "content").mapInArrow(windows, "rid binary, n long, w binary, s long")
     often = w.groupBy("w").agg(F.sum("n").alias("m")).where("m > 1").select("w")
-    return w.join(often, "w").select("rid", F.col("s").alias("s0"), F.col("s").alias("s1"))
+    again = w.join(often, "w").select("rid", "s")
+    island = F.col("s") - F.row_number().over(Window.partitionBy("rid").orderBy("s"))  # the same for windows in a row
+    return again.withColumn("i", island).groupBy("rid", "i").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).drop("i")
