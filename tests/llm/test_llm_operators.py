@@ -355,6 +355,24 @@ def test_packing(spark):
     assert got["sequence_id"].nunique() <= 1.05 * least + 2
 
 
+def test_ann_later_lists_write_what_reaches_the_bound(spark):
+    x = np.random.default_rng(5).normal(size=(1200, 8)).astype(np.float32)
+    wide, ids = x.astype(float), np.arange(len(x))
+    every = ann.top(wide[:20], wide, ids, 6)
+    least = np.full(20, -2.0)
+    least[:10] = every[2].reshape(20, 6)[:10, -1]
+    assert all((a == b).all() for a, b in zip(every, ann.top(wide[:20], wide, ids, 6, least)))
+    assert len(ann.top(wide[:20], wide, ids, 6, np.where(least > -2, 1.5, least))[0]) == 60
+    assert [ann.rounds_of(n, 2).tolist() for n in (1, 2, 5)] == [[0], [0, 0], [0, 0, 0, 1, 1]] and (ann.rounds_of(400, 2) == 0).sum() == 20
+    # with all lists visited, answers are exact
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(df, F.col("vec_id") % 50 == 0, k=5, rows_per_list=12, ratio=1e9).collect()}
+    y = ann.unit(wide)
+    for i in range(0, 1200, 50):
+        near = [j for j in np.lexsort((ids, -(y @ y[i]))) if j != i][:5]
+        assert [got[i, r + 1] for r in range(5)] == near
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 16))

@@ -9,6 +9,11 @@ Long lists, and lists that many queries visit, are dealt in blocks of bounded
 size, each block of rows against each block of queries, so no task holds a whole
 list. Scores are computed in double precision on the original vectors.
 
+A query visits its lists in two rounds: the nearest first, the square root of their
+number, then the others. What the first has found bounds the second: a row below a
+query's k + 1 best so far cannot be in its answer and is not written. All lists are
+read, but a query's scores grow with the root of its lists instead of their number.
+
 Equal vectors are indexed once; of each, the k + 1 smallest ids are kept, which
 is all that an answer of k can name, so copies cost nothing and none is lost.
 
@@ -51,7 +56,7 @@ class Index:
     start: int
 
     def lists(self, q: np.ndarray, ratio: float) -> np.ndarray:
-        """Lists within ratio of the nearest, found by best-first search over the graph."""
+        """Lists within ratio of the nearest, nearest first, found by best-first search over the graph."""
         c = self.centroids
         dist = lambda i: np.sqrt(np.maximum(0, 2 - 2 * (c[i] @ q)))
         seen = np.zeros(len(c), bool)
@@ -71,7 +76,7 @@ class Index:
                     best = min(best, x)
                     heapq.heappush(heap, (x, j))
         found += heap
-        return np.array(sorted(i for d, i in found if d <= best * ratio + 1e-9), np.int64)
+        return np.array([i for d, i in sorted(found) if d <= best * ratio + 1e-9], np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -123,13 +128,21 @@ def postings(centroids: np.ndarray, x: np.ndarray, replicas: int, boundary: floa
     return row, own[row, col]
 
 
-def top(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, row's place, cosine) of the k best rows of each query, ties to the smaller id."""
+def rounds_of(lists: int, rounds: int) -> np.ndarray:
+    """The round of each of a query's lists, nearest first: round r ends at lists ** ((r + 1) / rounds)."""
+    ends = np.ceil(lists ** (np.arange(1, rounds) / rounds) - 1e-9)
+    return np.searchsorted(ends, np.arange(lists), side="right")
+
+
+def top(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, row's place, cosine) of the k best rows of each query, ties to the smaller id; none below least, if given."""
     rough = unit(queries) @ unit(rows).T
     if rough.shape[1] > k:
         limit = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] - 1e-9
     else:
         limit = np.full(len(queries), -2.0)
+    if least is not None:
+        limit = np.maximum(limit, least - 1e-9)
     qi, ri = np.nonzero(rough >= limit[:, None])
     a, b = queries[qi], rows[ri]
     score = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
@@ -137,12 +150,15 @@ def top(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple
     qi, ri, score = qi[order], ri[order], score[order]
     place = np.arange(len(qi)) - np.searchsorted(qi, qi)
     keep = place < k
+    if least is not None:
+        keep &= score >= least[qi] - 1e-12  # what the rounding of equal vectors' scores may differ by
     return qi[keep], ri[keep], score[keep]
 
 
 def search(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds. how: see _search."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # floats are widened where they are scored
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), is_query.alias("q"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.where(F.col("id").isNotNull() & fine)
     lengths = sorted(r["n"] for r in v.select(F.size("v").alias("n")).distinct().collect())  # nearly always one
@@ -153,7 +169,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "ve
 
 def _search(
     v: DataFrame, dim: int, k: int, rows_per_list: int = 120, replicas: int = 2, boundary: float = 1.03,
-    ratio: float = 1.28, sample_rows: int = 20_000, block: int = 2048,
+    ratio: float = 1.28, sample_rows: int = 20_000, block: int = 2048, rounds: int = 2,
 ) -> DataFrame:
     """Of v(id, v, q), vectors of one length."""
     spark = v.sparkSession
@@ -184,31 +200,46 @@ def _search(
                 continue
             found = [ix.lists(q, ratio) for q in unit(_matrix(b["v"]))]
             row = np.repeat(np.arange(len(b)), [len(f) for f in found])
-            yield pd.DataFrame({"list": np.concatenate(found), "qrep": b["qrep"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
+            turn = np.concatenate([rounds_of(len(f), rounds) for f in found])
+            yield pd.DataFrame({"list": np.concatenate(found), "round": turn, "qrep": b["qrep"].to_numpy()[row]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: small partitions would be joined to one task
-    posted = distinct.select("rep", "v").mapInPandas(place, "list long, rep long, v array<double>")
-    visits = asked.groupBy("qrep").agg(F.first("v").alias("v")).repartition(parts, "qrep").mapInPandas(visit, "list long, qrep long, v array<double>")
+    kind = dict(distinct.dtypes)["v"]
+    posted = distinct.select("rep", "v").mapInPandas(place, f"list long, rep long, v {kind}")
+    queries = asked.groupBy("qrep").agg(F.first("v").alias("v"))
+    visits = queries.repartition(parts, "qrep").mapInPandas(visit, "list long, round int, qrep long")
     posted, visits = cut(posted), cut(visits)
-    # blocks by list: their numbers are as many as centroids, so they may be broadcast
-    splits = F.broadcast(
-        posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rs"))
-        .join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qs")), "list")
-    )
     steps = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = posted.join(splits, "list").withColumn("rb", F.pmod(F.xxhash64("rep"), F.col("rs")).cast("int")).withColumn("qb", steps("qs"))
-    right = visits.join(splits, "list").withColumn("qb", F.pmod(F.xxhash64("qrep"), F.col("qs")).cast("int")).withColumn("rb", steps("rs"))
+    key = ["list", "rb", "qb"]
 
     def score(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"qrep": [], "rep": [], "score": []})
         reps = rows["rep"].to_numpy()
-        qi, ri, s = top(_matrix(queries["v"]), _matrix(rows["v"]), reps, k + 1)
+        qi, ri, s = top(_matrix(queries["v"]), _matrix(rows["v"]), reps, k + 1, queries["least"].to_numpy())
         return pd.DataFrame({"qrep": queries["qrep"].to_numpy()[qi], "rep": reps[ri], "score": s})
 
-    key = ["list", "rb", "qb"]
-    hits = left.select(*key, "rep", "v").groupBy(*key).cogroup(right.select(*key, "qrep", "v").groupBy(*key)).applyInPandas(score, "qrep long, rep long, score double")
-    hits = hits.groupBy("qrep", "rep").agg(F.max("score").alias("score"))
+    def scored(asking: DataFrame) -> DataFrame:
+        """Scores of the rows in the lists that asking(list, qrep, v, least) visits."""
+        # blocks by list: their numbers are as many as centroids, so they may be broadcast
+        splits = F.broadcast(
+            posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rs"))
+            .join(asking.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qs")), "list")
+        )
+        left = posted.join(splits, "list").withColumn("rb", F.pmod(F.xxhash64("rep"), F.col("rs")).cast("int")).withColumn("qb", steps("qs"))
+        right = asking.join(splits, "list").withColumn("qb", F.pmod(F.xxhash64("qrep"), F.col("qs")).cast("int")).withColumn("rb", steps("rs"))
+        sides = left.select(*key, "rep", "v").groupBy(*key).cogroup(right.select(*key, "qrep", "v", "least").groupBy(*key))
+        return sides.applyInPandas(score, "qrep long, rep long, score double")
+
+    hits, bounded = None, queries.withColumn("least", F.lit(-2.0))
+    for r in range(rounds):
+        found = scored(visits.where(F.col("round") == r).join(bounded, "qrep").select("list", "qrep", "v", "least"))
+        hits = (found if hits is None else hits.unionByName(found)).groupBy("qrep", "rep").agg(F.max("score").alias("score"))
+        if r < rounds - 1:
+            nth = F.row_number().over(Window.partitionBy("qrep").orderBy(F.desc("score"), "rep"))
+            hits = cut(hits.withColumn("n", nth).where(F.col("n") <= k + 1).drop("n"))  # k + 1 rows a query
+            least = hits.groupBy("qrep").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("m")).where(F.col("m") > k).select("qrep", "least")
+            bounded = queries.join(least, "qrep", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
     best = Window.partitionBy("qrep").orderBy(F.desc("score"), "rep")
     hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     named = hits.join(distinct.select("rep", "ids"), "rep").select("qrep", "score", F.explode("ids").alias("vec_id"))
