@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -296,6 +297,46 @@ def test_scorer_equals_direct_convolution():
         assert toxicity.Scorer(model).score([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
+def test_scorer_holds_little_for_each_distinct_word():
+    model = toxicity.train(["a bad word here", "fine text", "bad", "good"] * 10, np.array([1, 0, 1, 0] * 10), epochs=1)
+    texts = [" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, 160_000, 1000)]
+    first = toxicity.Scorer(model).score(texts[-1:])
+    tracemalloc.start()
+    scores = toxicity.Scorer(model).score(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert scores[-1] == first[0]  # whatever came before
+    assert peak < 90  # MB; 216 where products with all filters were kept
+
+
+def test_scored_batches_are_few_rows_at_a_time(spark):
+    n = 2 * toxicity.ROWS + 7
+    whole = pa.RecordBatch.from_pydict({"t": [f"text {i}" if i % 3 else None for i in range(n)]})
+    parts = list(toxicity.few(iter([whole, whole.slice(0, 0), whole])))
+    assert [p.num_rows for p in parts] == [toxicity.ROWS, toxicity.ROWS, 7] * 2
+    assert pa.Table.from_batches(parts[:3]).to_pylist() == whole.to_pylist()
+    model = toxicity.train(["a bad word here", "fine text", "bad", "good"] * 10, np.array([1, 0, 1, 0] * 10), epochs=1)
+    docs = spark.createDataFrame([(i, f"text {i} bad" if i % 3 else None, [f"{i}", None]) for i in range(n)], "doc_id long, text string, more array<string>")
+    out = toxicity.score(docs.coalesce(1), model).collect()
+    want = toxicity.Scorer(model).score([f"text {i} bad" if i % 3 else None for i in range(n)])
+    assert sorted((r["doc_id"], r["more"], r["__score"]) for r in out) == [(i, [f"{i}", None], s) for i, s in enumerate(want)]
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "decimal(9,2)", "binary"])
+def test_toxicity_samples_ids_of_any_type(spark, monkeypatch, kind):
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(list(zip(texts, y.tolist()))) or train(texts, y, epochs=1))
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        ids = spark.range(200).select("id", F.expr({"timestamp": "timestamp_seconds(id * 1000)", "binary": "CAST(CAST(id AS STRING) AS BINARY)"}.get(kind, f"CAST(id AS {kind})")).alias("doc_id"))
+        docs = ids.select("doc_id", F.concat(F.lit("text "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, " bad").otherwise("")).alias("text"))
+        toxicity.fit(docs, ids.select("doc_id", (F.col("id") % 3 == 0).cast("int").alias("toxic")), sample_rows=40)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert len(seen[0]) == 40 and all(y == t.endswith("bad") for t, y in seen[0])
+
+
 ODD_TEXTS = ["", " ", "a <|endoftext|> b", "x<|startoftext|>y", "Σας ΟΔΟΣ", "é é ́ a", "foo\x1cbar\x85baz q", "don't  we'll 'S", "İSTANBUL ǅ ß", "½ ² x²", "日本語 テキスト", "a" * 5000, "１２ ab12cd"]
 
 

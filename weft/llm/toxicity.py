@@ -12,8 +12,9 @@ documented bounds: ids in the order of a hash, of each id the text with the smal
 hash, texts that would pass the second bound left out. Thresholds
 cover all other labelled rows that are not held out, and the fifth of the sample
 that is held back: Spark scores them and counts by language and score bin. Scoring
-runs over whole texts in Arrow batches. For scoring, each word's products with
-all filters are computed once and looked up, which equals the convolution.
+runs over whole texts in Arrow batches, of which ROWS rows at a time are texts in Python.
+For scoring, each word's vector is computed once and looked up; a text's vectors are
+multiplied with all filters at once, which equals the convolution, and only for it.
 
 Edge cases: null and empty texts are scored as texts without words; null labels
 take no part in training, of repeated labels the largest counts; without labels
@@ -41,8 +42,10 @@ PREFIXES = (3, 4, 5, 6, 7)
 WIDTHS = (1, 2, 3)
 THRESHOLD = 0.3
 PAD = max(WIDTHS) - 1
-#: Words a task keeps products for before it starts anew.
+#: Words a task keeps vectors for before it starts anew: 4 bytes x dim each.
 VOCABULARY = 250_000
+#: Rows scored at a time: what a worker holds besides a batch does not grow with the batch.
+ROWS = 256
 #: Bits that tell which ids may be labelled: 1 MB.
 BITS = 1 << 23
 
@@ -77,26 +80,24 @@ class Model:
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def products(self, words: list[str]) -> np.ndarray:
-        """A row of (width, place, filter) products for each word."""
-        vec = self.embed[feature_table(words, len(self.embed))].sum(1)
-        return np.concatenate([vec @ f[j] for f in self.filters for j in range(len(f))], axis=1)
+    def vectors(self, words: list[str]) -> np.ndarray:
+        return self.embed[feature_table(words, len(self.embed))].sum(1)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return pooled @ self.out + self.out_bias
 
 
 class Scorer:
-    """Scores texts one by one, with a bounded table of word products."""
+    """Scores texts one by one, with a bounded table of word vectors."""
 
     def __init__(self, model: Model):
         self.model, self.n = model, model.filters[0].shape[2]
+        self.filters = np.concatenate([f[j] for f in model.filters for j in range(len(f))], axis=1)  # columns: width, place, filter
         self.reset()
 
     def reset(self) -> None:
-        width = self.n * sum(len(f) for f in self.model.filters)
         self.ids: dict[str, int] = {}
-        self.rows = np.zeros((4096, width), np.float32)  # row 0: padding
+        self.rows = np.zeros((4096, self.model.embed.shape[1]), np.float32)  # row 0: padding
 
     def ids_of(self, words: list[str]) -> np.ndarray:
         if len(self.ids) > VOCABULARY:
@@ -110,7 +111,7 @@ class Scorer:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
-                self.rows[first + at : first + at + len(part)] = self.model.products(part)
+                self.rows[first + at : first + at + len(part)] = self.model.vectors(part)
             self.ids.update(zip(new, range(first, first + len(new))))
             got = [get(w) for w in words]
         return np.array(got, np.int64)
@@ -122,7 +123,7 @@ class Scorer:
             ids = self.ids_of(words[at : at + 20_000 + PAD])
             pad = np.zeros(PAD, np.int64)
             ids = np.concatenate([pad if at == 0 else pad[:0], ids, pad if at + 20_000 >= len(words) else pad[:0]])
-            rows, col = self.rows[ids], 0
+            rows, col = self.rows[ids] @ self.filters, 0
             for k, f in enumerate(self.model.filters):
                 w = len(f)
                 m = len(ids) - w + 1
@@ -144,6 +145,13 @@ class Scorer:
         return _sigmoid(self.logits(texts))
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, at most ROWS at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
@@ -267,7 +275,7 @@ def calibrate(model: Model, texts: DataFrame, known: DataFrame, bin_width: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, bits = sent.value
         scorer = Scorer(mine)
-        for b in batches:
+        for b in few(batches):
             h = b.column(3).to_numpy()
             b = b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scorer.logits(b.column(1).to_pylist()), pa.float64())], names)
@@ -311,21 +319,25 @@ def fit(
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), lang.alias("lang"))
     rows = texts.join(F.broadcast(marks), "__id").withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
-    sizes = rows.groupBy("__id").agg(F.min(F.struct("h", F.octet_length(F.coalesce("t", F.lit(""))).alias("n"))).alias("x")).select("__id", "x.h", "x.n").collect()
+    sizes = rows.groupBy("__id").agg(F.min(F.struct("h", F.octet_length(F.coalesce("t", F.lit(""))).alias("n"))).alias("x")).select("__id", "x.h", "x.n").toArrow()
+    ids, n = sizes["__id"].to_pylist(), sizes["n"].to_pylist()
     left, chosen = sample_mb * 1e6, []
-    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])):
-        if r["n"] <= left:
-            left -= r["n"]
-            chosen.append((r["__id"], r["h"]))
-    schema = StructType([known.schema["__id"], StructField("h", LongType())])
-    mine = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, schema)), ["__id", "h"])
-    got = mine.groupBy("__id").agg(F.first("t").alias("t"), F.first("__toxic").alias("__toxic")).collect()  # equal texts
-    got = sorted(got, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    for i in sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i])):
+        if n[i] <= left:
+            left -= n[i]
+            chosen.append(i)
+    # tables go to Spark as Arrow: from lists it makes them in Python workers of another kind, which stay beside those that score
+    picked = sizes.take(pa.array(chosen, pa.int64())).select(["__id", "h"])
+    schema = StructType([known.schema["__id"], StructField("h", LongType()), StructField("at", LongType())])
+    places = docs.sparkSession.createDataFrame(picked.append_column("at", pa.array(range(len(chosen)), pa.int64())), schema)
+    mine = rows.join(F.broadcast(places), ["__id", "h"])
+    got = mine.groupBy("at").agg(F.first("t").alias("t"), F.first("__toxic").alias("__toxic")).collect()  # equal texts
+    got = sorted(got, key=lambda r: r["at"])
     y = np.array([int(r["__toxic"] > 0) for r in got])
     model = train([r["t"] for r in got], y)
     if len(y) and y.min() < y.max():
-        learned = sorted({(r[0],) for r, back in zip(got, held_back(len(got))) if not back})
-        learned = docs.sparkSession.createDataFrame(learned, StructType([known.schema["__id"]]))
+        learned = [r["at"] for r, back in zip(got, held_back(len(got))) if not back]
+        learned = docs.sparkSession.createDataFrame(picked.select(["__id"]).take(pa.array(learned, pa.int64())), StructType([known.schema["__id"]]))
         calibrate(model, texts, known.join(F.broadcast(learned), "__id", "left_anti"))
     return model
 
@@ -339,7 +351,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in few(batches):
             s = scorer.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "__score"])
         del scorer
