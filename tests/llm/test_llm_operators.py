@@ -583,3 +583,14 @@ def test_op10_keeps_equal_rows(spark, tmp_path):
     got = {r["conv_id"]: r for r in queries.op10_chat_formatting(spark, str(tmp_path)).collect()}
     assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (5, 4, hashlib.sha256(b"okok").hexdigest())
     assert (got[None]["n_turns"], got[None]["turns_sha256"]) == (2, hashlib.sha256(b"assistant\na\n" * 2).hexdigest())
+
+
+def test_simhash_broadcasts_no_table_of_signatures(spark, monkeypatch):
+    """Spark sizes the signatures as if each fingerprint had one."""
+    planned = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    plans = []
+    monkeypatch.setattr(simhash, "cut", lambda df, cut=simhash.cut: plans.append(planned(df)) or cut(df))
+    out = simhash.near_duplicates(docs_of(spark, [(i, f"a b c d{i} e{i} f{i}") for i in range(40)]), words=3)
+    keyed = [p for p in plans if "Generate explode" in p and "SortMergeJoin" in p]
+    assert len(keyed) == 1 and "BroadcastHashJoin" not in keyed[0] and "BroadcastHashJoin" not in planned(out).split("Scan parquet")[0]
+    assert {r["component"] for r in out.collect()} <= set(range(40)) and out.count() == 40

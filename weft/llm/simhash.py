@@ -164,7 +164,8 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_rows: int = 4096) -> DataFra
     sizes = sizes.where((F.col("n") > 1) & ((F.col("seg") % 65 == 0) | (F.col("lo") < F.col("hi"))))
     own = F.array(*[F.lit(_signed(((1 << width) - 1) << at)) for at, width in segments(max_bits)])
     used = F.element_at(own, (F.floor(F.col("seg") / 65) + 1).cast("int"))
-    buckets = cut(keys.join(sizes.select("seg", "rest"), ["seg", "rest"]).select(F.xxhash64("seg", "rest").alias("g"), used.alias("used"), "fp"))
+    # Spark sizes both sides as if a fingerprint were one key, not over sixty, so it must not choose to broadcast one
+    buckets = cut(keys.join(sizes.select("seg", "rest").hint("merge"), ["seg", "rest"]).select(F.xxhash64("seg", "rest").alias("g"), used.alias("used"), "fp"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         e = forest(np.unique(pdf["fp"].to_numpy().view(np.uint64)), max_bits)
@@ -203,10 +204,11 @@ def near_duplicates(
     # dealt in turn: small partitions by fingerprint would be joined to few before each row becomes many signatures
     distinct = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     roots = components(links(distinct.select("fp"), max_bits))
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # files of ids and fingerprints can be much smaller than their rows: nothing with a row a document is broadcast by its file's size
+    linked = distinct.join(roots.hint("merge"), distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = linked.join(heads, "root").select("fp", "component")
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    return fps.join(by_fp.hint("merge"), "fp").select("id", "fp", "component")
 
 
 def hex16(fp: F.Column) -> F.Column:
