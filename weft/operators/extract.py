@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a64
-from . import route_groups, scoring, structure, text
+from ..session import cut_counted
+from . import graph, route_groups, scoring, structure, text
 
 # ---------------------------------------------------------------- comments
 
@@ -115,7 +116,7 @@ def ts_aliases(files: DataFrame) -> DataFrame:
 def aliased(found: DataFrame, aliases: DataFrame) -> DataFrame:
     """imports with the specifiers that their unit's aliases stand for, beside the specifiers themselves; a folder's aliases serve what lies below it."""
     js = found.where(F.col("language").isin("TypeScript", "JavaScript", "Vue", "Svelte", "Astro") & ~F.col("specifier").startswith("."))
-    hit = js.join(aliases, "unit").where(
+    hit = js.join(graph.sent(*cut_counted(aliases)), "unit").where(
         ((F.col("folder") == "") | F.col("rel_path").startswith(F.concat("folder", F.lit("/"))))
         & F.when(F.col("pattern").contains("*"), F.col("specifier").startswith(F.col("head")) & F.col("specifier").endswith(F.col("tail"))).otherwise(F.col("specifier") == F.col("pattern"))
     )  # an equi join on the unit, whose configuration names few aliases
@@ -146,31 +147,48 @@ ENDINGS = {
 }
 
 
-def import_candidates(found: DataFrame) -> DataFrame:
-    """ref, unit, path, ord: files that a specifier may mean, in order of preference."""
+def _ends(language: Column) -> Column:
+    """What a specifier of a language may leave out, in order of preference; nothing comes first."""
+    ends = F.array(F.lit(""), *map(F.lit, ENDINGS[None]))
+    for family, own in ENDINGS.items():
+        if family:
+            ends = F.when(language.isin(*family), F.array(F.lit(""), *map(F.lit, own))).otherwise(ends)
+    return ends
+
+
+def import_stems(found: DataFrame) -> DataFrame:
+    """unit, rel_path, language, stem: the path that an import means, but for an ending of its language."""
     base = F.regexp_replace("rel_path", "/?[^/]*$", "")
     relative = F.col("specifier").startswith(".")
     dotted = F.regexp_replace(F.regexp_replace("specifier", r"\.\*$", ""), r"[.\\]", "/")
     stem = F.when(relative & F.col("specifier").contains("/"), joined_path(base, F.col("specifier"))).when(F.col("language").isin("Ruby", "Rust"), joined_path(base, F.col("specifier"))).otherwise(F.when(F.col("specifier").contains("/"), F.regexp_replace("specifier", "^/", "")).otherwise(dotted))
-    ends = F.array(F.lit(""), *map(F.lit, ENDINGS[None]))
-    for family, own in ENDINGS.items():
-        if family:
-            ends = F.when(F.col("language").isin(*family), F.array(F.lit(""), *map(F.lit, own))).otherwise(ends)
-    tries = F.transform(ends, lambda e: F.concat(stem, e))
-    return found.select("unit", "rel_path", "specifier", F.posexplode(tries).alias("ord", "path"))
+    return found.select("unit", "rel_path", "language", stem.alias("stem"))
+
+
+def file_stems(files: DataFrame) -> DataFrame:
+    """unit, stem, ending, exact, least, most: the file that is stem and ending, and the first and last that end in them below a folder of theirs."""
+    parts = F.split("rel_path", "/")
+    n = F.size(parts)
+    # an end of one segment is no path
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((i == 1).alias("whole"), F.array_join(F.slice(parts, i, n), "/").alias("path")))
+    known = files.select("unit", F.col("rel_path").alias("full"), F.explode(ends).alias("x")).select("unit", "full", "x.*")
+    every = F.array(*map(F.lit, sorted({"", *(e for own in ENDINGS.values() for e in own)})))
+    stems = F.transform(F.filter(every, lambda e: F.endswith(F.col("path"), e)), lambda e: F.struct(F.left("path", F.char_length("path") - F.char_length(e)).alias("stem"), e.alias("ending")))
+    known = known.select("unit", "full", "whole", F.explode(stems).alias("x")).select("unit", "full", "whole", "x.*").repartition("unit", "stem")
+    part = F.when(~F.col("whole"), F.col("full"))
+    return known.groupBy("unit", "stem", "ending").agg(F.min(F.when(F.col("whole"), F.col("full"))).alias("exact"), F.min(part).alias("least"), F.max(part).alias("most"))
 
 
 def import_edges(files: DataFrame, found: DataFrame) -> DataFrame:
-    """unit, source, target (files), kind: imports that lead to a file of the unit, itself or as the only one that ends in the path."""
-    tries = import_candidates(found)
-    known = files.select("unit", F.col("rel_path").alias("path"))
-    exact = tries.join(known, ["unit", "path"]).groupBy("unit", "rel_path", "specifier").agg(F.min_by("path", "ord").alias("target"))
-    parts = F.split("path", "/")
-    ends = known.select("unit", F.col("path").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))).alias("path"))
-    rest = tries.where(F.col("path").contains("/")).join(exact.select("unit", "rel_path", "specifier"), ["unit", "rel_path", "specifier"], "left_anti")
-    by_end = rest.join(ends, ["unit", "path"]).groupBy("unit", "rel_path", "specifier").agg(F.min("full").alias("target"), F.count_distinct("full").alias("n")).where("n = 1").drop("n")
-    both = exact.unionByName(by_end).where("target <> rel_path")
-    return both.select("unit", F.col("rel_path").alias("source"), "target", F.lit("imports").alias("kind")).distinct()
+    """unit, source, target (files), kind: imports that lead to a file of the unit, itself or as the only one that ends in the path.
+
+    Files lose their endings, so that an import is one row of the join and not one for each ending; a row meets at most one for each ending."""
+    hit = import_stems(found).join(file_stems(files), ["unit", "stem"]).withColumn("ord", F.array_position(_ends(F.col("language")), F.col("ending"))).where("ord > 0")
+    first = F.min_by("exact", F.when(F.col("exact").isNotNull(), F.col("ord")))
+    best = hit.groupBy("unit", "rel_path", "stem").agg(first.alias("exact"), F.min("least").alias("least"), F.max("most").alias("most"))
+    target = F.coalesce("exact", F.when(F.col("least") == F.col("most"), F.col("least")))
+    both = best.select("unit", F.col("rel_path").alias("source"), target.alias("target")).where("target <> source")
+    return both.withColumn("kind", F.lit("imports")).distinct()
 
 
 # ---------------------------------------------------------------- HTTP calls

@@ -22,7 +22,7 @@ from ..session import cut, cut_counted
 BROADCAST_ROWS = 100_000
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
+def sent(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -33,8 +33,8 @@ def _reached(links: DataFrame, starts: DataFrame, max_depth: int | None = None)
     seen, total, depth = [frontier], found, 0
     while found and (max_depth is None or depth < max_depth):
         depth += 1
-        fresh = links.join(_sent(frontier.select("node"), found), "node").select(F.col("next").alias("node")).distinct()
-        visited = _sent(reduce(DataFrame.unionByName, seen).select("node"), total)
+        fresh = links.join(sent(frontier.select("node"), found), "node").select(F.col("next").alias("node")).distinct()
+        visited = sent(reduce(DataFrame.unionByName, seen).select("node"), total)
         frontier, found = cut_counted(fresh.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if found:
             seen.append(frontier)
@@ -56,7 +56,7 @@ def dependency_slice(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, Da
     """Forward closure, and the edges with both ends inside, repeats kept."""
     edges = cut(edges)
     nodes, n = _reached(_links(edges, False), starts)
-    inside = _sent(nodes.select("node"), n)
+    inside = sent(nodes.select("node"), n)
     kept = edges.join(inside.withColumnRenamed("node", "source"), "source", "left_semi").join(inside.withColumnRenamed("node", "target"), "target", "left_semi")
     return nodes, kept.select(*edges.columns)
 
@@ -65,7 +65,7 @@ def impact_slice(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFr
     """Reverse closure, and all edges into a reached node, distinct."""
     edges = cut(edges)
     nodes, n = _reached(_links(edges, True), starts)
-    return nodes, edges.join(_sent(nodes.select(F.col("node").alias("target")), n), "target", "left_semi").select(*edges.columns).distinct()
+    return nodes, edges.join(sent(nodes.select(F.col("node").alias("target")), n), "target", "left_semi").select(*edges.columns).distinct()
 
 
 def scoped(unit: Column, component: Column) -> Column:
@@ -86,7 +86,7 @@ def workspace_slice(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, Dat
     """Closure over scoped edges, and the edges whose source is reached, the most confident of each (source, target, kind)."""
     edges = cut(edges)
     nodes, n = _reached(_links(edges, False), starts)
-    kept = edges.join(_sent(nodes.select(F.col("node").alias("source")), n), "source", "left_semi")
+    kept = edges.join(sent(nodes.select(F.col("node").alias("source")), n), "source", "left_semi")
     return nodes, keep_first(kept, ["source", "target", "kind"], [F.desc_nulls_last("confidence"), F.asc_nulls_first("evidence")])
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import sent
+from ..session import cut_counted
+
 #: Folder names that are never scanned, at any depth. Fixed values.
 EXCLUDED_DIRS = (
     ".git", "node_modules", "target", "dist", "build", "out", "bin", "obj", "vendor", ".venv", "venv", ".gradle", "coverage", ".idea",
@@ -101,9 +104,11 @@ def application_roots(files: DataFrame) -> DataFrame:
 
 
 def assign_units(files: DataFrame, units: DataFrame) -> DataFrame:
-    """files with unit (repository/root) and rel_path inside it, once for each unit whose root is above the file."""
+    """files with unit (repository/root) and rel_path inside it, once for each unit whose root is above the file.
+
+    Units are counted, as few of them are sent to the files; else each file is shuffled with its text once for each folder above it."""
     parts = F.split("rel_path", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    spread = files.withColumn("root", F.explode(ups)).join(units, ["repository", "root"])
+    spread = files.withColumn("root", F.explode(ups)).join(sent(*cut_counted(units)), ["repository", "root"])
     inside = F.when(F.col("root") == "", F.col("rel_path")).otherwise(F.expr("substring(rel_path, length(root) + 2)"))
     return spread.withColumn("unit", F.concat_ws("/", "repository", F.when(F.col("root") != "", F.col("root")))).withColumn("rel_path", inside).drop("root")
