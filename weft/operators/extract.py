@@ -2,8 +2,8 @@
 
 Files are unit, rel_path, name, ext, language, text. Rules are literals in
 pattern lists; matching is Spark's regular expressions, so nothing leaves the JVM
-but two small helpers: comment masking and route scopes that keywords open, both per file in
-Arrow batches without a shuffle. Arguments of calls are found by matched brackets (structure.py).
+but three small helpers: comment masking, route scopes that keywords open and the arguments of calls
+(structure.py), all per file in Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
@@ -213,15 +213,14 @@ def http_calls(files: DataFrame) -> DataFrame:
     src = files.where(F.col("ext").isin("ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "svelte", "astro") & F.col("masked").isNotNull())
     named = F.transform(F.regexp_extract_all("masked", F.lit(_CLIENTS), F.lit(0)), lambda x: F.regexp_extract(x, r"^([\w$]+)", 1))
     clients = F.concat(F.array(*map(F.lit, ("axios", "http", "httpClient"))), named)
-    found = structure.calls(src.select("unit", "rel_path", "masked"), ["unit", "rel_path"], "masked", f"{_VERB}|{_FETCH}")
-    found = found.join(src.select("unit", "rel_path", clients.alias("clients")), ["unit", "rel_path"]).withColumn("file", F.col("rel_path"))
+    src = src.select("unit", F.col("rel_path").alias("file"), clients.alias("clients"), "masked")
+    found = structure.calls(src, ["unit", "file", "clients"], "masked", f"{_VERB}|{_FETCH}")
     is_fetch = F.col("token").rlike(rf"^{_FETCH}$")
     named_verb = r"^(?:this\.)?#?([\w$]+)\.(\w+)"
-    a = found.where(~is_fetch & F.array_contains("clients", F.regexp_extract("token", named_verb, 1)))
-    a = a.select("unit", "file", F.upper(F.regexp_extract("token", named_verb, 2)).alias("method"), called_url(F.col("first")).alias("url"))
     said = F.upper(F.regexp_extract("argument", r"""method\s*:\s*['"`](\w+)['"`]""", 1))  # anywhere in the call's own brackets
-    b = found.where(is_fetch).select("unit", "file", F.when(said != "", said).otherwise("GET").alias("method"), called_url(F.col("first")).alias("url"))
-    both = a.unionByName(b)
+    method = F.when(~is_fetch, F.upper(F.regexp_extract("token", named_verb, 2))).when(said != "", said).otherwise("GET")
+    both = found.where(is_fetch | F.array_contains("clients", F.regexp_extract("token", named_verb, 1)))
+    both = both.select("unit", "file", method.alias("method"), called_url(F.col("first")).alias("url"))
     origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     known = F.coalesce(F.col("url").rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*://)"), F.lit(False))
     path = F.when(~known, "dynamic://unresolved").otherwise(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""))

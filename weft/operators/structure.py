@@ -1,17 +1,24 @@
 """Structure of source text: tokens with positions, matched brackets, scopes that nest.
 
-Everything is columns: a pattern's matches and the text between them are two arrays of a
+Nearly everything is columns: a pattern's matches and the text between them are two arrays of a
 row, exploded side by side, and positions are a running sum. Brackets are matched by
 depth: the running sum of +1 and -1 of a kind, and an opening bracket belongs to the next
 closing one of its depth. So there is no limit of length or depth, and after one shuffle
 by document all windows run on the same partitions, sorting and spilling as Spark sees
 fit. Positions count code points from 0; an end is exclusive.
 
+Arguments of calls need only what stands in one text, so they are found by a small helper per text in
+Arrow batches, without a shuffle or a sort.
+
 `keys` name the columns that tell rows of a table apart. Null texts have no tokens.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,23 +69,61 @@ def bracket_pairs(df: DataFrame, keys: list[str], text: str, strings: bool = Fal
     return pairs(bracket_marks(tokens(df, keys, text, pattern), keys), keys)
 
 
+def _spans(code: str, token: re.Pattern) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, token, argument, first) of the calls in a text: a stack for each kind of bracket, then from the right the next comma of each depth."""
+    marks, open_, depth = [], {"(": [], "[": [], "{": []}, 0
+    for m in token.finditer(code):
+        last = code[m.end() - 1]
+        if last in open_:
+            depth += 1
+            open_[last].append(mark := [m, depth, None])
+            marks.append(mark)
+        elif last in ")]}":
+            depth -= 1
+            if stack := open_["([{"[")]}".index(last)]]:
+                stack.pop()[2] = m
+        elif last == "," and m.end() - m.start() == 1:
+            marks.append([m, depth, m])
+    out, comma = [], {}
+    for m, depth, closing in reversed(marks):
+        if closing is m:
+            comma[depth] = m.start()
+        elif closing and m.end() - m.start() > 1:
+            stop = closing.start()
+            out.append((m.start(), closing.end(), m[0], code[m.end() : stop], code[m.end() : min(stop, comma.get(depth, stop))]))
+    return out
+
+
 def calls(df: DataFrame, keys: list[str], text: str, marker: str) -> DataFrame:
     """keys, start, end, token, argument, first: what stands between a match of marker, which ends with an opening bracket, and the
     bracket that closes it, however long or deep; first is its part before the first comma of its own depth. Brackets and commas in
-    string literals are none. A call that is never closed has no row."""
-    src = df.where(F.col(text).rlike(marker))
-    found = tokens(src, keys, text, rf"(?s){STRING}|{marker}|[()\[\]{{}},]")
-    marks = bracket_marks(found, keys)
-    commas = found.where("token = ','").select(*keys, "pos", F.lit(1).alias("size"), F.lit(",").alias("kind"), F.lit(0).alias("step"), "token")
-    both = marks.unionByName(commas).withColumn("all_depth", F.sum("step").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    # from the right, the last comma seen at a depth is the next one
-    back = Window.partitionBy(*keys, "all_depth").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("comma", F.last(F.when(F.col("step") == 0, F.col("pos")), ignorenulls=True).over(back))
-    hit = pairs(both.where("step <> 0"), keys, ("token", "comma")).where(F.char_length("token") > 1)
-    spans = hit.groupBy(*keys).agg(F.collect_list(F.struct("start", "inner", "stop", "end", "token", F.when(F.col("comma") < F.col("stop"), F.col("comma")).otherwise(F.col("stop")).alias("comma"))).alias("spans"))  # a text's own
-    part = lambda s, to: F.substring(F.col(text), (s["inner"] + 1).cast("int"), (s[to] - s["inner"]).cast("int"))
-    cut = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), part(s, "stop").alias("argument"), part(s, "comma").alias("first")))
-    return src.join(spans, keys).select(*keys, F.explode(cut).alias("s")).select(*keys, "s.*")
+    string literals are none. A call that is never closed has no row. Each text is read once, where it lies, without a shuffle."""
+    src = df.where(F.col(text).rlike(marker)).select(*keys, F.col(text).alias("__text"))
+    pattern = rf"(?s){STRING}|{marker}|[()\[\]{{}},]"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # letters and blanks are ASCII, as Java's are; what ends a word is not
+        token = re.compile(re.sub(r"\\(.)", lambda m: r"(?u:\b)" if m[1] == "b" else m[0], pattern), re.ASCII)
+
+        def made(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), *[pa.string()] * 3))]
+            return pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]], *cols], names)
+
+        for b in batches:
+            at, rows, size = [], [], 0
+            for i, code in enumerate(b.column(b.num_columns - 1)):
+                found = _spans(code.as_py(), token)
+                at += [i] * len(found)
+                rows += found
+                size += sum(len(x[3]) for x in found)
+                if size > 16 << 20:  # arguments of nested calls repeat the text
+                    yield made(b, at, rows)
+                    at, rows, size = [], [], 0
+            yield made(b, at, rows)
+
+    schema = src.drop("__text").schema.add("start", "long").add("end", "long").add("token", "string").add("argument", "string").add("first", "string")
+    names = schema.names
+    return src.mapInArrow(run, schema)
 
 
 def literals(c: Column) -> Column:
