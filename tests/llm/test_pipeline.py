@@ -113,3 +113,17 @@ def test_stages_take_empty_tables_and_long_texts(spark, tables, tmp_path):
     assert sorted(str(r[0]) for r in corpus_pipeline.drop_near_duplicates(spark, rows, d).select("doc_id").collect()) == ["1", "3"]
     assert corpus_pipeline.drop_contaminated(spark, rows, str(tmp_path)).count() == 4
     assert sorted(str(r[0]) for r in corpus_pipeline.drop_contaminated(spark, rows, d).select("doc_id").collect()) == ["1", "3", "None"]
+
+
+def test_near_dedup_stage_broadcasts_no_table_of_signatures(spark, monkeypatch):
+    """Spark sizes the signatures as if each fingerprint had one, so at some sizes it would collect them."""
+    from weft.llm import simhash
+
+    plans = []
+    planned = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(simhash, "cut", lambda df, cut=simhash.cut: plans.append(planned(df)) or cut(df))
+    docs = spark.createDataFrame([(i, f"a b c d e{i} f{i} g{i}") for i in range(30)] + [(99, "a b c d e1 f1 g1")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    keyed = [p for p in plans if "Generate explode" in p and "Join" in p]
+    assert len(keyed) == 1 and "BroadcastHashJoin" not in keyed[0]
+    assert 99 not in {r["doc_id"] for r in kept.collect()}
